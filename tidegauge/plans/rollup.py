@@ -1,22 +1,22 @@
 """Roll-up tables: build, read, and refresh only what late rows touched.
 
 A roll-up keeps sum, count, min and max per metric, because averages cannot be merged. It
-is partitioned by the date of the bucket, so a refresh replaces whole dates and leaves the
-others alone.
+is partitioned by the date of the bucket (by its month or year when buckets are a day or
+longer), so a refresh replaces whole partitions and leaves the others alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date, datetime, time, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.buckets import EPOCH, align_out, bucket, ceil_to, width_of
 from tidegauge.functions.scalar import ratio
-from tidegauge.operators.prepare import literal_time, time_filter
+from tidegauge.operators.prepare import literal_time, partition_value, time_filter
 from tidegauge.operators.queries import average, partials, within
 from tidegauge.schema import SeriesSchema
 
@@ -57,13 +57,21 @@ class Rollup:
     def of(cls, schema: SeriesSchema, path: str, granularity: str | timedelta = "1 hour") -> Rollup:
         return cls(path, schema.time, schema.tags, schema.metrics, granularity)
 
+    @property
+    def unit(self) -> str:
+        """What a partition covers: enough buckets that its files are worth opening."""
+        width = width_of(self.granularity)
+        if width < timedelta(days=1):
+            return "DAY"
+        return "MONTH" if width < timedelta(days=7) else "YEAR"
+
     def rows(self, df: DataFrame) -> DataFrame:
         """The roll-up of the raw rows; one exchange on (bucket, tags) after a partial
         aggregate, so a hot bucket or tag arrives as one row per task."""
         return (
             df.groupBy(bucket(self.time, self.granularity, self.origin).alias(BUCKET), *self.tags)
             .agg(*partials(self.metrics))
-            .withColumn(DATE, F.to_date(BUCKET))
+            .withColumn(DATE, partition_value(F.col(BUCKET), self.unit))
         )
 
 
@@ -77,8 +85,8 @@ def refresh_rollup(
 ) -> tuple[datetime, datetime] | None:
     """Recompute the buckets a window touches; without a window, all of them.
 
-    The window grows to whole buckets and then to whole dates, the unit that is replaced.
-    Returns the raw time range that was read.
+    The window grows to whole buckets and then to whole partitions, the unit that is
+    replaced. Returns the raw time range that was read.
     """
     if start is None or end is None:
         create_rollup(df, rollup)
@@ -89,32 +97,26 @@ def refresh_rollup(
 
 
 def affected(rollup: Rollup, start: datetime, end: datetime) -> tuple[datetime, datetime]:
-    """The raw rows behind every bucket that starts on a date the window touches."""
+    """The raw rows behind every bucket that starts in a partition the window touches."""
     low, high = align_out(start, end, rollup.granularity, rollup.origin)
     last = high - width_of(rollup.granularity)
-    first_day = datetime.combine(low.date(), time())
-    after_last_day = datetime.combine(last.date() + timedelta(days=1), time())
     return (
-        ceil_to(first_day, rollup.granularity, rollup.origin),
-        ceil_to(after_last_day, rollup.granularity, rollup.origin),
+        ceil_to(partition_start(low, rollup.unit), rollup.granularity, rollup.origin),
+        ceil_to(partition_after(last, rollup.unit), rollup.granularity, rollup.origin),
     )
 
 
-def refresh_dates(df: DataFrame, rollup: Rollup, dates: Sequence[date]) -> None:
-    """Refresh the listed dates, joining neighbours into one job."""
-    for first, last in _runs(sorted(set(dates))):
-        start = datetime.combine(first, time())
-        refresh_rollup(df, rollup, start, datetime.combine(last, time()) + timedelta(days=1))
+def partition_start(moment: datetime, unit: str) -> datetime:
+    day = datetime(moment.year, moment.month, moment.day)
+    if unit == "DAY":
+        return day
+    return day.replace(day=1) if unit == "MONTH" else day.replace(month=1, day=1)
 
 
-def _runs(days: list[date]) -> list[tuple[date, date]]:
-    runs: list[tuple[date, date]] = []
-    for day in days:
-        if runs and day - runs[-1][1] <= timedelta(days=1):
-            runs[-1] = (runs[-1][0], day)
-        else:
-            runs.append((day, day))
-    return runs
+def partition_after(moment: datetime, unit: str) -> datetime:
+    """The start of the partition that follows the one of ``moment``."""
+    longest = {"DAY": 1, "MONTH": 31, "YEAR": 366}[unit]
+    return partition_start(partition_start(moment, unit) + timedelta(days=longest), unit)
 
 
 def _write(rows: DataFrame, rollup: Rollup, overwrite: str) -> None:
@@ -141,7 +143,7 @@ def query_rollup(
 ) -> DataFrame:
     """avg, min and max of the buckets that start in the window, in bucket order.
 
-    The bounds go on the date as well, so other dates' files are never opened.
+    The bounds go on the partition as well, so other partitions' files are never opened.
     """
     stored = read_rollup(spark, rollup)
     if start is not None and end is not None:
@@ -149,7 +151,7 @@ def query_rollup(
         stored = stored.where(
             (F.col(BUCKET) >= low)
             & (F.col(BUCKET) < high)
-            & (F.col(DATE) >= F.lit(start.date()))
+            & (F.col(DATE) >= F.lit(partition_start(start, rollup.unit).date()))
             & (F.col(DATE) <= F.lit(end.date()))
         )
     wanted = rollup.metrics if metrics is None else metrics

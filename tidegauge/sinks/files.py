@@ -26,7 +26,7 @@ def times_as_text(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    times_as_text(df).write.mode(mode).option("header", True).csv(path)
+    times_as_text(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

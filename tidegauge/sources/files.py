@@ -27,7 +27,8 @@ def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 def scan_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header. Give a schema where possible: without one Spark reads the files
     twice. Text columns named like a time are parsed."""
-    reader = spark.read.option("header", True)
+    # Quotes inside quotes are doubled, as everywhere but in Spark's default.
+    reader = spark.read.option("header", True).option("escape", '"')
     if schema is not None:
         df = reader.schema(schema).csv(list(paths))
     else:

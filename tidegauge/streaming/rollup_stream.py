@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions.buckets import bucket, interval_text, width_of
+from tidegauge.operators.prepare import partition_value
 from tidegauge.operators.queries import average, merged, partials
 from tidegauge.plans.rollup import BUCKET, DATE, Rollup
 
@@ -121,7 +122,7 @@ def read_deltas(spark: SparkSession, path: str, rollup: Rollup) -> DataFrame:
     return (
         deltas.groupBy(BUCKET, *rollup.tags)
         .agg(*merged(rollup.metrics))
-        .withColumn(DATE, F.to_date(BUCKET))
+        .withColumn(DATE, partition_value(F.col(BUCKET), rollup.unit))
     )
 
 
