@@ -55,12 +55,6 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
     )
 
 
-def slice_rows(df: DataFrame, order: list[str], offset: int, length: int) -> DataFrame:
-    """Rows ``offset`` .. ``offset + length - 1`` in ``order``."""
-    row = F.col("_row")
-    return number_rows(df, order, "_row").where((row > offset) & (row <= offset + length)).drop("_row")
-
-
 def chunk_rows(df: DataFrame, order: list[str], size: int, name: str = "chunk_id") -> DataFrame:
     """Cut the ordered rows into chunks of ``size``; the last one keeps the remainder."""
     return number_rows(df, order, "_row").withColumn(name, F.expr(f"(_row - 1) div {int(size)}")).drop("_row")

@@ -14,7 +14,7 @@ from tidegauge.errors import SchemaError
 from tidegauge.functions.buckets import EPOCH, bucket, interval_text, width_of
 from tidegauge.functions.scalar import floor_div, micros
 from tidegauge.operators.ordering import number_rows
-from tidegauge.operators.prepare import time_filter
+from tidegauge.operators.prepare import literal_time, time_filter
 
 Moment = datetime | str | None
 
@@ -22,8 +22,11 @@ Moment = datetime | str | None
 # rows are numbered across the cluster.
 SORT_IN_ONE_TASK = 2_000_000
 
-# Cells the time range is cut into when looking for the end of a limited scan.
-LIMIT_CELLS = 4096
+# Slices the time range is cut into when looking for the ends of a limited scan.
+TIME_SLICES = 4096
+
+# Up to here a limit is taken as a top-k per task.
+TOP_K_MAX = 10_000
 
 
 def within(df: DataFrame, time: str, start: Moment, end: Moment, partition=None) -> DataFrame:
@@ -50,32 +53,59 @@ def time_range(
 
 
 def first_rows(df: DataFrame, time: str, key: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows by (time, key).
+    """The first ``n`` rows by (time, key)."""
+    return slice_by_time(df, time, key, 0, n)
+
+
+def slice_by_time(df: DataFrame, time: str, key: list[str], offset: int, length: int) -> DataFrame:
+    """Rows ``offset`` .. ``offset + length - 1`` by (time, key).
 
-    A count per slice of time finds the moment by which ``n`` rows have passed; the scan
-    then stops there, so no task sorts or keeps more than it must.
+    A count per slice of time tells which slices the wanted rows lie in; only these are
+    read, and only their rows are sorted.
     """
-    bounds = df.agg(
+    timed = df.where(F.col(time).isNotNull())
+    bounds = timed.agg(
         F.min(micros(F.col(time))).alias("lo"), F.max(micros(F.col(time))).alias("hi")
     ).first()
-    if bounds["lo"] is None:
+    if bounds["lo"] is None or length <= 0:
         return df.limit(0)
-    slice_width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // LIMIT_CELLS))
-    cell = floor_div(micros(F.col(time)) - F.lit(bounds["lo"]), slice_width)
-    upto = W.orderBy("cell")  # over at most LIMIT_CELLS rows
-    slices = df.where(F.col(time).isNotNull()).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    passed = slices.select("cell", F.sum("n").over(upto).alias("passed"))
-    reached = passed.where(F.col("passed") >= n).orderBy("cell").limit(1).collect()
-    if reached:
-        last = bounds["lo"] + (reached[0]["cell"] + 1) * slice_width
-        size = reached[0]["passed"]
-        stop = EPOCH + timedelta(microseconds=last)
-        df = df.where(F.col(time) < F.lit(str(stop)).cast(df.schema[time].dataType))
-    else:
-        size = slices.agg(F.sum("n")).first()[0]
-    if size <= SORT_IN_ONE_TASK:
-        return df.where(F.col(time).isNotNull()).orderBy(time, *key).limit(n)
-    return number_rows(df.where(F.col(time).isNotNull()), [time, *key], "_row").where(F.col("_row") <= n).drop("_row")
+    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // TIME_SLICES))
+    number = floor_div(micros(F.col(time)) - F.lit(bounds["lo"]), width)
+    counts = timed.groupBy(number.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.orderBy("slice"))  # over at most TIME_SLICES rows
+    held = (
+        counts.withColumn("upto", upto)
+        .where((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + length))
+        .agg(
+            F.min("slice").alias("first"),
+            F.max("slice").alias("last"),
+            F.min(F.col("upto") - F.col("n")).alias("skipped"),
+            F.sum("n").alias("size"),
+        )
+        .first()
+    )
+    if held["first"] is None:
+        return df.limit(0)
+    at = lambda i: literal_time(df, time, EPOCH + timedelta(microseconds=bounds["lo"] + i * width))
+    near = timed.where((F.col(time) >= at(held["first"])) & (F.col(time) < at(held["last"] + 1)))
+    skip = offset - held["skipped"]
+    if held["size"] <= SORT_IN_ONE_TASK:
+        return near.orderBy(time, *key).offset(skip).limit(length)
+    row = F.col("_row")
+    return number_rows(near, [time, *key], "_row").where((row > skip) & (row <= skip + length)).drop("_row")
+
+
+def limited(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """``df`` in order, cut to ``n`` rows when ``n`` is positive.
+
+    A small limit is a top-k per task and a merge; a large one would merge too much in
+    one task, so the rows are numbered across the cluster instead.
+    """
+    if n <= 0:
+        return df.orderBy(*order)
+    if n <= TOP_K_MAX:
+        return df.orderBy(*order).limit(n)
+    return number_rows(df, list(order), "_row").where(F.col("_row") <= n).drop("_row").orderBy(*order)
 
 
 def summaries(metrics: Sequence[str]) -> list[Column]:
@@ -103,9 +133,8 @@ def bucket_agg(
         within(df, time, start, end)
         .groupBy(bucket(time, granularity, origin).alias("bucket"))
         .agg(*summaries(metrics))
-        .orderBy("bucket")
     )
-    return out.limit(limit) if limit > 0 else out
+    return limited(out, ["bucket"], limit)
 
 
 def downsample(
@@ -144,9 +173,8 @@ def last_point(
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") == 1)
         .select(tag, metric, time)
-        .orderBy(tag)
     )
-    return out.limit(limit) if limit > 0 else out
+    return limited(out, [tag], limit)
 
 
 def last_point_agg(
@@ -183,9 +211,8 @@ def tag_agg(
         within(df, time, start, end)
         .groupBy(tag)
         .agg(F.count(F.lit(1)).alias("cnt"), F.avg(metric).alias(f"avg_{metric}"))
-        .orderBy(tag)
     )
-    return out.limit(limit) if limit > 0 else out
+    return limited(out, [tag], limit)
 
 
 def partials(metrics: Sequence[str]) -> list[Column]:

@@ -8,67 +8,74 @@ equi-join, where a plain range condition would be a nested loop.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.functions.buckets import bucket, interval_text
+from tidegauge.functions.buckets import bucket
 from tidegauge.functions.scalar import micros
 from tidegauge.operators.queries import summaries
 
-# The bucket width is a whole number of these, so that windows of equal length always
-# get the same one.
-_STEP = 1_000_000
-
-
 def windows_frame(spark: SparkSession, windows: Sequence[tuple[datetime, datetime]]) -> DataFrame:
     """``(window_id, start, end)`` rows of zone-less UTC moments."""
     rows = [(i, start, end) for i, (start, end) in enumerate(windows)]
     return spark.createDataFrame(rows, "window_id bigint, start timestamp_ntz, end timestamp_ntz")
 
 
-def cell_width(windows: DataFrame) -> timedelta | None:
-    """The longest window, so that no window touches more than two buckets."""
-    longest = windows.where(F.col("end") > F.col("start")).agg(
-        F.max(micros(F.col("end")) - micros(F.col("start")))
-    ).first()[0]
-    if longest is None:
-        return None
-    return timedelta(microseconds=-(-longest // _STEP) * _STEP)
+def _length_class(windows: DataFrame) -> DataFrame:
+    """Windows with their bounds in microseconds and ``_class``, the power of two that
+    their length rounds up to."""
+    return (
+        windows.where(F.col("end") > F.col("start"))
+        .withColumn("_from", micros(F.col("start")))
+        .withColumn("_to", micros(F.col("end")))
+        .withColumn("_class", F.length(F.bin(F.col("_to") - F.col("_from"))))
+    )
 
 
 def match_windows(df: DataFrame, time: str, windows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``columns`` of every row next to each ``window_id`` whose window holds it."""
+    """``columns`` of every row next to each ``window_id`` whose window holds it.
+
+    Windows of a class share a bucket width that is at least their length and less than
+    twice it, so a window lies in at most two buckets and a row meets few windows that do
+    not hold it, also when short and long windows are mixed. A row has one bucket per
+    class in use.
+    """
     kind = df.schema[time].dataType
-    width = cell_width(windows)
-    if width is None:
+    classed = _length_class(windows)
+    used = classed.agg(
+        F.collect_set("_class").alias("classes"),  # at most 63 of them
+        F.min("start").cast(kind).alias("lo"),
+        F.max("end").cast(kind).alias("hi"),
+    ).first()
+    if not used["classes"]:
         return df.select(F.lit(None).cast("bigint").alias("window_id"), *columns).limit(0)
-    listed = (
-        windows.where(F.col("end") > F.col("start"))
-        .select(
-            "window_id",
-            F.col("start").cast(kind).alias("_start"),
-            F.col("end").cast(kind).alias("_end"),
-        )
-        .withColumn("_first", bucket("_start", width))
-        .withColumn("_last", F.col("_end") - F.expr("interval 1 microsecond"))
-        .withColumn("_last", bucket("_last", width))
-        .withColumn(
-            "_cell", F.explode(F.sequence("_first", "_last", F.expr(f"interval {interval_text(width)}")))
-        )
-        .select("window_id", "_start", "_end", "_cell")
+    listed = classed.select(
+        "window_id",
+        "_class",
+        F.col("start").cast(kind).alias("_start"),
+        F.col("end").cast(kind).alias("_end"),
+        F.explode(F.expr("sequence(shiftright(_from, _class), shiftright(_to - 1, _class))")).alias("_cell"),
     )
-    span = windows.agg(F.min("start").cast(kind).alias("lo"), F.max("end").cast(kind).alias("hi")).first()
+    cells = [
+        F.struct(F.lit(k).alias("_class"), F.shiftright("_at", k).alias("_cell"))
+        for k in sorted(used["classes"])
+    ]
     needed = list(dict.fromkeys([time, *columns]))
     rows = (
         df.select(*needed)
-        .where((F.col(time) >= F.lit(span["lo"])) & (F.col(time) < F.lit(span["hi"])))
-        .withColumn("_cell", bucket(time, width))
+        .where((F.col(time) >= F.lit(used["lo"])) & (F.col(time) < F.lit(used["hi"])))
+        .withColumn("_at", micros(F.col(time)))
     )
+    if len(cells) == 1:
+        rows = rows.withColumns({"_class": F.lit(used["classes"][0]), "_cell": cells[0]["_cell"]})
+    else:
+        rows = rows.select(*needed, F.explode(F.array(*cells)).alias("_c")).select(*needed, "_c.*")
     inside = (
-        (rows["_cell"] == listed["_cell"])
+        (rows["_class"] == listed["_class"])
+        & (rows["_cell"] == listed["_cell"])
         & (rows[time] >= listed["_start"])
         & (rows[time] < listed["_end"])
     )

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.operators.keys import keyed_join
+from tidegauge.operators.ordering import number_rows
+
+# The folder column of ``write_parts``.
+PART = "part"
+
 # How times are written in CSV (UTC, microseconds).
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -15,8 +21,22 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_parts(df: DataFrame, path: str, parts: int, device: str = "device_id") -> None:
-    """At most ``parts`` files with disjoint device ranges."""
-    df.repartitionByRange(parts, device).write.option("compression", "snappy").parquet(path)
+    """``parts`` folders with disjoint, consecutive device ranges of equal device count.
+
+    The devices are numbered, not the rows. A folder holds as many files as its rows
+    need, so a device with a third of all rows does not end up in one task.
+    """
+    numbered = number_rows(df.select(device).distinct(), [device], "_row")
+    n_devices = numbered.count()
+    per_part = max(1, n_devices // parts)
+    part = F.least(F.expr(f"(_row - 1) div {per_part}"), F.lit(parts - 1)).cast("int")
+    placed = keyed_join(df, numbered.select(device, part.alias(PART)), [device])
+    (
+        placed.hint("rebalance", PART)
+        .write.option("compression", "snappy")
+        .partitionBy(PART)
+        .parquet(path)
+    )
 
 
 def times_as_text(df: DataFrame) -> DataFrame:

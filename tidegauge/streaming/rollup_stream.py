@@ -81,8 +81,7 @@ def delta_rollup(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        mark = _newest_before(spark, path, batch_id)
+        mark = _mark(batch.sparkSession, path, batch_id - 1)
         late = F.lit(False)
         if mark is not None:
             late = F.col(rollup.time) < F.lit(mark).cast(batch.schema[rollup.time].dataType) - F.expr(
@@ -91,10 +90,13 @@ def delta_rollup(
         (
             batch.withColumn("is_late", late)
             .groupBy("is_late", *_grouping(rollup))
-            .agg(*partials(rollup.metrics), F.count(F.lit(1)).alias("n_rows"), F.max(rollup.time).alias("newest"))
+            .agg(*partials(rollup.metrics), F.count(F.lit(1)).alias("n_rows"), F.max(rollup.time).alias("_newest"))
             .write.mode("overwrite")
             .parquet(f"{path}/{BATCH}={batch_id}")
         )
+        stored = batch.sparkSession.read.parquet(f"{path}/{BATCH}={batch_id}")
+        newest = F.max("_newest") if mark is None else F.greatest(F.max("_newest"), F.lit(mark))
+        stored.agg(newest.alias("newest")).write.mode("overwrite").parquet(_mark_path(path, batch_id))
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
@@ -104,16 +106,19 @@ def delta_rollup(
     )
 
 
-def _grouping(rollup: Rollup) -> list:
-    return [bucket(rollup.time, rollup.granularity, rollup.origin).alias(BUCKET), *rollup.tags]
+def _mark_path(path: str, batch_id: int) -> str:
+    return f"{path}_marks/{batch_id}"
 
 
-def _newest_before(spark: SparkSession, path: str, batch_id: int):
-    """The newest row of the batches before this one, from their partial results."""
-    if batch_id == 0:
+def _mark(spark: SparkSession, path: str, batch_id: int):
+    """The newest time up to a batch: one stored row, so no batch rereads its forerunners."""
+    if batch_id < 0:
         return None
-    stored = spark.read.parquet(path).where(F.col(BATCH) < batch_id)
-    return stored.agg(F.max("newest")).first()[0]
+    return spark.read.parquet(_mark_path(path, batch_id)).first()["newest"]
+
+
+def _grouping(rollup: Rollup) -> list:
+    return [bucket(rollup.time, rollup.granularity, rollup.origin).alias(BUCKET), *rollup.tags]
 
 
 def read_deltas(spark: SparkSession, path: str, rollup: Rollup) -> DataFrame:

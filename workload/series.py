@@ -57,7 +57,7 @@ def _(t):
     "SELECT event_id, ts, value FROM events ORDER BY ts, event_id LIMIT 250 OFFSET 400",
 )
 def _(t):
-    return ordering.slice_rows(t.events.select("event_id", "ts", "value"), ["ts", "event_id"], 400, 250)
+    return q.slice_by_time(t.events.select("event_id", "ts", "value"), "ts", ["event_id"], 400, 250)
 
 
 @query(
