@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.scalar import BYTES_PER_MIB, ratio
 from tidegauge.operators.keys import keyed_join
 from tidegauge.operators.ordering import running_sum
-from tidegauge.operators.selection import linear_percentiles, nearest_percentiles
+from tidegauge.operators.selection import Cells, linear_percentiles
+from tidegauge.session import materialize
 
 SUMMARY_KEYS = ("run_id", "database_name", "operation", "batch_size", "workers")
 
@@ -23,6 +24,10 @@ SUMMARY_KEYS = ("run_id", "database_name", "operation", "batch_size", "workers")
 LATENCY_POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 LATENCY_MIN_NS, LATENCY_MAX_NS = 1, 60_000_000_000
 
+QUARTILES = {"q1": 0.25, "q3": 0.75}
+RATE_POINTS = {"p95": 0.95, "p99": 0.99}
+MOMENTS = ("mean_ms", "min_ms", "max_ms", "stddev_ms")
+
 # A sample this many interquartile ranges outside the quartiles is an outlier.
 FENCE = 1.5
 
@@ -59,13 +64,16 @@ def pass_totals(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def quartiles(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
     """q1, q3 and their distance, linearly interpolated."""
-    found = linear_percentiles(log, list(keys), value, {"q1": 0.25, "q3": 0.75})
-    return found.withColumn("iqr", F.col("q3") - F.col("q1"))
+    return _quartiles(Cells.of(log, keys, [value]), value)
+
+
+def _quartiles(cells: Cells, value: str) -> DataFrame:
+    return cells.linear({value: QUARTILES}).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def fences(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
+def with_fences(found: DataFrame) -> DataFrame:
     """Quartiles and the bounds, themselves included, of what is not an outlier."""
-    return quartiles(log, keys, value).withColumns(
+    return found.withColumns(
         {
             "fence_lo": F.col("q1") - FENCE * F.col("iqr"),
             "fence_hi": F.col("q3") + FENCE * F.col("iqr"),
@@ -75,7 +83,7 @@ def fences(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> Da
 
 def flag_outliers(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
     """Every row with ``is_outlier`` against the fences of its group."""
-    fenced = keyed_join(log, fences(log, keys, value), list(keys))
+    fenced = keyed_join(log, with_fences(quartiles(log, keys, value)), list(keys))
     outside = (F.col(value) < F.col("fence_lo")) | (F.col(value) > F.col("fence_hi"))
     return fenced.withColumn("is_outlier", outside).drop("q1", "q3", "iqr", "fence_lo", "fence_hi")
 
@@ -87,27 +95,29 @@ def outlier_counts(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns
     )
 
 
-def _populations(log: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: fences, inliers ``n``, and ``skip``, the samples below the lower fence."""
-    bounds = fences(log, keys, value)
+def _population(value: str) -> list:
+    """Aggregates beside the fences: ``iqr``, inliers ``n``, and ``skip``, the samples
+    below the lower fence."""
     x = F.col(value)
     inside = (x >= F.col("fence_lo")) & (x <= F.col("fence_hi"))
-    return (
-        keyed_join(log.select(*keys, value), bounds.select(*keys, "iqr", "fence_lo", "fence_hi"), keys)
-        .groupBy(*keys)
-        .agg(
-            F.first("iqr").alias("iqr"),
-            F.count(F.when(x < F.col("fence_lo"), 1)).alias("skip"),
-            F.count(F.when(inside, 1)).alias("n"),
-            F.count(x).alias("sample_count"),
-        )
-    )
+    return [
+        F.first("iqr").alias("iqr"),
+        F.count(F.when(x < F.col("fence_lo"), 1)).alias("skip"),
+        F.count(F.when(inside, 1)).alias("n"),
+    ]
 
 
 def latency_percentiles(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
-    """p50, p95, p99 and p99.9 in ms over the samples that are not outliers."""
+    """p50, p95, p99 and p99.9 in ms over the samples that are not outliers.
+
+    Four scans: cell counts, quartiles, who is inside the fences, the percentiles.
+    """
     keys = list(keys)
-    found = nearest_percentiles(log, keys, value, LATENCY_POINTS, _populations(log, keys, value))
+    cells = Cells.of(log, keys, [value])
+    bounds = with_fences(_quartiles(cells, value)).select(*keys, "iqr", "fence_lo", "fence_hi")
+    fenced = keyed_join(log.select(*keys, value), bounds, keys)
+    population = materialize(fenced.groupBy(*keys).agg(*_population(value)), "population")
+    found = cells.nearest(value, LATENCY_POINTS, population)
     return found.select(*keys, *[_reported(name) for name in LATENCY_POINTS])
 
 
@@ -136,38 +146,46 @@ def throughput_stats(
 ) -> DataFrame:
     """mean, p95 and p99 (linear) of each rate."""
     keys = list(keys)
-    out = log.groupBy(*keys).agg(*[F.avg(v).alias(f"{v}_mean") for v in values])
-    for v in values:
-        points = {f"{v}_p95": 0.95, f"{v}_p99": 0.99}
-        out = keyed_join(out, linear_percentiles(log, keys, v, points), keys, "left")
-    return out
+    means = log.groupBy(*keys).agg(*[F.avg(v).alias(f"{v}_mean") for v in values])
+    points = {v: {f"{v}_{name}": p for name, p in RATE_POINTS.items()} for v in values}
+    return keyed_join(means, linear_percentiles(log, keys, points), keys, "left")
 
 
 def summarize(log: DataFrame, keys: Sequence[str] = SUMMARY_KEYS) -> DataFrame:
-    """One summary row per group, over its measurement rows; zeros where it has none."""
+    """One summary row per group, over its measurement rows; zeros where it has none.
+
+    Four scans of the log, whatever the number of groups; what passes between them is one
+    row per group or cell.
+    """
     keys = list(keys)
     measured = measurement_only(log)
-    populations = _populations(measured, keys, "elapsed_ns")
-    points = nearest_percentiles(measured, keys, "elapsed_ns", LATENCY_POINTS, populations)
-    rates = linear_percentiles(
-        measured, keys, "rows_per_second", {"rows_per_second_p95": 0.95, "rows_per_second_p99": 0.99}
-    )
-    plain = measured.groupBy(*keys).agg(
+    cells = Cells.of(measured, keys, ["elapsed_ns", "rows_per_second"])
+    rates = {f"rows_per_second_{name}": p for name, p in RATE_POINTS.items()}
+    linear = cells.linear({"elapsed_ns": QUARTILES, "rows_per_second": rates})
+    linear = materialize(linear.withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")
+    bounds = with_fences(linear).select(*keys, "iqr", "fence_lo", "fence_hi", *rates)
+    measures = ["phase", "elapsed_ns", "rows_processed", "rows_per_second", "mb_per_second"]
+    plain = keyed_join(log.select(*keys, *measures), bounds, keys, "left")
+    # Warm-up rows only keep their group alive.
+    only = {c: F.when(F.col("phase") == "measurement", F.col(c)) for c in measures[1:]}
+    grouped = plain.withColumns(only).groupBy(*keys).agg(
+        *_population("elapsed_ns"),
         F.sum("rows_processed").alias("total_rows"),
-        F.count(F.lit(1)).alias("sample_count"),
+        F.count("elapsed_ns").alias("sample_count"),
         F.avg("rows_per_second").alias("rows_per_second_mean"),
+        *[F.first(name).alias(name) for name in rates],
         F.avg("mb_per_second").alias("mb_per_second_mean"),
-        *[m.alias(f"latency_{n}") for m, n in zip(_moments("elapsed_ns"), ("mean_ms", "min_ms", "max_ms", "stddev_ms"))],
+        *[c.alias(f"latency_{n}") for c, n in zip(_moments("elapsed_ns"), MOMENTS)],
     )
-    spread = populations.select(
-        *keys,
-        (F.col("iqr") / NANOS_PER_MS).alias("latency_iqr_ms"),
-        (F.col("sample_count") - F.col("n")).alias("latency_outlier_count"),
+    grouped = materialize(grouped, "summary")
+    points = cells.nearest("elapsed_ns", LATENCY_POINTS, grouped.where(F.col("n") > 0))
+    points = points.select(*keys, *[_reported(p).alias(f"latency_{p}_ms") for p in LATENCY_POINTS])
+    out = (
+        keyed_join(grouped, points, keys, "left")
+        .withColumn("latency_iqr_ms", F.col("iqr") / NANOS_PER_MS)
+        .withColumn("latency_outlier_count", F.col("sample_count") - F.col("n"))
+        .drop("iqr", "skip", "n")
     )
-    reported = points.select(*keys, *[_reported(p).alias(f"latency_{p}_ms") for p in LATENCY_POINTS])
-    out = log.select(*keys).distinct()
-    for part in (plain, rates, reported, spread):
-        out = keyed_join(out, part, keys, "left")
     values = [c for c in out.columns if c not in keys]
     return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in values])
 

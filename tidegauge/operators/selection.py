@@ -1,30 +1,38 @@
 """Exact order statistics per group without gathering a group in one task.
 
-Values are counted in logarithmic cells (a fixed function of the value, so both passes
-agree), the cells holding the wanted ranks are found from those counts, and only the rows
+Values are counted in logarithmic cells (a fixed function of the value, so every pass
+agrees), the cells holding the wanted ranks are found from those counts, and only the rows
 of these cells are counted again by exact value. Both counts combine map-side, so neither
-a hot group nor a hot value reaches one task as rows.
+a hot group nor a hot value reaches one task as rows. The cell counts are small and are
+stored, so a statistic costs one scan for the counts and one for each set of ranks,
+however many groups, columns and percentiles it covers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.operators.keys import keyed_join
+from tidegauge.session import materialize
 
 # Cells per factor e: neighbouring cells differ by 0.025 %, and every double fits in
 # fewer than 2 * ZERO_GAP cells.
 CELLS_PER_E = 4096
 ZERO_GAP = 4_000_000
 
+METRIC = "_metric"
 
-def cell_of(value: Column) -> Column:
-    """A cell number that never decreases as the value grows."""
-    x = value.cast("double")
+# {column: {name of the result: fraction}}
+Points = Mapping[str, Mapping[str, float]]
+
+
+def cell_of(x: Column) -> Column:
+    """A cell number that never decreases as the double ``x`` grows."""
     size = F.floor(F.log(F.abs(x)) * CELLS_PER_E) + ZERO_GAP
     return (
         F.when(F.isnan(x), F.lit(3 * ZERO_GAP))
@@ -37,100 +45,113 @@ def cell_of(value: Column) -> Column:
     )
 
 
-def _counted(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    rows = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_value"), cell_of(F.col(value)).alias("_cell")
-    )
-    cells = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    return rows, cells
-
-
-def group_sizes(df: DataFrame, keys: list[str], value: str, name: str = "n") -> DataFrame:
-    """Non-null values per group, read off the cell counts so that the exchange is shared."""
-    _, cells = _counted(df, keys, value)
-    return cells.groupBy(*keys).agg(F.sum("_n").alias(name))
-
-
-def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """The values at 1-based ``ranks`` (columns ``keys``, ``ranks array<bigint>``).
-
-    Returns one row per (key, rank): ``keys``, ``rank``, ``value``. Ranks outside
-    1..group size give no row.
-    """
-    rows, cells = _counted(df, keys, value)
-    upto = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    # The window sorts one row per occupied cell, a number bounded by ZERO_GAP.
-    placed = cells.select("*", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
-    wanted = (
-        keyed_join(placed, ranks, keys)
-        .withColumn(
-            "_inside",
-            F.filter(
-                F.array_distinct("ranks"),
-                lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")),
-            ),
+@dataclass(frozen=True)
+class Cells:
+    """The values of some columns of a frame, and how many fall in each cell."""
+
+    keys: list[str]
+    rows: DataFrame
+    counts: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Cells:
+        """Count the columns' non-null values per group, in one scan."""
+        keys = list(keys)
+        if len(columns) == 1:
+            pairs = df.select(*keys, F.lit(columns[0]).alias(METRIC), F.col(columns[0]).cast("double").alias("_value"))
+        else:
+            listed = F.array(
+                *[F.struct(F.lit(c).alias(METRIC), F.col(c).cast("double").alias("_value")) for c in columns]
+            )
+            pairs = df.select(*keys, F.explode(listed).alias("_pair")).select(*keys, "_pair.*")
+        rows = pairs.where(F.col("_value").isNotNull()).withColumn("_cell", cell_of(F.col("_value")))
+        counts = rows.groupBy(*keys, METRIC, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        return cls([*keys, METRIC], rows, materialize(counts, "cells"))
+
+    def sizes(self) -> DataFrame:
+        """Values per group and column, as ``_size``."""
+        return self.counts.groupBy(*self.keys).agg(F.sum("_n").alias("_size"))
+
+    def at_ranks(self, ranks: DataFrame) -> DataFrame:
+        """The values at the 1-based ``ranks`` (the keys and ``ranks array<bigint>``), as a
+        map from rank to value in ``_found``. Ranks outside 1..size are left out."""
+        keys = self.keys
+        upto = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+        # The window sorts one row per occupied cell, a number bounded by ZERO_GAP.
+        placed = self.counts.select("*", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+        here = F.filter(
+            F.array_distinct("ranks"),
+            lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_n")),
+        )
+        wanted = (
+            keyed_join(placed, ranks, keys)
+            .withColumn("_inside", here)
+            .where(F.size("_inside") > 0)
+            .select(*keys, "_cell", "_before", "_inside")
+        )
+        exact = (
+            keyed_join(self.rows, wanted, [*keys, "_cell"])
+            .groupBy(*keys, "_cell", "_before", "_inside", "_value")
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        # Distinct values of one cell, which spans 0.025 % of its magnitude.
+        among = W.partitionBy(*keys, "_cell").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+        ranked = exact.withColumn("_high", F.col("_before") + F.sum("_n").over(among))
+        hit = F.filter("_inside", lambda r: (r > F.col("_high") - F.col("_n")) & (r <= F.col("_high")))
+        return (
+            ranked.select(*keys, F.explode(hit).alias("rank"), F.col("_value").alias("value"))
+            .groupBy(*keys)
+            .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_found"))
         )
-        .where(F.size("_inside") > 0)
-        .select(*keys, "_cell", "_before", "_inside")
-    )
-    near = keyed_join(rows, wanted, [*keys, "_cell"])
-    exact = near.groupBy(*keys, "_cell", "_before", "_inside", "_value").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    # Distinct values of one cell, which spans 0.025 % of its magnitude.
-    among = W.partitionBy(*keys, "_cell").orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = exact.withColumn("_high", F.col("_before") + F.sum("_n").over(among))
-    hit = F.filter("_inside", lambda r: (r > F.col("_high") - F.col("_n")) & (r <= F.col("_high")))
-    return ranked.select(*keys, F.explode(hit).alias("rank"), F.col("_value").alias("value"))
-
-
-def linear_percentiles(
-    df: DataFrame, keys: list[str], value: str, points: Mapping[str, float]
-) -> DataFrame:
-    """Percentiles with linear interpolation between neighbours, one column per point."""
-    sizes = group_sizes(df, keys, value, "_size")
-    position = {name: F.lit(float(p)) * (F.col("_size") - 1) for name, p in points.items()}
-    low = {name: F.floor(pos).cast("bigint") + 1 for name, pos in position.items()}
-    ranks = sizes.select(
-        *keys,
-        F.flatten(
-            F.array(*[F.array(r, F.least(r + 1, F.col("_size"))) for r in low.values()])
-        ).alias("ranks"),
-    )
-    found = _by_rank(select_ranks(df, keys, value, ranks), keys)
-    at = lambda r: F.element_at("_found", r).cast("double")
-    out = []
-    for name, pos in position.items():
-        below, above = at(low[name]), at(F.least(low[name] + 1, F.col("_size")))
-        out.append((below + (above - below) * (pos - F.floor(pos))).alias(name))
-    return keyed_join(found, sizes, keys).select(*keys, *out)
-
-
-def _by_rank(selected: DataFrame, keys: list[str]) -> DataFrame:
-    """Gather the few selected ranks of a group into a map."""
-    return selected.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_found")
-    )
-
 
-def nearest_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    points: Mapping[str, float],
-    population: DataFrame,
-) -> DataFrame:
-    """Percentiles by rank ``max(1, floor(p * n + 0.5))``, one column per point.
-
-    ``population`` (``keys``, ``skip``, ``n``) leaves out the ``skip`` smallest values and
-    counts the next ``n``, so a trimmed population needs no filtered copy of the data.
-    """
-    rank = {
-        name: F.col("skip") + F.greatest(F.lit(1), F.floor(F.lit(float(p)) * F.col("n") + F.lit(0.5)).cast("bigint"))
-        for name, p in points.items()
-    }
-    ranks = population.select(*keys, F.array(*rank.values()).alias("ranks"))
-    found = _by_rank(select_ranks(df, keys, value, ranks), keys)
-    return keyed_join(found, population, keys).select(
-        *keys, *[F.element_at("_found", r).alias(name) for name, r in rank.items()]
-    )
+    def linear(self, points: Points) -> DataFrame:
+        """Percentiles with linear interpolation between neighbours; one row per group
+        with a column per point."""
+        sizes = self.sizes()
+        named = [(c, name, float(p)) for c, group in points.items() for name, p in group.items()]
+        spots = {}
+        for c, name, p in named:
+            place = F.lit(p) * (F.col("_size") - 1)
+            low = F.floor(place).cast("bigint") + 1
+            spots[name] = (c, place - F.floor(place), low, F.least(low + 1, F.col("_size")))
+        ranks = sizes.select(
+            *self.keys,
+            F.flatten(
+                F.array(*[F.when(F.col(METRIC) == c, F.array(a, b)).otherwise(_no_ranks()) for c, _, a, b in spots.values()])
+            ).alias("ranks"),
+        )
+        found = keyed_join(self.at_ranks(ranks), sizes, self.keys)
+        values = {}
+        for name, (c, weight, a, b) in spots.items():
+            below, above = F.try_element_at("_found", a), F.try_element_at("_found", b)
+            values[name] = F.when(F.col(METRIC) == c, below + (above - below) * weight)
+        return self._one_row(found, values)
+
+    def nearest(self, column: str, points: Mapping[str, float], population: DataFrame) -> DataFrame:
+        """Percentiles of one column by rank ``max(1, floor(p * n + 0.5))``.
+
+        ``population`` (the keys, ``skip``, ``n``) leaves out the ``skip`` smallest values
+        and counts the next ``n``, so a trimmed population needs no filtered copy.
+        """
+        rank = {}
+        for name, p in points.items():
+            among = F.greatest(F.lit(1), F.floor(F.lit(float(p)) * F.col("n") + F.lit(0.5)))
+            rank[name] = F.col("skip") + among.cast("bigint")
+        people = population.select(*self.keys[:-1], F.lit(column).alias(METRIC), "skip", "n")
+        ranks = people.select(*self.keys, F.array(*rank.values()).alias("ranks"))
+        found = keyed_join(self.at_ranks(ranks), people, self.keys)
+        return self._one_row(found, {name: F.try_element_at("_found", r) for name, r in rank.items()})
+
+    def _one_row(self, found: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+        """One row per group from one row per group and column."""
+        named = found.select(*self.keys, *[v.alias(name) for name, v in values.items()])
+        return named.groupBy(*self.keys[:-1]).agg(*[F.max(name).alias(name) for name in values])
+
+
+def _no_ranks() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def linear_percentiles(df: DataFrame, keys: Sequence[str], points: Points) -> DataFrame:
+    """Interpolated percentiles of several columns: two scans in all."""
+    return Cells.of(df, keys, list(points)).linear(points)
