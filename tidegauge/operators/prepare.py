@@ -12,9 +12,13 @@ from tidegauge.schema import METRIC, SeriesSchema
 
 def literal_time(df: DataFrame, column: str, moment: datetime | str) -> Column:
     """A time literal of the column's own type, so the comparison reaches the scan."""
-    if isinstance(moment, datetime) and moment.tzinfo is not None:
-        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
-    return F.lit(str(moment)).cast(df.schema[column].dataType)
+    text = str(naive_utc(moment)) if isinstance(moment, datetime) else moment
+    return F.lit(text).cast(df.schema[column].dataType)
+
+
+def naive_utc(moment: datetime) -> datetime:
+    """The moment in UTC without a zone; one without a zone is UTC already."""
+    return moment if moment.tzinfo is None else moment.astimezone(timezone.utc).replace(tzinfo=None)
 
 
 def drop_null_ts(df: DataFrame, time: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tidegauge.errors import SchemaError
 from tidegauge.functions.buckets import EPOCH, bucket, interval_text, width_of
 from tidegauge.functions.scalar import floor_div, micros
 from tidegauge.operators.ordering import number_rows
-from tidegauge.operators.prepare import literal_time, time_filter
+from tidegauge.operators.prepare import literal_time, naive_utc, time_filter
 
 Moment = datetime | str | None
 
@@ -49,7 +49,9 @@ def time_range(
 ) -> DataFrame:
     """All columns of the rows in the window; with ``limit`` the first ones by (time, key)."""
     rows = within(df, time, start, end, partition)
-    return rows if limit <= 0 else first_rows(rows, time, list(key), limit)
+    if limit <= 0:
+        return rows
+    return slice_by_time(rows, time, list(key), 0, limit, None if start is None else (start, end))
 
 
 def first_rows(df: DataFrame, time: str, key: list[str], n: int) -> DataFrame:
@@ -57,20 +59,25 @@ def first_rows(df: DataFrame, time: str, key: list[str], n: int) -> DataFrame:
     return slice_by_time(df, time, key, 0, n)
 
 
-def slice_by_time(df: DataFrame, time: str, key: list[str], offset: int, length: int) -> DataFrame:
+def slice_by_time(
+    df: DataFrame,
+    time: str,
+    key: list[str],
+    offset: int,
+    length: int,
+    bounds: tuple[datetime | str, datetime | str] | None = None,
+) -> DataFrame:
     """Rows ``offset`` .. ``offset + length - 1`` by (time, key).
 
     A count per slice of time tells which slices the wanted rows lie in; only these are
-    read, and only their rows are sorted.
+    read, and only their rows are sorted. ``bounds`` saves finding the first and last time.
     """
     timed = df.where(F.col(time).isNotNull())
-    bounds = timed.agg(
-        F.min(micros(F.col(time))).alias("lo"), F.max(micros(F.col(time))).alias("hi")
-    ).first()
-    if bounds["lo"] is None or length <= 0:
+    low, high = _micros_between(bounds) if bounds is not None else _micros_covered(timed, time)
+    if low is None or high < low or length <= 0:
         return df.limit(0)
-    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // TIME_SLICES))
-    number = floor_div(micros(F.col(time)) - F.lit(bounds["lo"]), width)
+    width = max(1, -(-(high - low + 1) // TIME_SLICES))
+    number = floor_div(micros(F.col(time)) - F.lit(low), width)
     counts = timed.groupBy(number.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.orderBy("slice"))  # over at most TIME_SLICES rows
     held = (
@@ -86,7 +93,7 @@ def slice_by_time(df: DataFrame, time: str, key: list[str], offset: int, length:
     )
     if held["first"] is None:
         return df.limit(0)
-    at = lambda i: literal_time(df, time, EPOCH + timedelta(microseconds=bounds["lo"] + i * width))
+    at = lambda i: literal_time(df, time, EPOCH + timedelta(microseconds=low + i * width))
     near = timed.where((F.col(time) >= at(held["first"])) & (F.col(time) < at(held["last"] + 1)))
     skip = offset - held["skipped"]
     if held["size"] <= SORT_IN_ONE_TASK:
@@ -95,6 +102,20 @@ def slice_by_time(df: DataFrame, time: str, key: list[str], offset: int, length:
     return number_rows(near, [time, *key], "_row").where((row > skip) & (row <= skip + length)).drop("_row")
 
 
+def _micros_covered(df: DataFrame, time: str) -> tuple[int | None, int | None]:
+    at = micros(F.col(time))
+    found = df.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    return found["low"], found["high"]
+
+
+def _micros_between(bounds: tuple[datetime | str, datetime | str]) -> tuple[int, int]:
+    low, high = (
+        (naive_utc(datetime.fromisoformat(b) if isinstance(b, str) else b) - EPOCH) // timedelta(microseconds=1)
+        for b in bounds
+    )
+    return low, high - 1
+
+
 def limited(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """``df`` in order, cut to ``n`` rows when ``n`` is positive.
 

@@ -124,7 +124,8 @@ class Cells:
         values = {}
         for name, (c, weight, a, b) in spots.items():
             below, above = F.try_element_at("_found", a), F.try_element_at("_found", b)
-            values[name] = F.when(F.col(METRIC) == c, below + (above - below) * weight)
+            between = F.when(weight > 0, below + (above - below) * weight).otherwise(below)
+            values[name] = F.when(F.col(METRIC) == c, between)
         return self._one_row(found, values)
 
     def nearest(self, column: str, points: Mapping[str, float], population: DataFrame) -> DataFrame:
