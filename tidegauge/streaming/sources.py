@@ -13,7 +13,7 @@ def file_stream(
     file_format: str = "parquet",
     files: str | None = None,
     max_files: int | None = None,
-    max_bytes: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """A stream over the files of a folder; ``files`` is a name pattern.
 
