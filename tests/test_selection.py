@@ -7,12 +7,20 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidegauge.operators import latency as m
+from tidegauge.operators import selection
 from tidegauge.operators.ordering import number_rows, previous, running_sum
 from tidegauge.operators.selection import linear_percentiles
 
 MS = 1_000_000
 
 
+@pytest.fixture(params=["sorted arrays", "cells", "both"])
+def path(request, monkeypatch):
+    """Run with every group small, with every group large, and with some of each."""
+    limit = {"sorted arrays": 100_000, "cells": 0, "both": 25}[request.param]
+    monkeypatch.setattr(selection, "GROUP_ROWS_MAX", limit)
+
+
 def frame(spark, groups: dict, kind: str = "double"):
     rows = [(k, v) for k, values in groups.items() for v in values]
     return spark.createDataFrame(rows, f"k string, x {kind}")
@@ -26,8 +34,8 @@ SAMPLES = st.dictionaries(
 
 
 @given(SAMPLES)
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-def test_percentiles_are_numpys(spark, groups):
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_percentiles_are_numpys(spark, path, groups):
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = {r["k"]: r for r in linear_percentiles(frame(spark, groups), ["k"], {"x": points}).collect()}
     assert set(got) == set(groups)
@@ -36,7 +44,7 @@ def test_percentiles_are_numpys(spark, groups):
             assert got[k][name] == pytest.approx(np.percentile(values, p * 100), rel=1e-9, abs=1e-9)
 
 
-def test_several_columns_at_once(spark):
+def test_several_columns_at_once(spark, path):
     df = spark.range(1, 101).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"), (F.col("id") * -1.5).alias("b"))
     got = linear_percentiles(df, ["k"], {"a": {"a50": 0.5}, "b": {"b10": 0.1, "b90": 0.9}}).orderBy("k").collect()
     odd = np.arange(1, 101, 2)
@@ -48,13 +56,13 @@ def test_several_columns_at_once(spark):
     }
 
 
-def test_nulls_and_infinities(spark):
+def test_nulls_and_infinities(spark, path):
     df = frame(spark, {"a": [None, 1.0, float("inf"), float("-inf"), 0.0], "b": [None]})
     got = linear_percentiles(df, ["k"], {"x": {"lo": 0.0, "third": 1 / 3, "hi": 1.0}}).collect()
     assert [tuple(r) for r in got] == [("a", float("-inf"), 0.0, float("inf"))]
 
 
-def test_hot_value(spark):
+def test_hot_value(spark, path):
     """One value holds most of a group."""
     df = spark.range(20000).select(F.lit("a").alias("k"), F.when(F.col("id") < 15000, 7.0).otherwise(F.col("id") * 1.0).alias("x"))
     got = linear_percentiles(df, ["k"], {"x": {"p50": 0.5, "p80": 0.8}}).first()
@@ -76,7 +84,7 @@ def latencies(spark, values):
         ([i * MS for i in range(1, 101)] + [1_000_000 * MS], 50, 99, 1),
     ],
 )
-def test_latency_cases(spark, values, p50, p99, outliers):
+def test_latency_cases(spark, path, values, p50, p99, outliers):
     log = latencies(spark, values)
     got = m.latency_percentiles(log, ["k"]).first()
     assert got["p50_ms"] == p50 and got["p99_ms"] == p99
@@ -89,7 +97,7 @@ def test_latency_cases(spark, values, p50, p99, outliers):
     assert (moments["min_ms"], moments["max_ms"]) == (min(values) / 1e6, max(values) / 1e6)
 
 
-def test_percentiles_are_clamped(spark):
+def test_percentiles_are_clamped(spark, path):
     got = m.latency_percentiles(latencies(spark, [0, 0, 0]), ["k"]).first()
     assert got["p50_ms"] == 1 / 1e6
     got = m.latency_percentiles(latencies(spark, [90_000 * MS] * 3), ["k"]).first()
@@ -115,7 +123,7 @@ def full_log(spark, rows):
     return m.derive_rates(df)
 
 
-def test_summary_of_warm_up_only_is_zero(spark):
+def test_summary_of_warm_up_only_is_zero(spark, path):
     log = full_log(
         spark,
         [
@@ -131,7 +139,7 @@ def test_summary_of_warm_up_only_is_zero(spark):
     assert b["rows_per_second_mean"] == b["rows_per_second_p99"] == 5000.0
 
 
-def test_empty_log(spark):
+def test_empty_log(spark, path):
     log = full_log(spark, [])
     assert m.summarize(log).count() == 0
     assert m.latency_percentiles(log, ["operation"]).count() == 0
@@ -177,3 +185,16 @@ def test_load_rates(spark):
     got = {r["load_id"]: r for r in m.load_rates(df, "load_id", "at_us", "id", "n").collect()}
     assert (got["a"]["min_rate"], got["a"]["avg_rate"], got["a"]["max_rate"], got["a"]["overall_rate"]) == (20, 22.5, 25, 25)
     assert (got["b"]["avg_rate"], got["b"]["overall_rate"], got["b"]["total_rows"]) == (0, 0, 5)
+
+
+def test_full_cells_are_split(spark, monkeypatch):
+    """The third scan gives the same answer as two."""
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(1000, 1, 3000).tolist(), "b": rng.normal(-5, 3, 500).tolist(), "c": [4.0] * 700 + [4.0001]}
+    points = {"x": {"p10": 0.1, "p50": 0.5, "p999": 0.999}}
+    monkeypatch.setattr(selection, "GROUP_ROWS_MAX", 0)
+    monkeypatch.setattr(selection, "CELL_ROWS_MAX", 10)
+    got = {r["k"]: r for r in linear_percentiles(frame(spark, groups), ["k"], points).collect()}
+    for k, values in groups.items():
+        for name, p in points["x"].items():
+            assert got[k][name] == pytest.approx(np.percentile(values, p * 100), rel=1e-12)

@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from tidegauge.functions.scalar import BYTES_PER_MIB, ratio
 from tidegauge.operators.keys import keyed_join
 from tidegauge.operators.ordering import running_sum
-from tidegauge.operators.selection import Cells, linear_percentiles
+from tidegauge.operators.selection import (
+    Cells,
+    by_group_size,
+    linear_at,
+    linear_percentiles,
+    nearest_rank,
+    sorted_values,
+)
 from tidegauge.session import materialize
 
 SUMMARY_KEYS = ("run_id", "database_name", "operation", "batch_size", "workers")
@@ -24,6 +31,7 @@ SUMMARY_KEYS = ("run_id", "database_name", "operation", "batch_size", "workers")
 LATENCY_POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 LATENCY_MIN_NS, LATENCY_MAX_NS = 1, 60_000_000_000
 
+MEASURES = ("elapsed_ns", "rows_processed", "rows_per_second", "mb_per_second")
 QUARTILES = {"q1": 0.25, "q3": 0.75}
 RATE_POINTS = {"p95": 0.95, "p99": 0.99}
 MOMENTS = ("mean_ms", "min_ms", "max_ms", "stddev_ms")
@@ -64,11 +72,7 @@ def pass_totals(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def quartiles(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
     """q1, q3 and their distance, linearly interpolated."""
-    return _quartiles(Cells.of(log, keys, [value]), value)
-
-
-def _quartiles(cells: Cells, value: str) -> DataFrame:
-    return cells.linear({value: QUARTILES}).withColumn("iqr", F.col("q3") - F.col("q1"))
+    return linear_percentiles(log, keys, {value: QUARTILES}).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def with_fences(found: DataFrame) -> DataFrame:
@@ -83,7 +87,8 @@ def with_fences(found: DataFrame) -> DataFrame:
 
 def flag_outliers(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
     """Every row with ``is_outlier`` against the fences of its group."""
-    fenced = keyed_join(log, with_fences(quartiles(log, keys, value)), list(keys))
+    bounds = materialize(with_fences(quartiles(log, keys, value)), "fences")
+    fenced = keyed_join(log, bounds, list(keys))
     outside = (F.col(value) < F.col("fence_lo")) | (F.col(value) > F.col("fence_hi"))
     return fenced.withColumn("is_outlier", outside).drop("q1", "q3", "iqr", "fence_lo", "fence_hi")
 
@@ -107,23 +112,47 @@ def _population(value: str) -> list:
     ]
 
 
-def latency_percentiles(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
-    """p50, p95, p99 and p99.9 in ms over the samples that are not outliers.
+def _trimmed(grouped: DataFrame, values: str) -> DataFrame:
+    """Fences, population and latency percentiles from the sorted array ``values``."""
+    array = F.col(values)
+    fenced = with_fences(
+        grouped.withColumns({name: linear_at(array, p) for name, p in QUARTILES.items()}).withColumn(
+            "iqr", F.col("q3") - F.col("q1")
+        )
+    )
+    lower = F.size(F.filter(array, lambda x: x < F.col("fence_lo")))
+    upper = F.size(F.filter(array, lambda x: x > F.col("fence_hi")))
+    counted = fenced.withColumn("skip", lower).withColumn("n", F.size(array) - F.col("skip") - upper)
+    at = {name: F.get(array, (F.col("skip") + nearest_rank(F.col("n"), p) - 1).cast("int")) for name, p in LATENCY_POINTS.items()}
+    return counted.withColumns(at)
 
-    Four scans: cell counts, quartiles, who is inside the fences, the percentiles.
-    """
+
+def latency_percentiles(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
+    """p50, p95, p99 and p99.9 in ms over the samples that are not outliers."""
     keys = list(keys)
-    cells = Cells.of(log, keys, [value])
-    bounds = with_fences(_quartiles(cells, value)).select(*keys, "iqr", "fence_lo", "fence_hi")
-    fenced = keyed_join(log.select(*keys, value), bounds, keys)
-    population = materialize(fenced.groupBy(*keys).agg(*_population(value)), "population")
-    found = cells.nearest(value, LATENCY_POINTS, population)
-    return found.select(*keys, *[_reported(name) for name in LATENCY_POINTS])
+
+    def small(rows: DataFrame) -> DataFrame:
+        grouped = rows.groupBy(*keys).agg(sorted_values(F.col(value)).alias("_sorted"))
+        return _trimmed(grouped.where(F.size("_sorted") > 0), "_sorted").select(*keys, *_all_reported())
+
+    def large(rows: DataFrame) -> DataFrame:
+        cells = Cells.of(rows, keys, [value])
+        found = cells.linear({value: QUARTILES}).withColumn("iqr", F.col("q3") - F.col("q1"))
+        bounds = materialize(with_fences(found).select(*keys, "iqr", "fence_lo", "fence_hi"), "fences")
+        fenced = keyed_join(rows.select(*keys, value), bounds, keys)
+        population = materialize(fenced.groupBy(*keys).agg(*_population(value)), "population")
+        return cells.nearest(value, LATENCY_POINTS, population).select(*keys, *_all_reported())
+
+    return by_group_size(log, keys, [value], small, large)
+
+
+def _all_reported(prefix: str = "") -> list:
+    return [_reported(name).alias(f"{prefix}{name}_ms") for name in LATENCY_POINTS]
 
 
 def _reported(name: str):
     clamped = F.greatest(F.lit(LATENCY_MIN_NS), F.least(F.lit(LATENCY_MAX_NS), F.col(name)))
-    return (clamped / NANOS_PER_MS).alias(f"{name}_ms")
+    return clamped / NANOS_PER_MS
 
 
 def latency_moments(log: DataFrame, keys: Sequence[str], value: str = "elapsed_ns") -> DataFrame:
@@ -154,40 +183,60 @@ def throughput_stats(
 def summarize(log: DataFrame, keys: Sequence[str] = SUMMARY_KEYS) -> DataFrame:
     """One summary row per group, over its measurement rows; zeros where it has none.
 
-    Four scans of the log, whatever the number of groups; what passes between them is one
-    row per group or cell.
+    Two scans while every group is small; groups too large to sort in a task take five,
+    whatever their number, and pass one row per group or cell between them.
     """
     keys = list(keys)
-    measured = measurement_only(log)
-    cells = Cells.of(measured, keys, ["elapsed_ns", "rows_per_second"])
-    rates = {f"rows_per_second_{name}": p for name, p in RATE_POINTS.items()}
-    linear = cells.linear({"elapsed_ns": QUARTILES, "rows_per_second": rates})
-    linear = materialize(linear.withColumn("iqr", F.col("q3") - F.col("q1")), "quartiles")
-    bounds = with_fences(linear).select(*keys, "iqr", "fence_lo", "fence_hi", *rates)
-    measures = ["phase", "elapsed_ns", "rows_processed", "rows_per_second", "mb_per_second"]
-    plain = keyed_join(log.select(*keys, *measures), bounds, keys, "left")
     # Warm-up rows only keep their group alive.
-    only = {c: F.when(F.col("phase") == "measurement", F.col(c)) for c in measures[1:]}
-    grouped = plain.withColumns(only).groupBy(*keys).agg(
-        *_population("elapsed_ns"),
+    measured = F.col("phase") == "measurement"
+    only = log.select(*keys, *[F.when(measured, F.col(c)).alias(c) for c in MEASURES])
+    rates = {f"rows_per_second_{name}": p for name, p in RATE_POINTS.items()}
+    plain = [
         F.sum("rows_processed").alias("total_rows"),
         F.count("elapsed_ns").alias("sample_count"),
         F.avg("rows_per_second").alias("rows_per_second_mean"),
-        *[F.first(name).alias(name) for name in rates],
         F.avg("mb_per_second").alias("mb_per_second_mean"),
         *[c.alias(f"latency_{n}") for c, n in zip(_moments("elapsed_ns"), MOMENTS)],
+    ]
+
+    def small(rows: DataFrame) -> DataFrame:
+        arrays = [sorted_values(F.col(c)).alias(f"_{c}") for c in ("elapsed_ns", "rows_per_second")]
+        grouped = rows.groupBy(*keys).agg(*plain, *arrays)
+        return _trimmed(grouped, "_elapsed_ns").withColumns(
+            {name: linear_at(F.col("_rows_per_second"), p) for name, p in rates.items()}
+        )
+
+    def large(rows: DataFrame) -> DataFrame:
+        cells = Cells.of(rows, keys, ["elapsed_ns", "rows_per_second"])
+        linear = cells.linear({"elapsed_ns": QUARTILES, "rows_per_second": rates})
+        bounds = with_fences(linear.withColumn("iqr", F.col("q3") - F.col("q1")))
+        bounds = materialize(bounds.select(*keys, "iqr", "fence_lo", "fence_hi", *rates), "fences")
+        grouped = keyed_join(rows, bounds, keys, "left").groupBy(*keys).agg(
+            *plain, *_population("elapsed_ns"), *[F.first(name).alias(name) for name in rates]
+        )
+        grouped = materialize(grouped, "summary")
+        points = cells.nearest("elapsed_ns", LATENCY_POINTS, grouped)
+        return keyed_join(grouped, points, keys, "left")
+
+    columns = [
+        "total_rows", "sample_count", "rows_per_second_mean", *rates, "mb_per_second_mean",
+        *[f"latency_{p}_ms" for p in LATENCY_POINTS], *[f"latency_{n}" for n in MOMENTS],
+        "latency_iqr_ms", "latency_outlier_count",
+    ]
+
+    def finished(rows: DataFrame) -> DataFrame:
+        named = rows.withColumns({f"latency_{p}_ms": _reported(p) for p in LATENCY_POINTS}).withColumns(
+            {
+                "latency_iqr_ms": F.col("iqr") / NANOS_PER_MS,
+                "latency_outlier_count": (F.col("sample_count") - F.col("n")).cast("bigint"),
+            }
+        )
+        empty = F.col("sample_count") == 0
+        return named.select(*keys, *[F.when(empty, F.lit(0)).otherwise(F.col(c)).alias(c) for c in columns])
+
+    return by_group_size(
+        only, keys, ["elapsed_ns"], lambda rows: finished(small(rows)), lambda rows: finished(large(rows))
     )
-    grouped = materialize(grouped, "summary")
-    points = cells.nearest("elapsed_ns", LATENCY_POINTS, grouped.where(F.col("n") > 0))
-    points = points.select(*keys, *[_reported(p).alias(f"latency_{p}_ms") for p in LATENCY_POINTS])
-    out = (
-        keyed_join(grouped, points, keys, "left")
-        .withColumn("latency_iqr_ms", F.col("iqr") / NANOS_PER_MS)
-        .withColumn("latency_outlier_count", F.col("sample_count") - F.col("n"))
-        .drop("iqr", "skip", "n")
-    )
-    values = [c for c in out.columns if c not in keys]
-    return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in values])
 
 
 # The parts of a nested summary and the columns each is stored under.
@@ -222,7 +271,7 @@ def flatten_summary(summary: DataFrame) -> DataFrame:
 
 def running_load(progress: DataFrame, load: str, time_us: str, key: str, rows: str) -> DataFrame:
     """Every progress report with the rows so far and the rate since the load began."""
-    began = progress.groupBy(load).agg(F.min(time_us).alias("_began"))
+    began = materialize(progress.groupBy(load).agg(F.min(time_us).alias("_began")), "began")
     summed = running_sum(progress, [load], [time_us, key], {rows: "rows_so_far"})
     elapsed = (F.col(time_us) - F.col("_began")) / 1e6
     return (

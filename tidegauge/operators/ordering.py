@@ -49,7 +49,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
     placed = ranged(df, [F.col(c) for c in order], "numbered")
     # One row per chunk, so the window without keys sees at most one row per partition.
     totals = placed.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n"))
-    numbered = keyed_join(placed, _offsets(totals, [], ["n"]), [CHUNK])
+    numbered = keyed_join(placed, materialize(_offsets(totals, [], ["n"]), "offsets"), [CHUNK])
     return numbered.withColumn(name, F.col("_before_n") + F.col(POSITION) + 1).drop(
         CHUNK, POSITION, "_before_n"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.scalar import BYTES_PER_MIB
 from tidegauge.operators.keys import keyed_join
 from tidegauge.operators.ordering import previous
+from tidegauge.session import materialize
 
 _TOTALS = ("disk_read_mb", "disk_write_mb", "net_sent_mb", "net_recv_mb")
 
@@ -21,7 +22,7 @@ def resource_summary(samples: DataFrame, run: str = "run_id", key: str = "sample
     never sorted in one task.
     """
     place = F.struct("timestamp_ns", key)
-    first = samples.groupBy(run).agg(F.min(place).alias("_first"))
+    first = materialize(samples.groupBy(run).agg(F.min(place).alias("_first")), "first")
     cpu = F.when(place != F.col("_first"), F.col("cpu_percent"))
     return (
         keyed_join(samples, first, [run])
@@ -70,7 +71,7 @@ def resource_rows(summaries: DataFrame, value: str = "resource_cpu_percent_mean"
 
 def resource_timeline(samples: DataFrame, run: str = "run_id") -> DataFrame:
     """CPU and memory over seconds since each run's first sample."""
-    began = samples.groupBy(run).agg(F.min("timestamp_ns").alias("_began"))
+    began = materialize(samples.groupBy(run).agg(F.min("timestamp_ns").alias("_began")), "began")
     return (
         keyed_join(samples, began, [run])
         .withColumn("time_s", (F.col("timestamp_ns") - F.col("_began")) / 1e9)
