@@ -22,7 +22,7 @@ def events_rollup(t, granularity="1 hour") -> r.Rollup:
 
 
 def _rollup_sql(width: str = "1 HOUR", rows: str = "events", where: str = "") -> str:
-    return f"""SELECT time_bucket(INTERVAL {width}, ts) AS ts_bucket, event_type, round(avg(value), 6) AS avg_value,
+    return f"""SELECT time_bucket(INTERVAL {width}, ts) AS ts_bucket, event_type, round(avg(value) + 1e-10, 6) AS avg_value,
                min(value) AS min_value, max(value) AS max_value FROM {rows} GROUP BY 1, 2 {where}"""
 
 
@@ -31,7 +31,7 @@ _IN_VIEW = f"HAVING ts_bucket >= TIMESTAMP '{START}' AND ts_bucket < TIMESTAMP '
 
 @query(
     "bucket_tag_agg",
-    f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts_bucket, event_type, round(avg(value), 6) AS avg_value
+    f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts_bucket, event_type, round(avg(value) + 1e-10, 6) AS avg_value
         FROM events WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}' GROUP BY 1, 2""",
 )
 def _(t):
@@ -48,8 +48,8 @@ def _(t):
 @query(
     "rollup_create_all_metrics",
     """SELECT time_bucket(INTERVAL 1 DAY, l_shipdate) AS ts_bucket, l_returnflag, l_linestatus,
-              round(avg(l_quantity), 6) AS avg_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity,
-              round(avg(l_extendedprice), 6) AS avg_l_extendedprice, min(l_extendedprice) AS min_l_extendedprice,
+              round(avg(l_quantity) + 1e-10, 6) AS avg_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity,
+              round(avg(l_extendedprice) + 1e-10, 6) AS avg_l_extendedprice, min(l_extendedprice) AS min_l_extendedprice,
               max(l_extendedprice) AS max_l_extendedprice FROM lineitem GROUP BY 1, 2, 3""",
 )
 def _(t):

@@ -243,7 +243,7 @@ def _(t):
 
 
 def _bucket_sql(width: str, where: str = "", origin: str = "") -> str:
-    return f"""SELECT time_bucket(INTERVAL {width}, ts{origin}) AS bucket, round(avg(value), 6) AS avg_value,
+    return f"""SELECT time_bucket(INTERVAL {width}, ts{origin}) AS bucket, round(avg(value) + 1e-10, 6) AS avg_value,
                min(value) AS min_value, max(value) AS max_value FROM events {where} GROUP BY 1"""
 
 
@@ -255,8 +255,8 @@ def _(t):
 @query(
     "bucket_agg_all_metrics",
     """SELECT time_bucket(INTERVAL 1 DAY, l_shipdate) AS bucket,
-              round(avg(l_quantity), 6) AS avg_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity,
-              round(avg(l_extendedprice), 6) AS avg_l_extendedprice, min(l_extendedprice) AS min_l_extendedprice,
+              round(avg(l_quantity) + 1e-10, 6) AS avg_l_quantity, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity,
+              round(avg(l_extendedprice) + 1e-10, 6) AS avg_l_extendedprice, min(l_extendedprice) AS min_l_extendedprice,
               max(l_extendedprice) AS max_l_extendedprice FROM lineitem GROUP BY 1""",
 )
 def _(t):
@@ -279,7 +279,7 @@ def _(t):
 
 @query(
     "tag_agg",
-    f"""SELECT user_id, count(*) AS cnt, round(avg(value), 6) AS avg_value FROM events WHERE {IN_WINDOW} GROUP BY 1""",
+    f"""SELECT user_id, count(*) AS cnt, round(avg(value) + 1e-10, 6) AS avg_value FROM events WHERE {IN_WINDOW} GROUP BY 1""",
 )
 def _(t):
     return tidy(q.tag_agg(t.events, "user_id", "value", "ts", START, END))
@@ -349,7 +349,7 @@ def _(t):
 
 @query(
     "window_sweep_bucket",
-    f"""{_HITS} SELECT window_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, round(avg(value), 6) AS avg_value,
+    f"""{_HITS} SELECT window_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, round(avg(value) + 1e-10, 6) AS avg_value,
         min(value) AS min_value, max(value) AS max_value FROM h GROUP BY 1, 2""",
 )
 def _(t):
@@ -358,7 +358,7 @@ def _(t):
 
 @query(
     "window_sweep_tag",
-    f"{_HITS} SELECT window_id, user_id, count(*) AS cnt, round(avg(value), 6) AS avg_value FROM h GROUP BY 1, 2",
+    f"{_HITS} SELECT window_id, user_id, count(*) AS cnt, round(avg(value) + 1e-10, 6) AS avg_value FROM h GROUP BY 1, 2",
 )
 def _(t):
     return tidy(s.sweep_tag(t.events, "ts", daily_windows(t.events), "user_id", "value"))
@@ -407,7 +407,7 @@ def _(t):
 
 @query(
     "query_pool_bucket",
-    f"""{_HITS} SELECT window_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, round(avg(value), 6) AS avg_value,
+    f"""{_HITS} SELECT window_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, round(avg(value) + 1e-10, 6) AS avg_value,
         min(value) AS min_value, max(value) AS max_value FROM h GROUP BY 1, 2""",
 )
 def _(t):

@@ -16,7 +16,7 @@ from tidegauge.streaming.sources import file_stream
 from workload.base import query, tidy
 from workload.series import daily_windows
 
-_MERGED = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts_bucket, event_type, round(avg(value), 6) AS avg_value,
+_MERGED = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts_bucket, event_type, round(avg(value) + 1e-10, 6) AS avg_value,
     min(value) AS min_value, max(value) AS max_value FROM {rows} GROUP BY 1, 2"""
 
 
