@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest test data."""
+"""Every registered query against its SQL, on the smallest test data, and its plan."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ import workload
 from tests.check_oracles import connect, difference
 
 
+# Nested loops, cross joins and Python in the data path.
+NEVER = ("BroadcastNestedLoopJoin", "CartesianProduct", "EvalPython", "InPandas", "InArrow")
+
+
 @pytest.fixture(scope="module")
 def sql(small):
     return connect(small)
@@ -15,7 +19,11 @@ def sql(small):
 
 @pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query(name, spark, small, sql):
-    got = workload.QUERIES[name](spark, small).toPandas()
+    df = workload.QUERIES[name](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in NEVER:
+        assert node not in plan
+    got = df.toPandas()
     if name in workload.ORACLES:
         assert difference(got, sql.execute(workload.ORACLES[name]).fetchdf()) is None
     else:

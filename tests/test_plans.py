@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-import pytest
-
-import workload
 from tidegauge.operators import queries as q
 from tidegauge.operators import sweep as s
 from tidegauge.operators.prepare import time_filter
@@ -22,13 +19,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in workload.QUERIES if not n.startswith("stream_")])
-def test_no_nested_loops_and_no_python(name, spark, small):
-    text = plan(workload.QUERIES[name](spark, small))
-    for node in ("BroadcastNestedLoopJoin", "CartesianProduct", "EvalPython", "InPandas", "InArrow", "Generate python"):
-        assert node not in text
-
-
 def test_window_reaches_the_scan_with_few_columns(events):
     text = plan(q.bucket_agg(events, "ts", "value", "1 hour", START, END))
     assert "GreaterThanOrEqual(ts,2024-01-05T00:00)" in text and "LessThan(ts,2024-01-06T00:00)" in text

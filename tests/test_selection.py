@@ -69,39 +69,40 @@ def test_hot_value(spark, path):
     assert got["p50"] == 7.0 and got["p80"] == pytest.approx(np.percentile([7.0] * 15000 + list(range(15000, 20000)), 80))
 
 
-def latencies(spark, values):
-    return spark.createDataFrame([("g", v) for v in values], "k string, elapsed_ns bigint")
-
-
-@pytest.mark.parametrize(
-    ("values", "p50", "p99", "outliers"),
-    [
-        ([5 * MS], 5, 5, 0),
-        ([7 * MS] * 100, 7, 7, 0),
-        ([i * MS for i in range(1, 101)], 50, 99, 0),
-        ([MS] * 99 + [10_000 * MS], 1, 1, 1),
-        ([100 * MS] * 99 + [1000], 100, 100, 1),
-        ([i * MS for i in range(1, 101)] + [1_000_000 * MS], 50, 99, 1),
-    ],
-)
-def test_latency_cases(spark, path, values, p50, p99, outliers):
-    log = latencies(spark, values)
-    got = m.latency_percentiles(log, ["k"]).first()
-    assert got["p50_ms"] == p50 and got["p99_ms"] == p99
-    assert got["p50_ms"] <= got["p95_ms"] <= got["p99_ms"] <= got["p999_ms"] < 10_000
-    counted = m.outlier_counts(log, ["k"]).first()
-    assert counted["outlier_count"] == outliers and counted["sample_count"] == len(values)
-    moments = m.latency_moments(log, ["k"]).first()
-    assert moments["mean_ms"] == pytest.approx(np.mean(values) / 1e6)
-    assert moments["stddev_ms"] == pytest.approx(np.std(values) / 1e6)
-    assert (moments["min_ms"], moments["max_ms"]) == (min(values) / 1e6, max(values) / 1e6)
+def latencies(spark, groups):
+    return spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "k string, elapsed_ns bigint")
+
+
+# name: samples, p50, p99, outliers
+LATENCY_CASES = {
+    "one": ([5 * MS], 5, 5, 0),
+    "equal": ([7 * MS] * 100, 7, 7, 0),
+    "ramp": ([i * MS for i in range(1, 101)], 50, 99, 0),
+    "slow one": ([MS] * 99 + [10_000 * MS], 1, 1, 1),
+    "fast one": ([100 * MS] * 99 + [1000], 100, 100, 1),
+    "ramp and a giant": ([i * MS for i in range(1, 101)] + [1_000_000 * MS], 50, 99, 1),
+}
+
+
+def test_latency_cases(spark, path):
+    log = latencies(spark, {k: case[0] for k, case in LATENCY_CASES.items()})
+    percentiles = {r["k"]: r for r in m.latency_percentiles(log, ["k"]).collect()}
+    counts = {r["k"]: r for r in m.outlier_counts(log, ["k"]).collect()}
+    moments = {r["k"]: r for r in m.latency_moments(log, ["k"]).collect()}
+    for k, (values, p50, p99, outliers) in LATENCY_CASES.items():
+        got = percentiles[k]
+        assert got["p50_ms"] == p50 and got["p99_ms"] == p99
+        assert got["p50_ms"] <= got["p95_ms"] <= got["p99_ms"] <= got["p999_ms"] < 10_000
+        assert counts[k]["outlier_count"] == outliers and counts[k]["sample_count"] == len(values)
+        assert moments[k]["mean_ms"] == pytest.approx(np.mean(values) / 1e6)
+        assert moments[k]["stddev_ms"] == pytest.approx(np.std(values) / 1e6)
+        assert (moments[k]["min_ms"], moments[k]["max_ms"]) == (min(values) / 1e6, max(values) / 1e6)
 
 
 def test_percentiles_are_clamped(spark, path):
-    got = m.latency_percentiles(latencies(spark, [0, 0, 0]), ["k"]).first()
-    assert got["p50_ms"] == 1 / 1e6
-    got = m.latency_percentiles(latencies(spark, [90_000 * MS] * 3), ["k"]).first()
-    assert got["p99_ms"] == 60_000
+    log = latencies(spark, {"zero": [0, 0, 0], "long": [90_000 * MS] * 3})
+    got = {r["k"]: r for r in m.latency_percentiles(log, ["k"]).collect()}
+    assert got["zero"]["p50_ms"] == 1 / 1e6 and got["long"]["p99_ms"] == 60_000
 
 
 def test_rates(spark):

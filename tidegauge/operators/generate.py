@@ -99,14 +99,16 @@ def generate_series(
 ) -> DataFrame:
     """A regular grid of readings for the device numbers in ``devices(device bigint)``.
 
-    By default the readings span exactly 24 hours. Long series are cut into blocks that
+    By default the readings span exactly 24 hours. Series are cut into blocks, and these
     are spread over the tasks before they are expanded.
     """
     readings = max(readings, 1)
     blocks = F.sequence(F.lit(0).cast("bigint"), F.lit((readings - 1) // READINGS_PER_BLOCK).cast("bigint"))
     spread = devices.select(F.col("device").cast("bigint").alias("device"), F.explode(blocks).alias("_block"))
-    if readings > READINGS_PER_BLOCK:
-        spread = spread.repartition("device", "_block")
+    # A fixed number of tasks: the blocks are small until they are expanded, so their size
+    # would be a wrong guide.
+    tasks = int(devices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(tasks, "device", "_block")
     first = F.col("_block") * READINGS_PER_BLOCK
     last = F.least(first + READINGS_PER_BLOCK, F.lit(readings).cast("bigint")) - 1
     grid = spread.select("device", F.explode(F.sequence(first, last)).alias("reading"))

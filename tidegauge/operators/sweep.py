@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -162,27 +163,50 @@ def window_sweep(
     """Row counts and time bounds of the scan for every window x size x limit.
 
     The result names each combination the way a sweep over sizes and limits does, e.g.
-    ``time_range_1h_limit_100``.
+    ``time_range_1h_limit_100``. Windows of all sizes are matched together, and one rank
+    serves all limits.
     """
-    out = []
-    for size, windows in sized_windows.items():
-        for limit in limits:
-            parts = ["time_range"]
-            if len(sized_windows) > 1:
-                parts.append(size)
-            if limit > 0 and len(limits) > 1:
-                parts.append(f"limit_{limit}")
-            rows = sweep_range(df, time, windows, key, limit)
-            out.append(
-                rows.groupBy("window_id")
-                .agg(
-                    F.count(F.lit(1)).alias("n_rows"),
-                    F.min(time).alias("first_ts"),
-                    F.max(time).alias("last_ts"),
-                )
-                .select(F.lit("_".join(parts)).alias("operation"), "*")
-            )
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+    windows = reduce(
+        DataFrame.unionByName,
+        [
+            w.select(F.struct(F.lit(size).alias("size"), "window_id").alias("window_id"), "start", "end")
+            for size, w in sized_windows.items()
+        ],
+    )
+    needed = list(dict.fromkeys([time, *key]))
+    ranked, parts = [n for n in limits if n > 0], []
+    if 0 in limits:
+        parts.append(_extents(match_windows(df, time, windows, needed), time, {0: F.lit(True)}))
+    if ranked:
+        order = W.partitionBy("window_id").orderBy(time, *key)
+        first = match_windows(df, time, windows, needed).withColumn("_rank", F.row_number().over(order))
+        first = first.where(F.col("_rank") <= max(ranked))
+        parts.append(_extents(first, time, {n: F.col("_rank") <= n for n in ranked}))
+    name = [F.lit("time_range")]
+    if len(sized_windows) > 1:
+        name.append(F.col("window_id.size"))
+    if len(limits) > 1:
+        name.append(F.when(F.col("_limit") > 0, F.concat(F.lit("limit_"), F.col("_limit"))))
+    return reduce(DataFrame.unionByName, parts).select(
+        F.concat_ws("_", *name).alias("operation"),
+        F.col("window_id.window_id").alias("window_id"),
+        "n_rows",
+        "first_ts",
+        "last_ts",
+    )
+
+
+def _extents(matched: DataFrame, time: str, limits: dict[int, Column]) -> DataFrame:
+    """Rows, first and last time of every window, once per limit."""
+    wide = matched.groupBy("window_id").agg(
+        *[
+            F.struct(
+                F.lit(n).alias("_limit"),
+                F.count(F.when(inside, 1)).alias("n_rows"),
+                F.min(F.when(inside, F.col(time))).alias("first_ts"),
+                F.max(F.when(inside, F.col(time))).alias("last_ts"),
+            ).alias(f"_{n}")
+            for n, inside in limits.items()
+        ]
+    )
+    return wide.select("window_id", F.inline(F.array(*[f"_{n}" for n in limits])))

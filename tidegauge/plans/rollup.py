@@ -81,18 +81,23 @@ def create_rollup(df: DataFrame, rollup: Rollup) -> None:
 
 
 def refresh_rollup(
-    df: DataFrame, rollup: Rollup, start: datetime | None = None, end: datetime | None = None
+    df: DataFrame,
+    rollup: Rollup,
+    start: datetime | None = None,
+    end: datetime | None = None,
+    partition: tuple[str, str] | None = None,
 ) -> tuple[datetime, datetime] | None:
     """Recompute the buckets a window touches; without a window, all of them.
 
     The window grows to whole buckets and then to whole partitions, the unit that is
-    replaced. Returns the raw time range that was read.
+    replaced. Returns the raw time range that was read. ``partition=(column, unit)`` names
+    the raw table's time partition, so that only the partitions in range are opened.
     """
     if start is None or end is None:
         create_rollup(df, rollup)
         return None
     span = affected(rollup, start, end)
-    _write(rollup.rows(time_filter(df, rollup.time, *span)), rollup, "dynamic")
+    _write(rollup.rows(time_filter(df, rollup.time, *span, partition)), rollup, "dynamic")
     return span
 
 

@@ -500,9 +500,14 @@ def _(t):
     return tidy(v.report_rollup(labelled(t), runs(t)))
 
 
+def _half_up(value: str) -> str:
+    """Three digits with ties away from zero in decimal, which is how Spark rounds."""
+    return f"CAST(round(CAST({value} AS DECIMAL(28, 9)), 3) AS DOUBLE)"
+
+
 @query(
     "mean_by_op_db",
-    f"{_SUMMARIES} SELECT operation, database_name, round(avg(latency_p99_ms), 3) AS latency_p99_ms FROM summaries GROUP BY 1, 2",
+    f"{_SUMMARIES} SELECT operation, database_name, {_half_up('avg(latency_p99_ms)')} AS latency_p99_ms FROM summaries GROUP BY 1, 2",
 )
 def _(t):
     return c.mean_by_op_db(summaries(t), "latency_p99_ms")
@@ -515,7 +520,7 @@ def _(t):
         f"SELECT operation, database_name, '{label}' AS percentile, {x} AS ms FROM summaries"
         for x, label in c.PERCENTILE_LABELS.items()
     )
-    + ") SELECT operation, percentile, database_name, round(avg(ms), 3) AS latency_ms FROM u WHERE ms IS NOT NULL GROUP BY 1, 2, 3",
+    + f") SELECT operation, percentile, database_name, {_half_up('avg(ms)')} AS latency_ms FROM u WHERE ms IS NOT NULL GROUP BY 1, 2, 3",
 )
 def _(t):
     return c.percentile_melt(summaries(t))
