@@ -17,7 +17,7 @@ from tidegauge.functions.buckets import EPOCH, interval_text
 from tidegauge.functions.scalar import hashed_bits, hashed_unit, micros
 from tidegauge.operators.keys import keyed_join
 from tidegauge.operators.prepare import time_filter
-from tidegauge.operators.queries import first_rows
+from tidegauge.operators.queries import slice_by_time
 from tidegauge.schema import SeriesSchema
 from tidegauge.sources.extent import time_bounds
 
@@ -220,8 +220,9 @@ def late_rows(
 def _hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The ``n`` rows with the smallest hash, which is a sample without replacement.
 
-    Hashes are uniform, so ``first_rows`` on them cuts the scan to about ``n`` rows.
+    Hashes are uniform, so a slice of them is about ``n`` rows and no more are sorted.
     """
     hashed = hashed_bits([F.lit("sample"), F.lit(seed), F.col(key)])
     ranked = df.withColumn("_hash", F.timestamp_micros(F.shiftright(hashed, 8)))
-    return first_rows(ranked, "_hash", [key], n).drop("_hash")
+    span = (EPOCH, EPOCH + timedelta(microseconds=1 << 52))
+    return slice_by_time(ranked, "_hash", [key], 0, n, span).drop("_hash")

@@ -54,11 +54,6 @@ def time_range(
     return slice_by_time(rows, time, list(key), 0, limit, None if start is None else (start, end))
 
 
-def first_rows(df: DataFrame, time: str, key: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows by (time, key)."""
-    return slice_by_time(df, time, key, 0, n)
-
-
 def slice_by_time(
     df: DataFrame,
     time: str,

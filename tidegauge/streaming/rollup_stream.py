@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegauge.functions.buckets import bucket, interval_text, width_of
+from tidegauge.functions.buckets import EPOCH, bucket, interval_text, width_of
 from tidegauge.operators.prepare import partition_value
 from tidegauge.operators.queries import average, merged, partials
 from tidegauge.plans.rollup import BUCKET, DATE, Rollup
@@ -32,10 +32,12 @@ LATENESS = timedelta(hours=48)
 def stateful_rollup(stream: DataFrame, rollup: Rollup, lateness: timedelta = LATENESS) -> DataFrame:
     """Tumbling partial results per bucket and tags, for output mode ``update``."""
     timed = stream.withColumn(rollup.time, F.col(rollup.time).cast("timestamp"))
-    width = interval_text(width_of(rollup.granularity))
+    width = width_of(rollup.granularity)
+    shift = (rollup.origin - EPOCH) % width
+    held = F.window(rollup.time, interval_text(width), None, interval_text(shift) if shift else None)
     return (
         timed.withWatermark(rollup.time, interval_text(lateness))
-        .groupBy(F.window(rollup.time, width).alias("_window"), *rollup.tags)
+        .groupBy(held.alias("_window"), *rollup.tags)
         .agg(*partials(rollup.metrics))
         .select(F.col("_window.start").alias(BUCKET), *rollup.tags, *_partial_names(rollup.metrics))
     )
