@@ -200,3 +200,31 @@ def test_shuffle_keeps_the_times_of_a_batch(events):
     assert moved > 0.9 * events.count()
     again = g.shuffle_timestamps(batches.repartition(3), "ts", "batch", "event_id")
     assert again.exceptAll(mixed).count() == 0
+
+
+@pytest.mark.parametrize("at_most", [s.SEGMENT_WINDOWS_MAX, 0])
+def test_bucket_sweep_by_segments_and_by_rows(spark, events, monkeypatch, at_most):
+    """Overlapping, nested, repeated, touching, empty and outlying windows."""
+    monkeypatch.setattr(s, "SEGMENT_WINDOWS_MAX", at_most)
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    windows = [
+        (day(3), day(9)), (day(4), day(5, 7)), (day(4), day(5, 7)), (day(9), day(10)), (day(20), day(20)),
+        (day(20, 3), day(20, 4)), (datetime(2023, 1, 1), datetime(2023, 6, 1)), (day(29), datetime(2024, 6, 1)),
+    ]
+    got = s.sweep_bucket(events, "ts", s.windows_frame(spark, windows), "value", "6 hours")
+    want = []
+    for i, (start, end) in enumerate(windows):
+        for r in q.bucket_agg(events, "ts", "value", "6 hours", start, end).collect():
+            want.append((i, r["bucket"], round(r["avg_value"], 9), r["min_value"], r["max_value"]))
+    assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("zone", ["timestamp", "timestamp_ntz"])
+def test_sweeps_take_zoned_times(spark, events, zone):
+    series = events.withColumn("ts", F.col("ts").cast(zone))
+    frame = s.windows_frame(spark, [(datetime(2024, 1, 3), datetime(2024, 1, 4)), (datetime(2024, 1, 3, 12), datetime(2024, 1, 5))])
+    assert s.sweep_bucket(series, "ts", frame, "value").count() > 0
+    assert s.sweep_tag(series, "ts", frame, "event_type", "value").agg(F.sum("cnt")).first()[0] == sum(
+        events.where(F.col("ts").between(a, b)).count()
+        for a, b in [("2024-01-03", "2024-01-03 23:59:59.999999"), ("2024-01-03 12:00:00", "2024-01-04 23:59:59.999999")]
+    )

@@ -8,16 +8,21 @@ equi-join, where a plain range condition would be a nested loop.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.functions.buckets import bucket
-from tidegauge.functions.scalar import micros
-from tidegauge.operators.queries import summaries
+from tidegauge.functions.buckets import EPOCH, bucket
+from tidegauge.functions.scalar import floor_div, micros
+from tidegauge.operators.prepare import literal_time
+from tidegauge.operators.queries import average, merged, partials, summaries
+from tidegauge.session import materialize
+
+# Up to here windows are put together from the segments between their ends.
+SEGMENT_WINDOWS_MAX = 1000
 
 def windows_frame(spark: SparkSession, windows: Sequence[tuple[datetime, datetime]]) -> DataFrame:
     """``(window_id, start, end)`` rows of zone-less UTC moments."""
@@ -109,9 +114,77 @@ def sweep_range(
 def sweep_bucket(
     df: DataFrame, time: str, windows: DataFrame, metric: str, granularity: str = "1 hour"
 ) -> DataFrame:
-    return sweep(
-        df, time, windows, {"bucket": bucket(time, granularity)}, summaries([metric]), [time, metric]
+    """avg, min and max per bucket of every window.
+
+    Overlapping windows share rows. While the windows are few, the time line is cut at
+    all their ends, each row is aggregated once in the segment it lies in, and windows are
+    put together from segments. Many windows are matched row by row.
+    """
+    listed = windows.where(F.col("end") > F.col("start")).select("window_id", "start", "end")
+    if listed.count() > SEGMENT_WINDOWS_MAX:
+        columns = [time, metric]
+        return sweep(df, time, windows, {"bucket": bucket(time, granularity)}, summaries([metric]), columns)
+    segments, cover = _segments(listed)
+    rows = _in_segments(df, time, segments, [metric])
+    partial = rows.groupBy("_segment", bucket(time, granularity).alias("bucket")).agg(*partials([metric]))
+    return (
+        partial.join(cover, "_segment")
+        .groupBy("window_id", "bucket")
+        .agg(*merged([metric]))
+        .select("window_id", "bucket", average(metric).alias(f"avg_{metric}"), f"min_{metric}", f"max_{metric}")
+    )
+
+
+def _segments(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stretches between neighbouring window ends that lie in some window, and the
+    segments of each window. Both are bounded by the square of SEGMENT_WINDOWS_MAX."""
+    ends = windows.select(F.col("start").alias("_start")).union(windows.select("end")).distinct()
+    in_order = W.orderBy("_start")  # over at most two rows per window
+    edges = materialize(
+        ends.select(
+            F.row_number().over(in_order).alias("_segment"), "_start", F.lead("_start").over(in_order).alias("_end")
+        ),
+        "edges",
+    )
+    first = edges.select(F.col("_segment").alias("_first"), F.col("_start").alias("start"))
+    after = edges.select(F.col("_segment").alias("_after"), F.col("_start").alias("end"))
+    cover = materialize(
+        windows.join(first, "start")
+        .join(after, "end")
+        .select("window_id", F.explode(F.expr("sequence(_first, _after - 1)")).alias("_segment")),
+        "cover",
+    )
+    return edges.join(cover, "_segment", "left_semi"), cover
+
+
+def _in_segments(df: DataFrame, time: str, segments: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every row that lies in a segment, with its ``_segment``.
+
+    The span is cut into as many cells as there are segments, so a cell holds about two.
+    """
+    kind = df.schema[time].dataType
+    span = segments.agg(F.min("_start").alias("lo"), F.max("_end").alias("hi"), F.count(F.lit(1)).alias("n"))
+    span = span.select(micros(F.col("lo")).alias("lo"), micros(F.col("hi")).alias("hi"), "n").first()
+    if not span["n"]:
+        return df.select(F.lit(0).alias("_segment"), time, *columns).limit(0)
+    width = max(1, -(-(span["hi"] - span["lo"]) // span["n"]))
+    cell = lambda at: floor_div(at - F.lit(span["lo"]), width)
+    last = cell(micros(F.col("_end")) - 1)
+    listed = segments.select(
+        "_segment",
+        F.col("_start").cast(kind).alias("_start"),
+        F.col("_end").cast(kind).alias("_end"),
+        F.explode(F.sequence(cell(micros(F.col("_start"))), last)).alias("_cell"),
+    )
+    listed = materialize(listed, "segments")
+    moment = lambda us: literal_time(df, time, EPOCH + timedelta(microseconds=us))
+    rows = (
+        df.select(time, *columns)
+        .where((F.col(time) >= moment(span["lo"])) & (F.col(time) < moment(span["hi"])))
+        .withColumn("_cell", cell(micros(F.col(time))))
     )
+    inside = (rows["_cell"] == listed["_cell"]) & (rows[time] >= listed["_start"]) & (rows[time] < listed["_end"])
+    return rows.join(listed, inside).select("_segment", time, *columns)
 
 
 def sweep_tag(df: DataFrame, time: str, windows: DataFrame, tag: str, metric: str) -> DataFrame:
