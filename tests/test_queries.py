@@ -98,15 +98,17 @@ def brute(df, time, windows):
     return sorted(found)
 
 
-def test_sweep_equals_brute_force(spark):
+def test_sweep_equals_brute_force(spark, monkeypatch):
     """Windows of very different lengths, empty ones, and ones that overlap or repeat."""
     df = spark.range(500).select("id", F.expr("CAST(timestamp_millis(id * id * 40) AS timestamp_ntz)").alias("ts"))
     base = datetime(1970, 1, 1)
     moments = [(0, 1), (0, 3600), (17, 17), (40, 10), (5000, 5001), (100, 9000), (100, 9000), (9990, 20000), (1, 100000)]
     windows = [(i, base + timedelta(seconds=a), base + timedelta(seconds=b)) for i, (a, b) in enumerate(moments)]
     frame = s.windows_frame(spark, [w[1:] for w in windows])
-    got = s.sweep_range(df, "ts", frame, ["id"]).select("window_id", "id")
-    assert sorted(rows(got)) == brute(df, "ts", windows)
+    want = brute(df, "ts", windows)
+    assert sorted(rows(s.sweep_range(df, "ts", frame, ["id"]).select("window_id", "id"))) == want
+    monkeypatch.setattr(s, "FEW_WINDOWS", 3)
+    assert sorted(rows(s.sweep_range(df, "ts", frame, ["id"]).select("window_id", "id"))) == want
 
 
 def test_sweep_before_1970_and_exact_powers(spark):
@@ -202,10 +204,11 @@ def test_shuffle_keeps_the_times_of_a_batch(events):
     assert again.exceptAll(mixed).count() == 0
 
 
-@pytest.mark.parametrize("at_most", [s.SEGMENT_WINDOWS_MAX, 0])
-def test_bucket_sweep_by_segments_and_by_rows(spark, events, monkeypatch, at_most):
+@pytest.mark.parametrize("limit", [None, "FEW_WINDOWS", "SEGMENT_PAIRS_MAX"])
+def test_bucket_sweep_by_segments_and_by_rows(spark, events, monkeypatch, limit):
     """Overlapping, nested, repeated, touching, empty and outlying windows."""
-    monkeypatch.setattr(s, "SEGMENT_WINDOWS_MAX", at_most)
+    if limit is not None:
+        monkeypatch.setattr(s, limit, 0)
     day = lambda d, h=0: datetime(2024, 1, d, h)
     windows = [
         (day(3), day(9)), (day(4), day(5, 7)), (day(4), day(5, 7)), (day(9), day(10)), (day(20), day(20)),

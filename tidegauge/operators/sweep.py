@@ -11,30 +11,52 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.buckets import EPOCH, bucket
 from tidegauge.functions.scalar import floor_div, micros
-from tidegauge.operators.prepare import literal_time
+from tidegauge.operators.prepare import literal_time, naive_utc
 from tidegauge.operators.queries import average, merged, partials, summaries
 from tidegauge.session import materialize
 
-# Up to here windows are put together from the segments between their ends.
-SEGMENT_WINDOWS_MAX = 1000
+# Up to here windows are sent along with the plan, and bucket sweeps put them together from
+# the segments between their ends.
+FEW_WINDOWS = 1000
+SEGMENT_PAIRS_MAX = 200_000
 
 def windows_frame(spark: SparkSession, windows: Sequence[tuple[datetime, datetime]]) -> DataFrame:
     """``(window_id, start, end)`` rows of zone-less UTC moments."""
-    rows = [(i, start, end) for i, (start, end) in enumerate(windows)]
-    return spark.createDataFrame(rows, "window_id bigint, start timestamp_ntz, end timestamp_ntz")
+    columns = [list(range(len(windows))), [w[0] for w in windows], [w[1] for w in windows]]
+    return _local_frame(spark, columns, "window_id bigint, start timestamp_ntz, end timestamp_ntz")
+
+
+def _local_frame(spark: SparkSession, columns: Sequence[list], schema: str) -> DataFrame:
+    """A frame whose small size the planner knows."""
+    fields = T.StructType.fromDDL(schema)
+    kinds = {"bigint": pa.int64(), "timestamp_ntz": pa.timestamp("us")}
+    arrays = [pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=fields.names), fields)
+
+
+def _few(windows: DataFrame) -> tuple[DataFrame, pa.Table | None]:
+    """The windows as a frame of known size: a local one, also returned as a table, while
+    there are at most FEW_WINDOWS; a stored one beyond."""
+    listed = windows.where(F.col("end") > F.col("start")).select("window_id", "start", "end")
+    table = listed.limit(FEW_WINDOWS + 1).toArrow()
+    if table.num_rows > FEW_WINDOWS:
+        return materialize(listed, "windows"), None
+    return windows.sparkSession.createDataFrame(table, listed.schema), table
 
 
 def _length_class(windows: DataFrame) -> DataFrame:
     """Windows with their bounds in microseconds and ``_class``, the power of two that
     their length rounds up to."""
     return (
-        windows.where(F.col("end") > F.col("start"))
+        _few(windows)[0]
         .withColumn("_from", micros(F.col("start")))
         .withColumn("_to", micros(F.col("end")))
         .withColumn("_class", F.length(F.bin(F.col("_to") - F.col("_from"))))
@@ -120,12 +142,12 @@ def sweep_bucket(
     all their ends, each row is aggregated once in the segment it lies in, and windows are
     put together from segments. Many windows are matched row by row.
     """
-    listed = windows.where(F.col("end") > F.col("start")).select("window_id", "start", "end")
-    if listed.count() > SEGMENT_WINDOWS_MAX:
+    windows, table = _few(windows)
+    found = None if table is None else _in_segments(df, time, table, [metric])
+    if found is None:
         columns = [time, metric]
         return sweep(df, time, windows, {"bucket": bucket(time, granularity)}, summaries([metric]), columns)
-    segments, cover = _segments(listed)
-    rows = _in_segments(df, time, segments, [metric])
+    rows, cover = found
     partial = rows.groupBy("_segment", bucket(time, granularity).alias("bucket")).agg(*partials([metric]))
     return (
         partial.join(cover, "_segment")
@@ -135,56 +157,47 @@ def sweep_bucket(
     )
 
 
-def _segments(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stretches between neighbouring window ends that lie in some window, and the
-    segments of each window. Both are bounded by the square of SEGMENT_WINDOWS_MAX."""
-    ends = windows.select(F.col("start").alias("_start")).union(windows.select("end")).distinct()
-    in_order = W.orderBy("_start")  # over at most two rows per window
-    edges = materialize(
-        ends.select(
-            F.row_number().over(in_order).alias("_segment"), "_start", F.lead("_start").over(in_order).alias("_end")
-        ),
-        "edges",
-    )
-    first = edges.select(F.col("_segment").alias("_first"), F.col("_start").alias("start"))
-    after = edges.select(F.col("_segment").alias("_after"), F.col("_start").alias("end"))
-    cover = materialize(
-        windows.join(first, "start")
-        .join(after, "end")
-        .select("window_id", F.explode(F.expr("sequence(_first, _after - 1)")).alias("_segment")),
-        "cover",
-    )
-    return edges.join(cover, "_segment", "left_semi"), cover
+def _in_segments(
+    df: DataFrame, time: str, windows: pa.Table, columns: Sequence[str]
+) -> tuple[DataFrame, DataFrame] | None:
+    """Every row that lies in some window, with the ``_segment`` it lies in, and the
+    segments of every window; None when the windows overlap too much to list these.
 
-
-def _in_segments(df: DataFrame, time: str, segments: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every row that lies in a segment, with its ``_segment``.
-
-    The span is cut into as many cells as there are segments, so a cell holds about two.
+    Segments are the stretches between neighbouring window ends. The whole span is cut
+    into as many cells as there are ends, so that a cell holds about two segments and the
+    match is an equi-join on the cell.
     """
-    kind = df.schema[time].dataType
-    span = segments.agg(F.min("_start").alias("lo"), F.max("_end").alias("hi"), F.count(F.lit(1)).alias("n"))
-    span = span.select(micros(F.col("lo")).alias("lo"), micros(F.col("hi")).alias("hi"), "n").first()
-    if not span["n"]:
-        return df.select(F.lit(0).alias("_segment"), time, *columns).limit(0)
-    width = max(1, -(-(span["hi"] - span["lo"]) // span["n"]))
-    cell = lambda at: floor_div(at - F.lit(span["lo"]), width)
-    last = cell(micros(F.col("_end")) - 1)
-    listed = segments.select(
-        "_segment",
-        F.col("_start").cast(kind).alias("_start"),
-        F.col("_end").cast(kind).alias("_end"),
-        F.explode(F.sequence(cell(micros(F.col("_start"))), last)).alias("_cell"),
+    spark, kind = df.sparkSession, df.schema[time].dataType
+    listed = [(w["window_id"], naive_utc(w["start"]), naive_utc(w["end"])) for w in windows.to_pylist()]
+    edges = sorted({t for _, start, end in listed for t in (start, end)})
+    place = {t: i for i, t in enumerate(edges)}
+    if sum(place[end] - place[start] for _, start, end in listed) > SEGMENT_PAIRS_MAX:
+        return None
+    pairs = [(w, i) for w, start, end in listed for i in range(place[start], place[end])]
+    cover = _local_frame(spark, [[w for w, _ in pairs], [i for _, i in pairs]], "window_id bigint, _segment bigint")
+    if not edges:
+        return df.select(F.lit(0).cast("bigint").alias("_segment"), time, *columns).limit(0), cover
+    low, tick = edges[0], timedelta(microseconds=1)
+    width = max(1, -(-((edges[-1] - low) // tick) // len(edges)))
+    cells = [
+        (i, edges[i], edges[i + 1], cell)
+        for i in sorted({i for _, i in pairs})
+        for cell in range((edges[i] - low) // tick // width, (edges[i + 1] - low - tick) // tick // width + 1)
+    ]
+    segments = _local_frame(
+        spark, [list(c) for c in zip(*cells)], "_segment bigint, _start timestamp_ntz, _end timestamp_ntz, _cell bigint"
     )
-    listed = materialize(listed, "segments")
-    moment = lambda us: literal_time(df, time, EPOCH + timedelta(microseconds=us))
+    segments = segments.withColumns({c: F.col(c).cast(kind) for c in ("_start", "_end")})
+    at = micros(F.col(time)) - F.lit((low - EPOCH) // tick)
     rows = (
         df.select(time, *columns)
-        .where((F.col(time) >= moment(span["lo"])) & (F.col(time) < moment(span["hi"])))
-        .withColumn("_cell", cell(micros(F.col(time))))
+        .where((F.col(time) >= literal_time(df, time, low)) & (F.col(time) < literal_time(df, time, edges[-1])))
+        .withColumn("_cell", floor_div(at, width))
+    )
+    inside = (
+        (rows["_cell"] == segments["_cell"]) & (rows[time] >= segments["_start"]) & (rows[time] < segments["_end"])
     )
-    inside = (rows["_cell"] == listed["_cell"]) & (rows[time] >= listed["_start"]) & (rows[time] < listed["_end"])
-    return rows.join(listed, inside).select("_segment", time, *columns)
+    return rows.join(segments, inside).select("_segment", time, *columns), cover
 
 
 def sweep_tag(df: DataFrame, time: str, windows: DataFrame, tag: str, metric: str) -> DataFrame:
@@ -219,6 +232,7 @@ def query_pool(
     As in ``window_sweep`` each answer is one job; the smallest limit applies to the rows.
     """
     limit = min(limits) if limits else 0
+    windows = _few(windows)[0]
     return {
         "time_range": sweep_range(df, time, windows, key, limit),
         "aggregation": sweep_bucket(df, time, windows, metric),

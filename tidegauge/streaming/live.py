@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.operators.sweep import query_pool
+from tidegauge.session import materialize
 
 BATCH = "batch_id"
 
@@ -30,6 +31,7 @@ def load_and_query(
     Tables and answers have a folder per batch, so a replayed batch replaces itself.
     """
     schema = stream.schema
+    windows = materialize(windows, "windows")  # the same ones for every batch
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
