@@ -16,12 +16,14 @@ that every group a pair must agree in could hold one; then it counts like any ot
 Signatures go to their partition packed in arrays, a set's from each task once. Sets that
 share a signature are a bucket. Buckets are answered exactly without comparing all pairs:
 
-1. Every member is verified against the bucket's least one, and links are joined to components.
+1. Every member is verified against the least one of all its buckets, and links are joined to
+   components.
 2. In buckets that still span several components, members are compared across components by
    parity sketches: bit h mod m of a sketch is the parity of the elements that fall on it, so
    two sets differ in at least as many elements as their sketches in bits. Large buckets are
-   compared in pairs of blocks, so no task holds more than two blocks. What a sketch can't
-   rule out is verified, and components are joined again.
+   compared in pairs of blocks, so no task holds more than two blocks. Of the pairs that
+   sketches can't rule out, the closest of each member and component is verified first, and
+   components are joined again; then all pairs that still span components are verified.
 
 Equal sets are one member throughout. Null documents ids link with nothing, nor do empty and
 null texts; fewer than five words are one shingle. Sets count as equal when their 64-bit
@@ -285,8 +287,11 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _unlike(left, right) -> np.ndarray:
-    """For members of two blocks, whether sketches leave a pair of different components possible."""
+def _possible(left, right, closest: bool) -> list[tuple[int, int]]:
+    """Pairs of different components of two blocks that sketches leave possible.
+
+    With ``closest`` only the nearest for each member of the left and component.
+    """
     width = min(min(len(m[2]) for m in left), min(len(m[2]) for m in right))
 
     def folded(block) -> np.ndarray:
@@ -303,11 +308,15 @@ def _unlike(left, right) -> np.ndarray:
     for i in range(len(a)):
         apart = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
         bound = (sizes_a[i] + sizes_b) * (WHOLE - SHARE) // (WHOLE + SHARE)
-        found += [(i, j) for j in np.flatnonzero((apart <= bound) & (roots_b != roots_a[i])).tolist()]
+        near = np.flatnonzero((apart <= bound) & (roots_b != roots_a[i]))
+        if closest and len(near):
+            near = near[np.argsort(apart[near], kind="stable")]
+            near = near[np.unique(roots_b[near], return_index=True)[1]]
+        found += [(i, j) for j in near.tolist()]
     return found
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of different components in a pair of blocks that sketches don't rule out."""
     for batch in batches:
         for rows in batch.column("members").to_pylist():
@@ -315,14 +324,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = [m for m in members if m[4] != 1], [m for m in members if m[4] != 0]
             if left and right:
                 pairs = {
-                    (min(left[i][0], right[j][0]), max(left[i][0], right[j][0])) for i, j in _unlike(left, right)
+                    (min(left[i][0], right[j][0]), max(left[i][0], right[j][0]))
+                    for i, j in _possible(left, right, closest)
                 }
                 if pairs:
                     a, b = zip(*sorted(pairs), strict=True)
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, closest: bool) -> DataFrame:
     """Candidate pairs of different components within the buckets."""
     member = buckets.select(F.xxhash64("members").alias("bucket"), F.posexplode("members").alias("at", "own"))
     placed = member.join(roots, F.col("own") == F.col("node"), "left").select(
@@ -345,7 +355,8 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     grouped = spread.join(light, "own").groupBy("bucket", "s.i", "s.j").agg(
         F.collect_list(F.struct("own", "root", "sketch", "size", "s.side")).alias("members")
     )
-    return grouped.select("members").mapInArrow(_across, "a long, b long").distinct()
+    run = lambda batches: _across(batches, closest)
+    return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def _slots(df: DataFrame) -> int:
@@ -392,11 +403,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     hubs = buckets.select(
         F.element_at("members", 1).alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")
-    ).distinct()
+    ).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(_verified(hubs, sets), "star-links")
     roots = components(links)
-    more = _verified(_cross_pairs(buckets, roots, sets), sets)
-    roots = components(links.unionByName(more))
+    for closest in (True, False):
+        more = _verified(_cross_pairs(buckets, roots, sets, closest), sets)
+        links = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "cross-links")
+        roots = components(links)
 
     grouped = least.join(roots, F.col("own") == F.col("node"), "left").select(
         "own", "doc", F.coalesce("root", "own").alias("root")
