@@ -14,9 +14,12 @@ A subset of empty partitions says nothing, and is left out unless a set has so m
 that every group a pair must agree in could hold one; then it counts like any other.
 
 Signatures go to their partition packed in arrays, a set's from each task once. Sets that
-share a signature are a bucket. Buckets are answered exactly without comparing all pairs:
+share a signature are a bucket. A similar pair agrees in a known number of groups, so a set
+that shares fewer signatures with any others can't be similar to one and leaves its buckets:
+that is what most documents do that only share a passage. Buckets are then answered exactly
+without comparing all pairs:
 
-1. Every member is verified against the least one of all its buckets, and links are joined to
+1. Every member is compared with the least one of all its buckets, and links are joined to
    components.
 2. In buckets that still span several components, members are compared across components by
    parity sketches: bit h mod m of a sketch is the parity of the elements that fall on it, so
@@ -53,6 +56,9 @@ REMEMBERED = 800_000
 # Signatures a task holds before it sends them on, and members of a bucket compared at once.
 HELD = 1 << 20
 BLOCK = 1024
+NEVER = 1 << 30
+# Sets whose texts are fetched by a broadcast join; more are fetched by a shuffle.
+FETCHED = 1_000_000
 _U = np.uint64
 
 
@@ -136,17 +142,25 @@ def scheme(high: int) -> tuple[int, int, int, int]:
     return n1, n2, k2, n1 - differ // (k2 + 1)
 
 
-def signatures(own: np.ndarray) -> np.ndarray:
-    """The signatures of a set, in its own band and the one before."""
-    size = len(own)
+def signatures(own: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a set, in its own band and the one before.
+
+    The lowest bit is the parity of the band. Also, for each parity, how many signatures at
+    least a similar set shares; NEVER where the set has no such band.
+    """
+    size, need = len(own), [NEVER, NEVER]
     if not size:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), need
     known = bands(1 << max(10, size.bit_length() + 1))
     at = next(i for i, (_, high) in enumerate(known) if size <= high)
-    return np.concatenate([_of_band(own, level, known[level][1]) for level in range(max(0, at - 1), at + 1)])
+    out = []
+    for level in range(max(0, at - 1), at + 1):
+        found, need[level & 1] = _of_band(own, level, known[level][1])
+        out.append(found & ~_U(1) | _U(level & 1))
+    return np.concatenate(out), need
 
 
-def _of_band(own: np.ndarray, level: int, high: int) -> np.ndarray:
+def _of_band(own: np.ndarray, level: int, high: int) -> tuple[np.ndarray, int]:
     n1, n2, k2, agree = scheme(high)
     parts = n1 * n2
     # Partitions are ranges of the hash, so a sorted set is cut into slices.
@@ -162,15 +176,18 @@ def _of_band(own: np.ndarray, level: int, high: int) -> np.ndarray:
         out.append(_mix(chosen ^ _mix(salt)))
         empty.append(counts[:, subset].sum(axis=1) == 0)
     found, none = np.stack(out, axis=1), np.stack(empty, axis=1)
-    if none.any(axis=1).sum() < agree:
-        return found[~none]
-    return found.ravel()
+    vain = int(none.any(axis=1).sum())
+    if vain < agree:
+        return found[~none], agree - vain
+    return found.ravel(), agree
 
 
 # -- buckets ---------------------------------------------------------------------------
 
-_SENT = "slot int, doc long, size long, own long, prints binary, owners binary"
-_FOUND = "doc long, size long, own long, members array<long>"
+_ROW = {"doc": pa.int64(), "size": pa.int64(), "own": pa.int64(), "sketch": pa.binary(), "need0": pa.int64(), "need1": pa.int64()}
+_ROW_DDL = "doc long, size long, own long, sketch binary, need0 long, need1 long"
+_SENT = f"slot int, {_ROW_DDL}, prints binary, owners binary"
+_FOUND = f"{_ROW_DDL}, members array<long>, shared0 long, shared1 long"
 
 
 def _send(slots: int):
@@ -185,37 +202,43 @@ def _send(slots: int):
         firsts = np.searchsorted(slot, np.arange(slots + 1))
         used = [k for k in range(slots) if firsts[k] < firsts[k + 1]]
         n = len(used)
-        return pa.RecordBatch.from_pydict({
-            "slot": pa.array(used, pa.int32()), "doc": pa.nulls(n, pa.int64()), "size": pa.nulls(n, pa.int64()),
-            "own": pa.nulls(n, pa.int64()),
-            "prints": pa.array([own[firsts[k] : firsts[k + 1]].tobytes() for k in used], pa.binary()),
-            "owners": pa.array([by[firsts[k] : firsts[k + 1]].tobytes() for k in used], pa.binary()),
-        })
+        return pa.RecordBatch.from_pydict(
+            {"slot": pa.array(used, pa.int32())}
+            | {name: pa.nulls(n, kind) for name, kind in _ROW.items()}
+            | {"prints": pa.array([own[firsts[k] : firsts[k + 1]].tobytes() for k in used], pa.binary())}
+            | {"owners": pa.array([by[firsts[k] : firsts[k + 1]].tobytes() for k in used], pa.binary())}
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, owners, held, seen, spread = [], [], 0, set(), 0
         for batch in batches:
-            docs, sizes, sets = batch.column("doc_id").to_pylist(), [], []
-            for doc, text in zip(docs, batch.column("text").to_pylist(), strict=True):
+            rows: dict[str, list] = {name: [] for name in _ROW}
+            for doc, text in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True
+            ):
                 own = shingles(text)
-                sizes.append(len(own))
-                sets.append(set_id(own) if len(own) and doc is not None else None)
-                if sets[-1] is not None and sets[-1] not in seen:
+                mark = set_id(own) if len(own) and doc is not None else None
+                row = (doc, len(own), mark, None, None, None)
+                if mark is not None and mark not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen.add(sets[-1])
-                    prints.append(signatures(own))
-                    owners.append(sets[-1])
-                    held += len(prints[-1])
+                    seen.add(mark)
+                    found, need = signatures(own)
+                    row = (doc, len(own), mark, sketch(own), *need)
+                    prints.append(found)
+                    owners.append(mark)
+                    held += len(found)
+                for name, value in zip(_ROW, row, strict=True):
+                    rows[name].append(value)
                 if held >= HELD:
                     yield packed(prints, owners)
                     prints, owners, held = [], [], 0
-            n = len(docs)
-            yield pa.RecordBatch.from_pydict({
-                "slot": ((np.arange(n) + spread) % slots).astype(np.int32), "doc": pa.array(docs, pa.int64()),
-                "size": pa.array(sizes, pa.int64()), "own": pa.array(sets, pa.int64()),
-                "prints": pa.nulls(n, pa.binary()), "owners": pa.nulls(n, pa.binary()),
-            })
+            n = batch.num_rows
+            yield pa.RecordBatch.from_pydict(
+                {"slot": ((np.arange(n) + spread) % slots).astype(np.int32)}
+                | {name: pa.array(rows[name], kind) for name, kind in _ROW.items()}
+                | {"prints": pa.nulls(n, pa.binary()), "owners": pa.nulls(n, pa.binary())}
+            )
             spread += n
         if prints:
             yield packed(prints, owners)
@@ -226,18 +249,19 @@ def _send(slots: int):
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of documents as they are, then the members of every signature with several sets.
 
-    Many signatures have the same members; each list of members comes once.
+    Many signatures have the same members; a list of members comes once, with the number of
+    its signatures of either parity.
     """
     prints, owners = [], []
-    schema = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("members", pa.list_(pa.int64()))])
+    more = {"members": pa.list_(pa.int64()), "shared0": pa.int64(), "shared1": pa.int64()}
+    schema = pa.schema([*_ROW.items(), *more.items()])
     for batch in batches:
         packed = batch.filter(pc.is_valid(batch.column("prints")))
         prints += [np.frombuffer(x, np.uint64) for x in packed.column("prints").to_pylist()]
         owners += [np.frombuffer(x, np.int64) for x in packed.column("owners").to_pylist()]
         rows = batch.filter(pc.is_null(batch.column("prints")))
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc"), rows.column("size"), rows.column("own"), pa.nulls(rows.num_rows, pa.list_(pa.int64()))],
-            schema=schema,
+            [rows.column(n) for n in _ROW] + [pa.nulls(rows.num_rows, k) for k in more.values()], schema=schema
         )
     if not prints:
         return
@@ -246,25 +270,51 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(own, kind="stable")
     own, by = own[order], by[order]
     edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-    seen: set[int] = set()
-    out: list[np.ndarray] = []
     several = np.flatnonzero(np.diff(edges) > 1)
+    lists: dict[bytes, list[int]] = {}
     for first, last in zip(edges[several].tolist(), edges[several + 1].tolist(), strict=True):
         members = np.unique(by[first:last])
-        if len(members) > 1 and (mark := xxhash.xxh3_64_intdigest(members.tobytes())) not in seen:
-            seen.add(mark)
-            out.append(members)
-    for start in range(0, len(out), 512):
-        part = pa.array(out[start : start + 512], pa.list_(pa.int64()))
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, part], schema=schema)
+        if len(members) > 1:
+            lists.setdefault(members.tobytes(), [0, 0])[int(own[first]) & 1] += 1
+    found = list(lists.items())
+    for start in range(0, len(found), 512):
+        part = found[start : start + 512]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(part), k) for k in _ROW.values()]
+            + [pa.array([np.frombuffer(m, np.int64) for m, _ in part], pa.list_(pa.int64()))]
+            + [pa.array([n[parity] for _, n in part], pa.int64()) for parity in (0, 1)],
+            schema=schema,
+        )
 
 
 # -- verifying -------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are similar, by their shingles."""
+def _verified(pairs: DataFrame, docs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, by the shingles of a document of each."""
+    pairs = materialize(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
+    wanted = materialize(light.join(needed, "own", "left_semi").select("own", F.col("doc").alias("doc_id")), "wanted")
+    if wanted.count() <= FETCHED:
+        wanted = F.broadcast(wanted)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            sets, same = [], []
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                # A repeated document id may bring other sets, and one set often.
+                found = shingles(text) if own not in seen else None
+                same.append(found is not None and set_id(found) == own)
+                sets.append(found.tobytes() if same[-1] else None)
+                if same[-1]:
+                    seen.add(own)
+            yield pa.RecordBatch.from_pydict(
+                {"own": batch.column("own"), "shingles": pa.array(sets, pa.binary())}
+            ).filter(pa.array(same, pa.bool_()))
+
+    sets = docs.join(wanted, "doc_id").select("own", "text").mapInArrow(cut, "own long, shingles binary")
+    sets = materialize(sets, "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,72 +337,77 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _possible(left, right, closest: bool) -> list[tuple[int, int]]:
-    """Pairs of different components of two blocks that sketches leave possible.
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one width; a narrower sketch is the exclusive or of a wider one's parts."""
+    out = np.zeros((len(sketches), width), np.uint8)
+    for i, own in enumerate(sketches):
+        own = np.frombuffer(own, np.uint8)
+        out[i] = own if len(own) == width else np.bitwise_xor.reduce(own.reshape(-1, width), axis=0)
+    return out.view(np.uint64)
 
-    With ``closest`` only the nearest for each member of the left and component.
-    """
-    width = min(min(len(m[2]) for m in left), min(len(m[2]) for m in right))
-
-    def folded(block) -> np.ndarray:
-        out = np.zeros((len(block), width), np.uint8)
-        for i, m in enumerate(block):
-            own = np.frombuffer(m[2], np.uint8)
-            out[i] = np.bitwise_xor.reduce(own.reshape(-1, width), axis=0)
-        return out.view(np.uint64)
-
-    a, b = folded(left), folded(right)
-    roots_a, roots_b = (np.array([m[1] for m in x], np.int64) for x in (left, right))
-    sizes_a, sizes_b = (np.array([m[3] for m in x], np.int64) for x in (left, right))
-    found = []
-    for i in range(len(a)):
-        apart = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
-        bound = (sizes_a[i] + sizes_b) * (WHOLE - SHARE) // (WHOLE + SHARE)
-        near = np.flatnonzero((apart <= bound) & (roots_b != roots_a[i]))
-        if closest and len(near):
-            near = near[np.argsort(apart[near], kind="stable")]
-            near = near[np.unique(roots_b[near], return_index=True)[1]]
-        found += [(i, j) for j in near.tolist()]
-    return found
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that sketches don't rule out."""
+    for batch in batches:
+        bound = (batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()) * (WHOLE - SHARE) // (WHOLE + SHARE)
+        left, right = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+        keep = []
+        for x, y, most in zip(left, right, bound.tolist(), strict=True):
+            a, b = _folded([x, y], min(len(x), len(y)))
+            keep.append(int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= most)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different components in a pair of blocks that sketches don't rule out."""
+    """Pairs of sets of different components in a pair of blocks that sketches don't rule out.
+
+    With ``closest`` only the nearest for each member of the left block and component.
+    """
     for batch in batches:
-        for rows in batch.column("members").to_pylist():
-            members = [(m["own"], m["root"], m["sketch"], m["size"], m["side"]) for m in rows]
-            left, right = [m for m in members if m[4] != 1], [m for m in members if m[4] != 0]
-            if left and right:
-                pairs = {
-                    (min(left[i][0], right[j][0]), max(left[i][0], right[j][0]))
-                    for i, j in _possible(left, right, closest)
-                }
-                if pairs:
-                    a, b = zip(*sorted(pairs), strict=True)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, closest: bool) -> DataFrame:
+        lists = batch.column("members")
+        offsets, flat = lists.offsets.to_numpy(), lists.values
+        own, root, size, side = (flat.field(n).to_numpy() for n in ("own", "root", "size", "side"))
+        sketches = flat.field("sketch").to_pylist()
+        pairs: set[tuple[int, int]] = set()
+        for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            held = np.arange(first, last)
+            left, right = held[side[first:last] != 1], held[side[first:last] != 0]
+            if not len(left) or not len(right):
+                continue
+            folded = _folded(sketches[first:last], min(map(len, sketches[first:last])))
+            across = folded[right - first]
+            for i in left.tolist():
+                apart = np.bitwise_count(folded[i - first] ^ across).sum(axis=1, dtype=np.int64)
+                bound = (size[i] + size[right]) * (WHOLE - SHARE) // (WHOLE + SHARE)
+                near = np.flatnonzero((apart <= bound) & (root[right] != root[i]))
+                if closest and len(near):
+                    near = near[np.argsort(apart[near], kind="stable")]
+                    near = near[np.unique(root[right[near]], return_index=True)[1]]
+                pairs.update((min(own[i], own[j]), max(own[i], own[j])) for j in right[near].tolist())
+        if pairs:
+            a, b = zip(*sorted(pairs), strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _cross_pairs(member: DataFrame, roots: DataFrame, light: DataFrame, closest: bool) -> DataFrame:
     """Candidate pairs of different components within the buckets."""
-    member = buckets.select(F.xxhash64("members").alias("bucket"), F.posexplode("members").alias("at", "own"))
     placed = member.join(roots, F.col("own") == F.col("node"), "left").select(
-        "bucket", "at", "own", F.coalesce("root", "own").alias("root")
+        "bucket", "own", F.coalesce("root", "own").alias("root")
     )
     mixed = placed.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.max("at").alias("last")
-    ).where("low < high").selectExpr("bucket", f"last div {BLOCK} AS blocks")
-    block = F.expr(f"at div {BLOCK}")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
+    ).where("low < high").selectExpr("bucket", f"(n + {BLOCK - 1}) div {BLOCK} AS blocks")
+    block = F.expr("pmod(xxhash64(own), blocks)")
     # A member meets its own block once (side 2), later blocks as left (0), earlier ones as right (1).
     sides = F.explode(F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("blocks")),
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
         lambda k: F.struct(
             F.least(k, block).alias("i"), F.greatest(k, block).alias("j"),
             F.when(k == block, 2).when(k > block, 0).otherwise(1).alias("side"),
         ),
     ))
     spread = placed.join(mixed, "bucket").select("bucket", "own", "root", sides.alias("s"))
-    light = sets.select("own", "sketch", "size")
-    grouped = spread.join(light, "own").groupBy("bucket", "s.i", "s.j").agg(
+    grouped = spread.join(light.select("own", "sketch", "size"), "own").groupBy("bucket", "s.i", "s.j").agg(
         F.collect_list(F.struct("own", "root", "sketch", "size", "s.side")).alias("members")
     )
     run = lambda batches: _across(batches, closest)
@@ -372,45 +427,39 @@ def join_documents(docs: DataFrame) -> DataFrame:
     slots = _slots(docs)
     own = docs.select("doc_id", "text")
     found = materialize(
-        own.mapInArrow(_send(8 * slots), _SENT).repartition(slots, "slot").drop("slot").select(
-            "doc", "size", "own", "prints", "owners"
-        ).mapInArrow(_gather, _FOUND),
+        own.mapInArrow(_send(8 * slots), _SENT).repartition(slots, "slot").drop("slot").mapInArrow(_gather, _FOUND),
         "buckets",
-    )
+    )
     rows = found.where("members IS NULL").select("doc", "size", "own")
-    buckets = materialize(found.where("members IS NOT NULL").select("members").distinct(), "distinct-buckets")
-
-    # The sets that share a signature with another, each from its least document.
-    needed = buckets.select(F.explode("members").alias("own")).distinct()
-    least = rows.where("own IS NOT NULL").groupBy("own").agg(F.min("doc").alias("doc"))
-    wanted = least.join(needed, "own", "left_semi")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            same = [set_id(s) == w for s, w in zip(sets, batch.column("own").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                "own": batch.column("own"), "size": pa.array(map(len, sets), pa.int64()),
-                "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
-                "sketch": pa.array([sketch(s) for s in sets], pa.binary()),
-            }).filter(pa.array(same, pa.bool_()))
-
-    texts = own.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("own", "text")
-    # A repeated document id may bring a set twice.
-    sets = materialize(
-        texts.mapInArrow(cut, "own long, size long, shingles binary, sketch binary").dropDuplicates(["own"]), "sets"
+    facts = F.struct("doc", "size", "sketch", "need0", "need1")
+    # Every task describes a set once, so one of its rows at least has a sketch.
+    described = found.where("members IS NULL AND sketch IS NOT NULL").groupBy("own").agg(F.min(facts).alias("x"))
+    light = materialize(described.select("own", "x.*"), "set-facts")
+
+    buckets = materialize(
+        found.where("members IS NOT NULL").groupBy("members").agg(F.sum("shared0").alias("s0"), F.sum("shared1").alias("s1")),
+        "distinct-buckets",
     )
-
-    hubs = buckets.select(
-        F.element_at("members", 1).alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")
-    ).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(_verified(hubs, sets), "star-links")
+    exploded = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("own"), "s0", "s1")
+    shared = exploded.groupBy("own").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    kept = shared.join(light, "own").where("s0 >= need0 OR s1 >= need1").select("own")
+    member = materialize(exploded.join(kept, "own", "left_semi").select("bucket", "own"), "members")
+
+    least = member.groupBy("bucket").agg(F.min("own").alias("a"))
+    hubs = member.join(least, "bucket").where("own <> a").groupBy("own").agg(F.min("a").alias("a"))
+    sketched = (
+        hubs.select("a", F.col("own").alias("b"))
+        .join(light.select(F.col("own").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("size_a")), "a")
+        .join(light.select(F.col("own").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("size_b")), "b")
+    )
+    links = materialize(_verified(sketched.mapInArrow(_plausible, "a long, b long"), own, light), "star-links")
     roots = components(links)
     for closest in (True, False):
-        more = _verified(_cross_pairs(buckets, roots, sets, closest), sets)
+        more = _verified(_cross_pairs(member, roots, light, closest), own, light)
         links = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "cross-links")
         roots = components(links)
 
+    least = rows.where("own IS NOT NULL").groupBy("own").agg(F.min("doc").alias("doc"))
     grouped = least.join(roots, F.col("own") == F.col("node"), "left").select(
         "own", "doc", F.coalesce("root", "own").alias("root")
     )
