@@ -25,8 +25,8 @@ without comparing all pairs:
    parity sketches: bit h mod m of a sketch is the parity of the elements that fall on it, so
    two sets differ in at least as many elements as their sketches in bits. Large buckets are
    compared in pairs of blocks, so no task holds more than two blocks. Of the pairs that
-   sketches can't rule out, the closest of each member and component is verified first, and
-   components are joined again; then all pairs that still span components are verified.
+   sketches can't rule out, the closest of each member are verified first, and components are
+   joined again; then all pairs that still span components are verified.
 
 Equal sets are one member throughout. Null documents ids link with nothing, nor do empty and
 null texts; fewer than five words are one shingle. Sets count as equal when their 64-bit
@@ -56,6 +56,7 @@ REMEMBERED = 800_000
 # Signatures a task holds before it sends them on, and members of a bucket compared at once.
 HELD = 1 << 20
 BLOCK = 1024
+CLOSEST = 2
 NEVER = 1 << 30
 # Sets whose texts are fetched by a broadcast join; more are fetched by a shuffle.
 FETCHED = 1_000_000
@@ -361,7 +362,8 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of different components in a pair of blocks that sketches don't rule out.
 
-    With ``closest`` only the nearest for each member of the left block and component.
+    With ``closest`` only the nearest for each member of the left block; a later pass without
+    it takes all that are left.
     """
     for batch in batches:
         lists = batch.column("members")
@@ -380,9 +382,8 @@ def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.Rec
                 apart = np.bitwise_count(folded[i - first] ^ across).sum(axis=1, dtype=np.int64)
                 bound = (size[i] + size[right]) * (WHOLE - SHARE) // (WHOLE + SHARE)
                 near = np.flatnonzero((apart <= bound) & (root[right] != root[i]))
-                if closest and len(near):
-                    near = near[np.argsort(apart[near], kind="stable")]
-                    near = near[np.unique(root[right[near]], return_index=True)[1]]
+                if closest:
+                    near = near[np.argsort(apart[near], kind="stable")[:CLOSEST]]
                 pairs.update((min(own[i], own[j]), max(own[i], own[j])) for j in right[near].tolist())
         if pairs:
             a, b = zip(*sorted(pairs), strict=True)
