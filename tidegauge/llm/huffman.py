@@ -178,8 +178,26 @@ def _encoder(description: str) -> WordIds:
             found = own.encode_batch_fast(pieces, add_special_tokens=False)
             return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+        feed = own.encode("\n", add_special_tokens=False).ids
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            # One word a line: the line feed is a match of its own, and so an id of its own.
+            out: list[bytes] = []
+            for start in range(0, len(words), 20_000):
+                part = words[start : start + 20_000]
+                lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in part]) + "\n"
+                ids = np.array(own.encode(lines, add_special_tokens=False).ids, "<u4")
+                ends = np.flatnonzero(ids == feed[0]) * 4
+                if len(feed) != 1 or len(ends) != len(part):
+                    raise ValueError("the vocabulary joins line feeds with other text")
+                packed, first = ids.tobytes(), feed[0].to_bytes(4, "little")
+                begins = [0, *(ends[:-1] + 4).tolist()]
+                own_ids = [packed[a:b] for a, b in zip(begins, ends.tolist(), strict=True)]
+                out += [first + x if w[0] == "\n" else x for w, x in zip(part, own_ids, strict=True)]
+            return out
+
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordIds(encode)
+        _TOKENIZERS[key] = WordIds(encode, encode_words)
     return _TOKENIZERS[key]
 
 
