@@ -98,10 +98,17 @@ def windows(docs: DataFrame, known: DataFrame) -> DataFrame:
         places = F.broadcast(places)
     text_hash = F.xxhash64("text").alias("text_hash")
     own = docs.select("doc_id", "text")
+    hashed = own.select(text_hash, F.expr(f"{_WORDS} AS words"))
+    found = hashed.select("text_hash", F.posexplode(F.expr(_shingles("words"))).alias("at", "shingle"))
+    # An item of fewer words is one shingle of its own size.
+    for size in range(1, SHINGLE):
+        if not known.where(F.col("n") == size).isEmpty():
+            runs = f"transform(sequence(1, size(words) - {size - 1}), i -> xxhash64(slice(words, i, {size})))"
+            found = found.unionByName(
+                hashed.where(f"size(words) >= {size}").select("text_hash", F.posexplode(F.expr(runs)).alias("at", "shingle"))
+            )
     met = (
-        own.select(text_hash, F.expr(f"{_WORDS} AS words"))
-        .select("text_hash", F.posexplode(F.expr(_shingles("words"))).alias("at", "shingle"))
-        .join(places, "shingle")
+        found.join(places, "shingle")
         .selectExpr("text_hash", "n", "greatest(at - offset, 0) AS start", "at - offset + n AS stop")
         .distinct()
         .groupBy("text_hash").agg(F.collect_list(F.struct("n", "start", "stop")).alias("spots"))

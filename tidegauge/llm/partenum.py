@@ -44,6 +44,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.llm.base import materialize, query, table
@@ -362,13 +363,14 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of sets of different components in a pair of blocks that sketches don't rule out.
 
-    With ``closest`` only the nearest for each member of the left block; a later pass without
-    it takes all that are left.
+    With ``closest`` only the nearest for each member of the left block, and each member in
+    one bucket; a later pass without it takes all that are left.
     """
     for batch in batches:
         lists = batch.column("members")
         offsets, flat = lists.offsets.to_numpy(), lists.values
         own, root, size, side = (flat.field(n).to_numpy() for n in ("own", "root", "size", "side"))
+        lead = flat.field("lead").to_numpy(zero_copy_only=False)
         sketches = flat.field("sketch").to_pylist()
         pairs: set[tuple[int, int]] = set()
         for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -378,7 +380,7 @@ def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.Rec
                 continue
             folded = _folded(sketches[first:last], min(map(len, sketches[first:last])))
             across = folded[right - first]
-            for i in left.tolist():
+            for i in (left[lead[left]] if closest else left).tolist():
                 apart = np.bitwise_count(folded[i - first] ^ across).sum(axis=1, dtype=np.int64)
                 bound = (size[i] + size[right]) * (WHOLE - SHARE) // (WHOLE + SHARE)
                 near = np.flatnonzero((apart <= bound) & (root[right] != root[i]))
@@ -407,9 +409,10 @@ def _cross_pairs(member: DataFrame, roots: DataFrame, light: DataFrame, closest:
             F.when(k == block, 2).when(k > block, 0).otherwise(1).alias("side"),
         ),
     ))
-    spread = placed.join(mixed, "bucket").select("bucket", "own", "root", sides.alias("s"))
+    lead = F.col("bucket") == F.min("bucket").over(W.partitionBy("own"))
+    spread = placed.join(mixed, "bucket").withColumn("lead", lead).select("bucket", "own", "root", "lead", sides.alias("s"))
     grouped = spread.join(light.select("own", "sketch", "size"), "own").groupBy("bucket", "s.i", "s.j").agg(
-        F.collect_list(F.struct("own", "root", "sketch", "size", "s.side")).alias("members")
+        F.collect_list(F.struct("own", "root", "sketch", "size", "lead", "s.side")).alias("members")
     )
     run = lambda batches: _across(batches, closest)
     return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
