@@ -92,7 +92,9 @@ def communication_matrix(blocks: DataFrame, shards: int, seed: int) -> DataFrame
     ``blocks`` has ``block`` and ``rows``. Only block and shard counts pass through here.
     """
     count = blocks.count()
-    nodes = blocks.agg(F.sort_array(F.collect_list(F.struct("block", "rows"))).alias("blocks")).selectExpr(
+    nodes = blocks.agg(F.sort_array(F.collect_list(F.struct("block", "rows"))).alias("blocks")).where(
+        "size(blocks) > 0"
+    ).selectExpr(
         "blocks", "aggregate(blocks, 0L, (t, b) -> t + b.rows) AS total"
     ).selectExpr(
         "blocks",
