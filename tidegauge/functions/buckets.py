@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidegauge.errors import SchemaError
+from tidegauge.functions.scalar import micros
 
 EPOCH = datetime(1970, 1, 1)
 
@@ -51,8 +52,19 @@ def bucket(ts: Column | str, granularity: str | timedelta, origin: datetime = EP
     """The start of the bucket holding ``ts``.
 
     Buckets are counted from ``origin``: weekly buckets start on Thursday by default and
-    on Monday with ``origin=datetime(1970, 1, 5)``.
+    on Monday with ``origin=datetime(1970, 1, 5)``. The type of ``ts`` is kept, and a null
+    time has a null bucket.
     """
+    own = F.col(ts) if isinstance(ts, str) else ts
+    micro = timedelta(microseconds=1)
+    width = width_of(granularity)
+    past = F.pmod(micros(own) - F.lit((origin - EPOCH) % width // micro), F.lit(width // micro))
+    seconds = (past.cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return own - F.make_dt_interval(secs=seconds)
+
+
+def watermarked_bucket(ts: Column | str, granularity: str | timedelta, origin: datetime = EPOCH) -> Column:
+    """``bucket`` for streams: keeps the watermark of ``ts``, and drops rows with a null time."""
     width = width_of(granularity)
     shift = (origin - EPOCH) % width
     start = interval_text(shift) if shift else None

@@ -43,8 +43,10 @@ _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 def parse_text(col: Column, strict: bool = True) -> Column:
     """Parse text to a timestamp; nulls stay null, bad text is an error when ``strict``."""
+    # A cast alone would read a bare time as today's, and a year as its first day.
+    dated = F.when(col.rlike(r"^\s*[+-]?\d{4,}-\d{1,2}"), col)
     parsed = F.coalesce(
-        col.try_cast("timestamp"),
+        dated.try_cast("timestamp"),
         *[F.try_to_timestamp(col, F.lit(layout)) for layout in TEXT_LAYOUTS],
     )
     if not strict:

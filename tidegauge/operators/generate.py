@@ -147,6 +147,8 @@ def random_windows(
     A series no longer than a window gives its full span once, or ``n`` times when
     ``repeat_full``; an empty one gives none.
     """
+    if n <= 0:
+        return random_windows(df, time, 1, length, seed).limit(0)
     bounds = time_bounds(df, time).select(
         F.col("min_ts").cast("timestamp_ntz"), F.col("max_ts").cast("timestamp_ntz")
     )
@@ -187,6 +189,8 @@ def shuffle_timestamps(df: DataFrame, time: str, batch: str, key: str) -> DataFr
 
 def late_windows(df: DataFrame, time: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` one-hour windows starting 30 minutes to 48 hours before the last row."""
+    if n <= 0:
+        return late_windows(df, time, 1, seed).limit(0)
     last = df.agg(F.max(time).cast("timestamp_ntz").alias("max_ts")).where(F.col("max_ts").isNotNull())
     unit = hashed_unit([F.lit("late"), F.lit(seed), F.col("window_id")])
     minutes = F.lit(LATE_FROM) + F.floor(unit * F.lit(LATE_TO - LATE_FROM)).cast("int")

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, time, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from tidegauge.schema import METRIC, SeriesSchema
 
 
 def literal_time(df: DataFrame, column: str, moment: datetime | str) -> Column:
-    """A time literal of the column's own type, so the comparison reaches the scan."""
-    text = str(naive_utc(moment)) if isinstance(moment, datetime) else moment
-    return F.lit(text).cast(df.schema[column].dataType)
+    """A bound of the column's own type, so the comparison reaches the scan.
+
+    Text with an offset is turned to UTC. A date stands for its midnight, so on a date column
+    a bound later in the day becomes the next date.
+    """
+    if isinstance(moment, str):
+        try:
+            moment = datetime.fromisoformat(moment)
+        except ValueError:
+            return F.lit(moment).cast(df.schema[column].dataType)
+    moment = naive_utc(moment)
+    if isinstance(df.schema[column].dataType, DateType) and moment.time() != time(0):
+        moment += timedelta(days=1)
+    return F.lit(str(moment)).cast(df.schema[column].dataType)
 
 
 def naive_utc(moment: datetime) -> datetime:

@@ -24,6 +24,7 @@ SORT_IN_ONE_TASK = 2_000_000
 
 # Slices the time range is cut into when looking for the ends of a limited scan.
 TIME_SLICES = 4096
+NULL_SLICE = -(1 << 62)
 
 # Up to here a limit is taken as a top-k per task.
 TOP_K_MAX = 10_000
@@ -67,13 +68,15 @@ def slice_by_time(
     A count per slice of time tells which slices the wanted rows lie in; only these are
     read, and only their rows are sorted. ``bounds`` saves finding the first and last time.
     """
-    timed = df.where(F.col(time).isNotNull())
-    low, high = _micros_between(bounds) if bounds is not None else _micros_covered(timed, time)
-    if low is None or high < low or length <= 0:
+    if length <= 0:
         return df.limit(0)
+    low, high = _micros_between(bounds) if bounds is not None else _micros_covered(df, time)
+    if low is None or high < low:
+        low = high = 0
     width = max(1, -(-(high - low + 1) // TIME_SLICES))
-    number = floor_div(micros(F.col(time)) - F.lit(low), width)
-    counts = timed.groupBy(number.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    # Null times come first, as in an ascending order.
+    number = F.coalesce(floor_div(micros(F.col(time)) - F.lit(low), width), F.lit(NULL_SLICE))
+    counts = df.groupBy(number.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.orderBy("slice"))  # over at most TIME_SLICES rows
     held = (
         counts.withColumn("upto", upto)
@@ -88,8 +91,11 @@ def slice_by_time(
     )
     if held["first"] is None:
         return df.limit(0)
-    at = lambda i: literal_time(df, time, EPOCH + timedelta(microseconds=low + i * width))
-    near = timed.where((F.col(time) >= at(held["first"])) & (F.col(time) < at(held["last"] + 1)))
+    near = df.where(number.between(held["first"], held["last"]))
+    if held["first"] >= 0 and dict(df.dtypes)[time] != "date":
+        # The same bounds on the time itself reach the scan.
+        at = lambda i: literal_time(df, time, EPOCH + timedelta(microseconds=low + i * width))
+        near = near.where((F.col(time) >= at(held["first"])) & (F.col(time) < at(held["last"] + 1)))
     skip = offset - held["skipped"]
     if held["size"] <= SORT_IN_ONE_TASK:
         return near.orderBy(time, *key).offset(skip).limit(length)
@@ -231,10 +237,14 @@ def tag_agg(
     return limited(out, [tag], limit)
 
 
-def partials(metrics: Sequence[str]) -> list[Column]:
-    """sum, count, min and max of each metric: the mergeable form of avg, min and max."""
+def partials(metrics: Sequence[str], df: DataFrame | None = None) -> list[Column]:
+    """sum, count, min and max of each metric: the mergeable form of avg, min and max.
+
+    With ``df``, whole numbers are summed as decimals, which don't overflow.
+    """
+    whole = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")} if df is not None else ()
     return [
-        function(F.col(m)).alias(f"{prefix}_{m}")
+        function(F.col(m).cast("decimal(20,0)") if prefix == "sum" and m in whole else F.col(m)).alias(f"{prefix}_{m}")
         for m in metrics
         for prefix, function in (("sum", F.sum), ("cnt", F.count), ("min", F.min), ("max", F.max))
     ]
@@ -252,7 +262,7 @@ def merged(metrics: Sequence[str]) -> list[Column]:
 def average(metric: str) -> Column:
     """The average kept in ``partials``; null when every value was null."""
     count = F.col(f"cnt_{metric}")
-    return F.when(count > 0, F.col(f"sum_{metric}") / count)
+    return F.when(count > 0, F.col(f"sum_{metric}").cast("double") / count)
 
 
 def downsample_multi(
@@ -273,8 +283,9 @@ def downsample_multi(
     step = timedelta(microseconds=math.gcd(*[w // timedelta(microseconds=1) for w in widths]))
     base = (
         within(df, time, start, end)
+        .where(F.col(time).isNotNull())
         .groupBy(bucket(time, step, origin).alias("_base"))
-        .agg(*partials([metric]))
+        .agg(*partials([metric], df))
     )
     starts = [f"_start{i}" for i in range(len(widths))]
     for name, width in zip(starts, widths):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.buckets import EPOCH, align_out, bucket, ceil_to, width_of
 from tidegauge.functions.scalar import ratio
-from tidegauge.operators.prepare import literal_time, partition_value, time_filter
+from tidegauge.operators.prepare import literal_time, naive_utc, partition_value, time_filter
 from tidegauge.operators.queries import average, partials, within
 from tidegauge.schema import SeriesSchema
 
@@ -69,8 +69,8 @@ class Rollup:
         """The roll-up of the raw rows; one exchange on (bucket, tags) after a partial
         aggregate, so a hot bucket or tag arrives as one row per task."""
         return (
-            df.groupBy(bucket(self.time, self.granularity, self.origin).alias(BUCKET), *self.tags)
-            .agg(*partials(self.metrics))
+            df.where(F.col(self.time).isNotNull()).groupBy(bucket(self.time, self.granularity, self.origin).alias(BUCKET), *self.tags)
+            .agg(*partials(self.metrics, df))
             .withColumn(DATE, partition_value(F.col(BUCKET), self.unit))
         )
 
@@ -96,11 +96,25 @@ def refresh_rollup(
     if start is None or end is None:
         create_rollup(df, rollup)
         return None
-    span = affected(rollup, start, end)
-    _write(rollup.rows(time_filter(df, rollup.time, *span, partition)), rollup, "dynamic")
+    span = affected(rollup, naive_utc(start), naive_utc(end))
+    rows = rollup.rows(time_filter(df, rollup.time, *span, partition))
+    _write(rows, rollup, "dynamic")
+    _drop_emptied(rows, rollup, span)
     return span
 
 
+def _drop_emptied(rows: DataFrame, rollup: Rollup, span: tuple[datetime, datetime]) -> None:
+    """Remove the partitions in ``span`` that have no rows any more; a date for each partition of the span."""
+    spark = rows.sparkSession
+    # The first and the last bucket that start in the partitions replaced.
+    ends = span[0], span[1] - width_of(rollup.granularity)
+    dates = [F.lit(partition_start(m, rollup.unit).date()) for m in ends]
+    stored = read_rollup(spark, rollup).where(F.col(DATE).between(*dates)).select(DATE).distinct()
+    for row in stored.join(rows.select(DATE).distinct(), DATE, "left_anti").collect():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{rollup.path}/{DATE}={row[0]}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def affected(rollup: Rollup, start: datetime, end: datetime) -> tuple[datetime, datetime]:
     """The raw rows behind every bucket that starts in a partition the window touches."""
     low, high = align_out(start, end, rollup.granularity, rollup.origin)
@@ -152,6 +166,7 @@ def query_rollup(
     """
     stored = read_rollup(spark, rollup)
     if start is not None and end is not None:
+        start, end = naive_utc(start), naive_utc(end)
         low, high = literal_time(stored, BUCKET, start), literal_time(stored, BUCKET, end)
         stored = stored.where(
             (F.col(BUCKET) >= low)

@@ -27,6 +27,11 @@ _TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 _NUMBER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
+def _whole_decimal(kind: T.DataType) -> bool:
+    """Unsigned 64-bit integers are read as decimals without digits after the point."""
+    return isinstance(kind, T.DecimalType) and kind.scale == 0
+
+
 @dataclass(frozen=True)
 class SeriesSchema:
     """The roles of a series' columns, in column order."""
@@ -128,7 +133,7 @@ def infer_roles(df: DataFrame, threshold: float = TAG_THRESHOLD, approximate: bo
         n_distinct = F.lit(None).cast("bigint")
         if f.name == time:
             role = F.lit(TIMESTAMP)
-        elif isinstance(f.dataType, _NUMBER_TYPES):
+        elif isinstance(f.dataType, _NUMBER_TYPES) or _whole_decimal(f.dataType):
             role = F.lit(METRIC)
         elif f.name in strings:
             n_distinct = F.col(f"d{strings.index(f.name)}")

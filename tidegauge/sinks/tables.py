@@ -9,6 +9,7 @@ from tidegauge.functions.scalar import row_bytes
 from tidegauge.operators.ordering import chunk_rows, number_rows
 from tidegauge.operators.prepare import partition_value
 from tidegauge.schema import SeriesSchema, sql_type
+from tidegauge.session import materialize
 from tidegauge.sources.tables import drop_table
 
 # The derived time partition of a table.
@@ -52,14 +53,29 @@ def ingest_append(
 def ingest_reset(
     df: DataFrame, name: str, schema: SeriesSchema, partition_by: str = "DAY", path: str | None = None
 ) -> int:
-    """Replace the table: drop, create, load."""
-    drop_table(df.sparkSession, name)
-    if path is not None:
-        _delete(df.sparkSession, path)
+    """Replace the table: drop, create, load.
+
+    The rows are stored first, since they may come from the table itself. Of folders only the
+    table's own is removed.
+    """
+    spark = df.sparkSession
+    df = materialize(df.select(*schema.columns), "reset")
+    own = _location(spark, name)
+    drop_table(spark, name)
+    if path is not None and own is not None and own.rstrip("/").endswith(path.split(":", 1)[-1].rstrip("/")):
+        _delete(spark, path)
     create_table(df.sparkSession, name, schema, partition_by, path)
     return ingest_append(df, name, schema, partition_by)
 
 
+def _location(spark: SparkSession, name: str) -> str | None:
+    """Where a table's files are; None if there is no such table."""
+    if not spark.catalog.tableExists(name):
+        return None
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()
+    return found["data_type"] if found else None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

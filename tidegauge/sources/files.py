@@ -20,8 +20,10 @@ CSV = (".csv",)
 JSON = (".json", ".jsonl", ".ndjson")
 
 
-def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths)
+def scan_parquet(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+    """Parquet with the columns of all files; ``base`` is the folder above partition folders."""
+    reader = spark.read.option("mergeSchema", "true")
+    return (reader.option("basePath", base) if base else reader).parquet(*paths)
 
 
 def scan_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -74,7 +76,7 @@ def _parse_times(df: DataFrame) -> DataFrame:
     texts = [
         f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name.lower() in TIME_NAMES
     ]
-    return df.withColumns({c: parse_text(F.col(c), strict=False) for c in texts}) if texts else df
+    return df.withColumns({c: parse_text(F.col(c)) for c in texts}) if texts else df
 
 
 def _ending(path: str) -> str:
@@ -150,7 +152,10 @@ def scan_files(spark: SparkSession, files: Sequence[str], schema: T.StructType |
             raise SourceError(f"unsupported format: {f}")
     parts = []
     if by_format["parquet"]:
-        parts.append(scan_parquet(spark, *by_format["parquet"]))
+        by_base: dict[str | None, list[str]] = {}
+        for f in by_format["parquet"]:
+            by_base.setdefault(_partition_base(f), []).append(f)
+        parts += [scan_parquet(spark, *own, base=base) for base, own in by_base.items()]
     if by_format["csv"]:
         parts.append(scan_csv(spark, *by_format["csv"], schema=schema))
     if by_format["json"]:
@@ -158,6 +163,13 @@ def scan_files(spark: SparkSession, files: Sequence[str], schema: T.StructType |
     return union_sources(parts)
 
 
+def _partition_base(path: str) -> str | None:
+    """The folder above the first ``column=value`` folder, if there is one."""
+    folders = path.split("/")[:-1]
+    first = next((i for i, name in enumerate(folders) if "=" in name), None)
+    return None if first is None else "/".join(folders[:first])
+
+
 def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
     """All rows of all parts, columns matched by name."""
     if not parts:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import SparkSession
 
 from tidegauge.errors import SourceError
@@ -13,17 +15,15 @@ DFS_HOST = ".dfs.core.windows.net"
 
 
 def is_object_url(source: str) -> bool:
-    low = source.lower()
-    return low.startswith(SCHEMES) or BLOB_HOST + "/" in low
+    """Whether the scheme, or the host of a web address, is that of an object store."""
+    parts = urlsplit(source)
+    return f"{parts.scheme}://" in SCHEMES or (parts.hostname or "").endswith(BLOB_HOST)
 
 
 def account_of(url: str) -> str | None:
-    """The storage account named in a URL, if it names one."""
-    for host in (BLOB_HOST, DFS_HOST):
-        if host in url.lower():
-            before = url[: url.lower().index(host)]
-            return before.replace("@", "/").rsplit("/", 1)[-1] or None
-    return None
+    """The storage account: the first label of the host name, if that is an endpoint's."""
+    host = urlsplit(url).hostname or ""
+    return host.partition(".")[0] or None if host.endswith((BLOB_HOST, DFS_HOST)) else None
 
 
 def rewrite_url(url: str, account: str | None = None) -> str:

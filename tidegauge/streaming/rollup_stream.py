@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegauge.functions.buckets import EPOCH, bucket, interval_text, width_of
+from tidegauge.functions.buckets import EPOCH, watermarked_bucket, interval_text, width_of
 from tidegauge.operators.prepare import partition_value
 from tidegauge.operators.queries import average, merged, partials
 from tidegauge.plans.rollup import BUCKET, DATE, Rollup
@@ -120,7 +120,7 @@ def _mark(spark: SparkSession, path: str, batch_id: int):
 
 
 def _grouping(rollup: Rollup) -> list:
-    return [bucket(rollup.time, rollup.granularity, rollup.origin).alias(BUCKET), *rollup.tags]
+    return [watermarked_bucket(rollup.time, rollup.granularity, rollup.origin).alias(BUCKET), *rollup.tags]
 
 
 def read_deltas(spark: SparkSession, path: str, rollup: Rollup) -> DataFrame:
