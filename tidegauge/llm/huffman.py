@@ -8,9 +8,11 @@ bits up in a table that gives the id and its length, and steps through all block
 side by side.
 
 Documents are range-partitioned by id before they are encoded, ties by a hash of the text, so
-a repeated id is split too; a file's place is (partition, number within it). Where a
-document's ids start follows from the totals of the files before it, which are read back: one
-number per file. Only the counts, bounded by the vocabulary, pass through the driver.
+a repeated id is split too; a file's place is (partition, number within it). Texts are
+tokenized once: the ids of each file-to-be are a row of a stored table, from which they are
+counted and then coded, so neither step shuffles. Where a document's ids start follows from
+the totals of the files before it, which are read back: one number per file. Only the counts,
+bounded by the vocabulary, pass through the driver.
 
 Null and empty texts have the end id alone. Null document ids come first. An empty table
 gives no files.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -129,13 +132,25 @@ def unpack(
 # -- files -----------------------------------------------------------------------------
 
 
-def _file(partition: int, number: int, keys: list[int | None], parts: list[bytes], lengths, codes) -> bytes:
+def _squeeze(ids: bytes) -> bytes:
+    """Packed ids as compressed byte planes, so a stored table of them is about as small as the files."""
+    planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _file(
+    partition: int, number: int, keys: list[int | None], sizes: list[int], ids: np.ndarray, lengths, codes
+) -> bytes:
     """One file, without the last four bytes, which the writer of files adds."""
-    ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
     stream, checkpoints = pack(ids, lengths, codes)
     table = zlib.compress(lengths.tobytes())
     known = np.array([k is not None for k in keys], np.uint8).tobytes()
-    docs = np.array([k or 0 for k in keys], "<i8").tobytes() + np.array([len(p) >> 2 for p in parts], "<u4").tobytes()
+    docs = np.array([k or 0 for k in keys], "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
     docs = zlib.compress(known + docs)
     points = zlib.compress(checkpoints.astype("<u8").tobytes())
     head = _HEAD.pack(MAGIC, partition, number, len(ids), BLOCK, len(table), len(docs), len(points))
@@ -186,7 +201,7 @@ def _encoder(description: str) -> WordIds:
             for start in range(0, len(words), 20_000):
                 part = words[start : start + 20_000]
                 lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in part]) + "\n"
-                ids = np.array(own.encode(lines, add_special_tokens=False).ids, "<u4")
+                ids = np.array(own.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.flatnonzero(ids == feed[0]) * 4
                 if len(feed) != 1 or len(ends) != len(part):
                     raise ValueError("the vocabulary joins line feeds with other text")
@@ -201,20 +216,54 @@ def _encoder(description: str) -> WordIds:
     return _TOKENIZERS[key]
 
 
-def count_ids(docs: DataFrame, description: str, vocabulary: int, end_id: int) -> np.ndarray:
-    """How often each id occurs in ``text`` of all rows, an end id per row included."""
+def _chunks(docs: DataFrame, description: str, end_id: int) -> DataFrame:
+    """The ids of every file to be, in ascending order of ``doc_id``: each text is tokenized here, once."""
     shared = docs.sparkSession.sparkContext.broadcast(description)
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, partition = _encoder(shared.value), TaskContext.get().partitionId()
+        keys, parts, size, number = [], [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({
+                "partition": pa.array([partition], pa.int32()), "number": pa.array([number], pa.int32()),
+                "keys": pa.array([keys], pa.list_(pa.int64())),
+                "sizes": pa.array([[len(p) >> 2 for p in parts]], pa.list_(pa.int64())),
+                "ids": pa.array([_squeeze(b"".join(parts))], pa.binary()),
+            })
+
+        for batch in batches:
+            for key, ids in zip(
+                batch.column("doc_id").to_pylist(), own.encode_batch(batch.column("text").to_pylist()), strict=True
+            ):
+                keys.append(key)
+                parts.append(ids + end)
+                size += len(parts[-1]) >> 2
+                if size >= FILE_IDS:
+                    yield chunk()
+                    keys, parts, size, number = [], [], 0, number + 1
+        if keys:
+            yield chunk()
+
+    tie = F.xxhash64("text")
+    ordered = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    ddl = "partition int, number int, keys array<long>, sizes array<long>, ids binary"
+    return materialize(ordered.mapInArrow(run, ddl), "chunks")
+
+
+def count_ids(chunks: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = _encoder(shared.value), np.zeros(vocabulary, np.int64)
+        counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            own.count_batch(batch.column("text").to_pylist(), counts)
-            counts[end_id] += batch.num_rows
-        own.flush(counts)
+            for data in batch.column("ids").to_pylist():
+                counts += np.bincount(_unsqueeze(data), minlength=vocabulary)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": used.astype(np.int32), "n": counts[used]})
 
-    totals = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    totals = chunks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
     for row in totals.collect():  # a row per id of the vocabulary at most
         counts[row["id"]] = row["n"]
@@ -229,32 +278,19 @@ def write_ids(docs: DataFrame, folder: str, description: str, end_id: int = 0) -
     import tokenizers
 
     vocabulary = tokenizers.Tokenizer.from_str(description).get_vocab_size()
-    docs = docs.select("doc_id", "text")
-    lengths = code_lengths(count_ids(docs, description, vocabulary, end_id))
-    codes = canonical_codes(lengths)
-    shared = docs.sparkSession.sparkContext.broadcast((description, lengths, codes))
-    end = np.array([end_id], "<u4").tobytes()
+    chunks = _chunks(docs.select("doc_id", "text"), description, end_id)
+    lengths = code_lengths(count_ids(chunks, vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast((lengths, canonical_codes(lengths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        description, lengths, codes = shared.value
-        own, partition = _encoder(description), TaskContext.get().partitionId()
-        keys, parts, size, number = [], [], 0, 0
+        lengths, codes = shared.value
         for batch in batches:
-            for key, ids in zip(
-                batch.column("doc_id").to_pylist(), own.encode_batch(batch.column("text").to_pylist()), strict=True
-            ):
-                keys.append(key)
-                parts.append(ids + end)
-                size += len(parts[-1]) >> 2
-                if size >= FILE_IDS:
-                    yield _one(_file(partition, number, keys, parts, lengths, codes))
-                    keys, parts, size, number = [], [], 0, number + 1
-        if keys:
-            yield _one(_file(partition, number, keys, parts, lengths, codes))
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                ids = _unsqueeze(row["ids"])
+                yield _one(_file(row["partition"], row["number"], row["keys"], row["sizes"], ids, lengths, codes))
 
-    tie = F.xxhash64("text")
-    ordered = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    write_files(ordered.mapInArrow(run, "file binary"), "file", folder, ENDING)
+    write_files(chunks.mapInArrow(run, "file binary"), "file", folder, ENDING)
 
 
 def _one(data: bytes) -> pa.RecordBatch:
