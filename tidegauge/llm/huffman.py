@@ -20,7 +20,9 @@ gives no files.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -176,6 +178,17 @@ def _parse(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndar
 
 # -- Spark -----------------------------------------------------------------------------
 
+# Latin letters with at most one stop: a match of letters, with the blank before it, and one of the stop.
+_PLAIN = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,]?)")
+
+
+def _byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
@@ -194,21 +207,47 @@ def _encoder(description: str) -> WordIds:
             return [np.array(x.ids, "<u4").tobytes() for x in found]
 
         feed = own.encode("\n", add_special_tokens=False).ids
+        first = feed[0].to_bytes(4, "little")
 
-        def encode_words(words: list[str]) -> list[bytes]:
+        def encode_lines(words: list[str]) -> Iterator[bytes]:
             # One word a line: the line feed is a match of its own, and so an id of its own.
-            out: list[bytes] = []
-            for start in range(0, len(words), 20_000):
-                part = words[start : start + 20_000]
+            for start in range(0, len(words), 200):
+                part = words[start : start + 200]
                 lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in part]) + "\n"
                 ids = np.array(own.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.flatnonzero(ids == feed[0]) * 4
                 if len(feed) != 1 or len(ends) != len(part):
                     raise ValueError("the vocabulary joins line feeds with other text")
-                packed, first = ids.tobytes(), feed[0].to_bytes(4, "little")
+                packed = ids.tobytes()
                 begins = [0, *(ends[:-1] + 4).tolist()]
                 own_ids = [packed[a:b] for a, b in zip(begins, ends.tolist(), strict=True)]
-                out += [first + x if w[0] == "\n" else x for w, x in zip(part, own_ids, strict=True)]
+                yield from [first + x if w[0] == "\n" else x for w, x in zip(part, own_ids, strict=True)]
+
+        rules = json.loads(description)
+        cut = rules["pre_tokenizer"] or {}
+        known_rules = (
+            rules["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"]
+            and not cut["add_prefix_space"]
+        )
+        names, merge = _byte_names(), own.model.tokenize
+        number = [i.to_bytes(4, "little") for i in range(own.get_vocab_size())]
+        stops = {"": b""} | {x: b"".join(number[t.id] for t in merge(x)) for x in ".," if known_rules}
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            """Words of letters go to the merges at once, others by lines."""
+            out: list[bytes] = [b""] * len(words)
+            rest = []
+            for i, word in enumerate(words):
+                if not known_rules or not (found := _PLAIN.fullmatch(word)):
+                    rest.append(i)
+                    continue
+                line, letters, stop = found.groups()
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(names)
+                ids = [number[t.id] for t in merge(letters if line else names[32] + letters)]
+                out[i] = (first if line else b"") + b"".join(ids) + stops[stop]
+            for i, ids in zip(rest, encode_lines([words[i] for i in rest]), strict=True):
+                out[i] = ids
             return out
 
         _TOKENIZERS.clear()

@@ -8,12 +8,9 @@ repeat, a worker remembers a bounded number of them. Other texts are encoded who
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
-
-# Words a worker remembers before it starts anew: about 200 MB.
+# Words a worker remembers: about 200 MB.
 REMEMBERED = 800_000
 
 
@@ -32,8 +29,9 @@ class WordIds:
         self.encode_words = encode_words or (
             lambda words: encode([w if w[0] == "\n" else " " + w for w in words])
         )
+        # Words met lately, and those of the time before, which go when the first are many.
         self.known: dict[str, bytes] = {}
-        self.counted: Counter[str] = Counter()
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def words(text: str) -> list[str] | None:
@@ -47,11 +45,12 @@ class WordIds:
 
     def _learn(self, wanted: set[str]) -> None:
         new = wanted.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
             new = wanted
-        if new:
-            fresh = list(new)
+        met = new & self.older.keys()
+        self.known.update(zip(met, map(self.older.__getitem__, met), strict=True))
+        if fresh := list(new - met):
             self.known.update(zip(fresh, self.encode_words(fresh), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -70,33 +69,3 @@ class WordIds:
         for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
-
-    def count_batch(self, texts: list[str | None], counts: np.ndarray) -> None:
-        """Add how often each id occurs in ``texts`` to ``counts``, sooner or later; see ``flush``."""
-        rest = []
-        for text in texts:
-            if text:
-                words = self.words(text)
-                if words is None:
-                    rest.append(text)
-                else:
-                    rest.append(words[0])
-                    self.counted.update(words[1:])
-        if rest:
-            ids = np.frombuffer(b"".join(self.encode(rest)), "<u4")
-            counts += np.bincount(ids, minlength=len(counts))
-        if len(self.counted) > REMEMBERED:
-            self.flush(counts)
-
-    def flush(self, counts: np.ndarray) -> None:
-        """Add what ``count_batch`` holds back."""
-        words = list(self.counted)
-        for start in range(0, len(words), 100_000):
-            part = words[start : start + 100_000]
-            self._learn(set(part))
-            ids = [self.known[w] for w in part]
-            times = np.fromiter((self.counted[w] for w in part), np.int64, len(part))
-            times = np.repeat(times, np.fromiter((len(x) >> 2 for x in ids), np.int64, len(part)))
-            own = np.bincount(np.frombuffer(b"".join(ids), "<u4"), weights=times, minlength=len(counts))
-            counts += own.astype(np.int64)
-        self.counted.clear()
