@@ -106,13 +106,16 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int = B
     ends = np.cumsum(sizes)
     starts = ends - sizes
     total = int(ends[-1]) if len(ids) else 0
-    # A code of up to 16 bits at any bit lies within three bytes; codes don't overlap, so bytes add up.
-    shifted = codes[ids] << (24 - (starts & 7) - sizes)
-    first, size = starts >> 3, (total + 7) // 8 + 3
-    stream = np.zeros(size)
-    for k in range(3):
-        stream += np.bincount(first + k, weights=(shifted >> (16 - 8 * k)) & 255, minlength=size)
-    return stream.astype(np.uint8).tobytes(), starts[::block].copy()
+    # A code of up to 16 bits from any bit of a 32-bit word ends within the next word. Every word
+    # of the stream has a code that starts in it, so those of one word are a run of values.
+    word = starts >> 5
+    values = codes[ids].astype(np.uint64) << (64 - (starts & 31) - sizes).astype(np.uint64)
+    runs = np.flatnonzero(np.diff(word, prepend=-1))
+    both = np.bitwise_or.reduceat(values, runs) if len(ids) else np.zeros(0, np.uint64)
+    stream = np.zeros(len(both) + 1, np.uint64)
+    stream[:-1] = both >> np.uint64(32)
+    stream[1:] |= both & np.uint64(0xFFFFFFFF)
+    return stream.astype(">u4").tobytes()[: (total + 7) // 8 + 3].ljust((total + 7) // 8 + 3, b"\0"), starts[::block].copy()
 
 
 def unpack(
@@ -230,22 +233,33 @@ def _encoder(description: str) -> WordIds:
             and not cut["add_prefix_space"]
         )
         names, merge = _byte_names(), own.model.tokenize
-        number = [i.to_bytes(4, "little") for i in range(own.get_vocab_size())]
-        stops = {"": b""} | {x: b"".join(number[t.id] for t in merge(x)) for x in ".," if known_rules}
+        stops = {"": b""} | {x: b"".join(t.id.to_bytes(4, "little") for t in merge(x)) for x in ".," if known_rules}
 
         def encode_words(words: list[str]) -> list[bytes]:
             """Words of letters go to the merges at once, others by lines."""
             out: list[bytes] = [b""] * len(words)
-            rest = []
+            places, heads, tails, flat, ends, rest = [], [], [], [], [], []
+            blank = names[32]
             for i, word in enumerate(words):
-                if not known_rules or not (found := _PLAIN.fullmatch(word)):
-                    rest.append(i)
-                    continue
-                line, letters, stop = found.groups()
-                if not letters.isascii():
-                    letters = letters.encode().decode("latin-1").translate(names)
-                ids = [number[t.id] for t in merge(letters if line else names[32] + letters)]
-                out[i] = (first if line else b"") + b"".join(ids) + stops[stop]
+                head, stop = b"", b""
+                letters = word
+                if not (known_rules and word.isascii() and word.isalpha()):
+                    if not known_rules or not (found := _PLAIN.fullmatch(word)):
+                        rest.append(i)
+                        continue
+                    line, letters, end = found.groups()
+                    head, stop = (first if line else b""), stops[end]
+                    if not letters.isascii():
+                        letters = letters.encode().decode("latin-1").translate(names)
+                flat += [t.id for t in merge(letters if head else blank + letters)]
+                places.append(i)
+                heads.append(head)
+                tails.append(stop)
+                ends.append(len(flat) * 4)
+            packed, start = np.array(flat, "<u4").tobytes(), 0
+            for i, head, stop, end in zip(places, heads, tails, ends, strict=True):
+                out[i] = head + packed[start:end] + stop
+                start = end
             for i, ids in zip(rest, encode_lines([words[i] for i in rest]), strict=True):
                 out[i] = ids
             return out
