@@ -94,6 +94,21 @@ def test_vectors(spark):
     assert got[2001]["component_id"] == got[0]["component_id"]
 
 
+def test_links_of_a_hot_group_are_whole(spark):
+    """A third of the rows are different vectors near each other, which every tree cuts into many leaves."""
+    draw = np.random.default_rng(11)
+    values = draw.standard_normal((9000, 24))
+    values[:3000] = values[0] + 0.25 * draw.standard_normal((3000, 24))
+    values[3000] = values[7]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(frame).collect()}
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    counts = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert 0.2 < counts[:3000].mean() / 3000
+    found = np.array([got[i] for i in range(9000)])
+    assert (found <= counts).all() and found[:3001].sum() >= 0.99 * counts[:3001].sum()
+
+
 def test_pipeline(spark, small):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     kept = corpus_pipeline.run(spark, small).collect()

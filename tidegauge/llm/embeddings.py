@@ -5,13 +5,17 @@ direction; vectors near a split go to both sides (spill), so near vectors part l
 Many trees make it unlikely that a similar pair parts in all. Splits are fitted on a bounded
 sample of the vectors and travel as a broadcast; every vector is put into the leaves of every
 tree. Vectors of a leaf are compared exactly, in double precision, and pairs of at least
-THRESHOLD link.
+THRESHOLD link. Only a spanning set of links leaves a leaf, and components are joined from
+those.
 
-A pair may meet in several leaves. Every vector carries the sorted list of its leaves, and a
-pair counts in the first leaf that both have, so links are counted without listing pairs.
-Leaves of many vectors are compared in pairs of blocks, so no task holds more than two
-blocks. Equal vectors are one vector with a weight: copies add to the counts but are never
-compared. Only a spanning set of links leaves a block, and components are joined from those.
+Splits cut through a large group of mutually near vectors again and again, so most of its
+pairs meet in no leaf, although its vectors have partners enough to be joined. Links are
+therefore not counted in leaves but in components, where every vector is compared with every
+other: a link is missed only if the forest leaves its ends in different components.
+
+Leaves and components of many vectors are compared in pairs of blocks, so no task holds more
+than two blocks. Equal vectors are one vector with a weight: copies add to the counts but are
+never compared.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors
 of another length are compared among themselves. A repeated ``vec_id`` is a copy like any
@@ -39,6 +43,10 @@ SPILL = 0.04
 # Vectors that splits are fitted on. Leaves grow with the data beyond it, and are cut into blocks.
 SAMPLE_ROWS = 20_000
 BLOCK = 512
+# Blocks of components: every row goes to each block of its component, so fewer and larger ones.
+COMPONENT_BLOCK = 2048
+# Rows of a block compared at once.
+STRIP = 256
 
 
 class Tree:
@@ -80,8 +88,8 @@ def _usable(column: str) -> str:
     )
 
 
-def _arrays(rows: list[list[float]]) -> np.ndarray:
-    own = np.array(rows, np.float64)
+def _arrays(rows: list[list[float]] | np.ndarray) -> np.ndarray:
+    own = np.asarray(rows, np.float64)
     # Scale first, so that no square overflows or vanishes.
     own = own / np.abs(own).max(axis=1, keepdims=True)
     return own / np.linalg.norm(own, axis=1, keepdims=True)
@@ -95,50 +103,77 @@ def forest(vectors: DataFrame, rows: int, trees: int = TREES, sample_rows: int =
     return [Tree(sample, rows, seed + t) for t in range(trees)]
 
 
-def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Counts of links by class, and a spanning set of links, of every pair of blocks."""
+def _paired(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
+    """``members`` (own, weight, vector, side) of every pair of blocks of rows (own, weight, vector) with a ``key``.
+
+    ``side`` is 0 and 1 in a pair of two blocks, and 2 in a block with itself. Keys of one row have no pairs.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    block = F.expr("pmod(xxhash64(own), blocks)")
+    sides = F.explode(F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda k: F.struct(
+            F.least(k, block).alias("i"), F.greatest(k, block).alias("j"),
+            F.when(k == block, 2).when(k > block, 0).otherwise(1).alias("side"),
+        ),
+    ))
+    spread = rows.join(
+        sizes.where("n > 1").selectExpr(key, f"(n + {block_rows - 1}) div {block_rows} AS blocks"), key
+    ).withColumn("s", sides)
+    return spread.groupBy(key, "s.i", "s.j").agg(
+        F.collect_list(F.struct("own", "weight", "vector", "s.side")).alias("members")
+    ).select("members")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Own numbers, weights and unit vectors of a pair of blocks, and the members of its two sides."""
     for batch in batches:
-        for leaf, rows in zip(batch.column("leaf").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            sides = np.array([m["side"] for m in rows], np.int8)
-            own, weight = np.array([m["own"] for m in rows]), np.array([m["weight"] for m in rows])
-            unit = _arrays([m["vector"] for m in rows])
+        for held in batch.column("members"):
+            rows = held.values
+            sides = rows.field("side").to_numpy()
             left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-            if not len(left) or not len(right):
-                continue
-            near = unit[left] @ unit[right].T >= threshold
-            i, j = np.nonzero(near)
-            i, j = left[i], right[j]
-            # Within a block a pair comes both ways; across blocks once.
-            keep = (sides[i] != 2) | (sides[j] != 2) | (own[i] < own[j])
-            keep &= own[i] != own[j]
-            i, j = i[keep], j[keep]
-            # Earlier leaves of each member; a pair that shares one has been counted there.
-            earlier = [{g for g in m["leaves"] if g < leaf} for m in rows]
-            new = np.fromiter((earlier[a].isdisjoint(earlier[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-            i, j = i[new], j[new]
-            counts = np.bincount(i, weights=weight[j], minlength=len(rows)) + np.bincount(j, weights=weight[i], minlength=len(rows))
-            used = np.flatnonzero(counts)
-            roots = np.arange(len(rows))
-
-            def root(x: int, roots=roots) -> int:
-                while roots[x] != x:
-                    roots[x] = roots[roots[x]]
-                    x = roots[x]
-                return x
-
-            links = []
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                x, y = root(a), root(b)
-                if x != y:
-                    roots[max(x, y)] = min(x, y)
-                    links.append((int(own[a]), int(own[b])))
-            a = [*own[used].tolist(), *(x for x, _ in links)]
-            b = [*([None] * len(used)), *(y for _, y in links)]
-            n = [*counts[used].astype(np.int64).tolist(), *([0] * len(links))]
-            if a:
-                yield pa.RecordBatch.from_pydict(
-                    {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())}
-                )
+            if len(left) and len(right):
+                vectors = rows.field("vector").flatten().to_numpy().reshape(len(rows), -1)
+                yield rows.field("own").to_numpy(), rows.field("weight").to_numpy(), _arrays(vectors), left, right
+
+
+def _strips(unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Some members of the left side, and which members of the right side link with them."""
+    for k in range(0, len(left), STRIP):
+        some = left[k : k + STRIP]
+        yield some, (unit[some] @ unit[right].T >= threshold) & (some[:, None] != right)
+
+
+def _spanning(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs that join the members of every pair of blocks as their links do."""
+    for own, _, unit, left, right in _pairs(batches):
+        roots, links = np.arange(len(own)), []
+        for some, near in _strips(unit, left, right, threshold):
+            for k in np.flatnonzero(near.any(axis=1)):
+                joined = np.unique(roots[np.append(right[near[k]], some[k])])
+                if len(joined) > 1:
+                    links += [(joined[0], x) for x in joined[1:]]
+                    roots[np.isin(roots, joined)] = joined[0]
+        if links:
+            a, b = own[np.array(links)].T
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of every member of every pair of blocks, copies by weight."""
+    for own, weight, unit, left, right in _pairs(batches):
+        counts, heavy = np.zeros(len(own)), weight.astype(np.float64)
+        within = len(left) == len(own) == len(right)
+        for some, near in _strips(unit, left, right, threshold):
+            linked = near.astype(np.float64)
+            counts[some] += linked @ heavy[right]
+            if not within:  # within a block a pair comes both ways, across blocks once
+                counts[right] += heavy[some] @ linked
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array(own[used], pa.int64()), "n": pa.array(counts[used].astype(np.int64), pa.int64())}
+            )
 
 
 def near_duplicates(
@@ -146,7 +181,7 @@ def near_duplicates(
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``df`` (vec_id, embedding).
 
-    Links are found with high probability, and none is below ``threshold``.
+    Groups are found with high probability, links within a group are all counted, and none is below ``threshold``.
     """
     vector = F.expr("cast(embedding AS array<double>)")
     rows = materialize(
@@ -169,15 +204,23 @@ def near_duplicates(
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, "links")
-    roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    grouped = (
-        classes.join(roots, F.col("own") == F.col("node"), "left").join(counts, F.col("own") == F.col("a"), "left")
-        .select("vector", "least", "weight", F.coalesce("root", "own").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
+    roots = components(found)
+    rooted = materialize(
+        classes.join(roots, F.col("own") == F.col("node"), "left")
+        .select("own", "vector", "least", "weight", F.coalesce("root", "own").alias("root")),
+        "rooted",
     )
+    run = lambda batches: _counted(batches, threshold)
+    counts = (
+        _paired(rooted.select("root", "own", "weight", "vector"), "root", COMPONENT_BLOCK)
+        .mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    )
+    grouped = rooted.join(counts, F.col("own") == F.col("a"), "left").select(
+        "own", "least", "weight", "root", F.coalesce("n", F.lit(0)).alias("n")
+    )
     first = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(first, "root").select(
-        F.xxhash64("vector").alias("own"), (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"
+        "own", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"
     )
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return rows.withColumn("own", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))).join(named, "own", "left").select(
@@ -187,7 +230,7 @@ def near_duplicates(
 
 
 def _links(classes: DataFrame, rows: int, threshold: float, trees: int, sample_rows: int) -> DataFrame:
-    """Links (a, b, 0) and counts (a, null, n) among classes of vectors of one length."""
+    """Links (a, b) that join classes of vectors of one length as the links found in leaves do."""
     shared = classes.sparkSession.sparkContext.broadcast(forest(classes, rows, trees, sample_rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +243,7 @@ def _links(classes: DataFrame, rows: int, threshold: float, trees: int, sample_r
                 for row, leaf in zip(*(x.tolist() for x in tree.leaves(unit)), strict=True):
                     leaves[row].append((t << 40) + leaf)
             columns = {n: batch.column(n) for n in ("own", "vector", "weight")}
-            yield pa.RecordBatch.from_pydict(columns | {"leaves": pa.array(map(sorted, leaves), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict(columns | {"leaves": pa.array(leaves, pa.list_(pa.int64()))})
 
     placed = materialize(
         classes.select("own", "vector", "weight").mapInArrow(
@@ -208,25 +251,9 @@ def _links(classes: DataFrame, rows: int, threshold: float, trees: int, sample_r
         ),
         "placed",
     )
-    sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    block = F.expr("pmod(xxhash64(own), blocks)")
-    sides = F.explode(F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
-        lambda k: F.struct(
-            F.least(k, block).alias("i"), F.greatest(k, block).alias("j"),
-            F.when(k == block, 2).when(k > block, 0).otherwise(1).alias("side"),
-        ),
-    ))
-    spread = (
-        placed.withColumn("leaf", F.explode("leaves"))
-        .join(sizes.where("n > 1").selectExpr("leaf", f"(n + {BLOCK - 1}) div {BLOCK} AS blocks"), "leaf")
-        .withColumn("s", sides)
-    )
-    grouped = spread.groupBy("leaf", "s.i", "s.j").agg(
-        F.collect_list(F.struct("own", "weight", "vector", "leaves", "s.side")).alias("members")
-    )
-    run = lambda batches: _compared(batches, threshold)
-    return grouped.select("leaf", "members").mapInArrow(run, "a long, b long, n long")
+    run = lambda batches: _spanning(batches, threshold)
+    leaved = placed.select(F.explode("leaves").alias("leaf"), "own", "weight", "vector")
+    return _paired(leaved, "leaf", BLOCK).mapInArrow(run, "a long, b long")
 
 
 @query("op7_projection_forest")
