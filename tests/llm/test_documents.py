@@ -201,3 +201,15 @@ def test_toxicity(spark, odd):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
     empty = toxicity.learn(odd.selectExpr("doc_id", "text", "cast(null as int) AS label"))
     assert {r["score"] for r in toxicity.score(odd, empty).collect()} == {0.0}
+
+
+def test_frequent_toxic_word_hides_no_rarer_one():
+    """One word in a third of the toxic texts, and another in a fiftieth of them."""
+    draw = np.random.default_rng(3)
+    plain = [" ".join(f"w{i}" for i in draw.integers(0, 500, 30)) for _ in range(4000)]
+    marks = {k: "frequentslur" for k in range(0, 2000, 3)} | {k: "rarerslur" for k in range(1, 2000, 50)}
+    toxic = [f"{t} {marks.get(k, '')}".encode() for k, t in enumerate(plain[:2000])]
+    ordinary = [t.encode() for t in plain[2000:]]
+    assert toxicity.distinctive_words(toxic, ordinary)[-2:] == [b"rarerslur", b"frequentslur"]
+    model = toxicity.train(toxic, ordinary, 0.1)
+    assert model.saving(b"w1 w2 rarerslur w3") > 0 and model.score(b"w1 w2 rarerslur w3") > model.score(b"w1 w2 w3 w4")

@@ -10,8 +10,8 @@ until it never falls as the saving grows.
 Toxic texts are mostly ordinary wording, on which dictionary training by frequency would
 spend the toxic dictionary. So its content is what tells the classes apart: the words whose
 document frequency among toxic texts exceeds that among ordinary ones by a likelihood ratio
-that chance doesn't give among that many words, and that is at least a quarter of the
-strongest word's. Near copies would count one text many times, so documents count once per
+that chance doesn't give among that many words, the strongest of them if they are more than
+TOXIC_BYTES. Near copies would count one text many times, so documents count once per
 minimum hash of their shingles.
 
 Labels are learnt from a bounded sample: rows are drawn by a hash of their id with the
@@ -78,7 +78,7 @@ def distinctive_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         if a * n0 > b * n1 and a + b < n0 + n1:
             p = (a + b) / (n0 + n1)
             strength[word] = 2 * (part(a, n1, p) + part(b, n0, p))
-    least = max(2 * math.log(max(2, len(seen[1]))), max(strength.values(), default=0) / 4)
+    least = 2 * math.log(max(2, len(seen[1])))
     return sorted((w for w, s in strength.items() if s >= least), key=lambda w: (strength[w], w))
 
 
@@ -136,7 +136,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model:
         return Model(b"", b"", np.zeros(1), np.array([prior]))
     words = distinctive_words(toxic, ordinary)
     content = (b" " + b" ".join(words) + b" ")[-TOXIC_BYTES:] if words else b""
-    pieces = [w for t in ordinary for w in windows(t)[:: max(1, len(t) // 4000)]]
+    pieces = [w for t in ordinary for w in windows(t)]
     try:
         base = zstandard.train_dictionary(ORDINARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too few windows to train on: take them as they are
