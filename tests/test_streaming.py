@@ -54,6 +54,27 @@ def test_stateful_drops_what_delta_keeps(spark, events, tmp_path):
     assert counts["late_rows"] == events.where("ts < '2024-01-20'").count()
 
 
+def test_rows_behind_the_watermark_are_repaired(spark, events, tmp_path):
+    """Late rows in buckets with and without rows in time, over several batches and two runs."""
+    view = r.Rollup(str(tmp_path / "stored"), "ts", ("event_type",), ("value", "event_id"), "1 hour")
+    parts = (
+        "ts < '2024-01-12' AND event_id % 2 = 0", "ts >= '2024-01-20'", "ts < '2024-01-12' AND event_id % 4 = 1",
+        "ts < '2024-01-12' AND event_id % 4 = 3", "ts >= '2024-01-12' AND ts < '2024-01-20'",
+    )
+    for upto in (range(0, 3), range(3, 5)):
+        for i in upto:
+            deliver(events, tmp_path / "in", parts[i])
+        stream = file_stream(spark, str(tmp_path / "in"), events.schema, max_files=1)
+        rs.repaired_rollup(stream, view, f"{tmp_path}/stream")
+        there = events.where(" OR ".join(f"({p})" for p in parts[: upto[-1] + 1]))
+        stored = rs.averages(r.read_rollup(spark, view), VIEW)
+        assert rounded(stored) == batch(there)
+        columns = ["ts_bucket", "event_type", "sum_event_id", "cnt_event_id"]
+        assert sorted(r.read_rollup(spark, view).select(*columns).collect()) == sorted(view.rows(there).select(*columns).collect())
+    late = spark.read.parquet(f"{tmp_path}/stream/rows").where("is_late = 'true'")
+    assert late.count() == events.where("ts < '2024-01-20' AND NOT (ts < '2024-01-12' AND event_id % 2 = 0)").count()
+
+
 def test_replayed_batches_do_not_count_twice(spark, events, tmp_path):
     deliver(events, tmp_path / "in", "ts < '2024-01-15'", "ts >= '2024-01-15'")
     first = run_delta(spark, tmp_path / "in", events.schema, tmp_path / "x")

@@ -1,29 +1,34 @@
 """Roll-ups that follow a stream.
 
-Two forms. ``stateful_rollup`` keeps open buckets in state and gives up on rows later than
-the watermark. ``delta_rollup`` keeps no state: every micro-batch stores its own partial
-results, and because sum, count, min and max merge, rows of any lateness and order end up
-in the right bucket.
+Three forms. ``stateful_rollup`` keeps open buckets in state and gives up on rows later than
+the watermark. ``repaired_rollup`` splits these rows off before they reach it, and recomputes
+their buckets from the stored rows. ``delta_rollup`` keeps no state: every micro-batch stores
+its own partial results, and because sum, count, min and max merge, rows of any lateness and
+order end up in the right bucket.
 
-Both write one folder per micro-batch and overwrite it, so a replayed batch replaces
+All write one folder per micro-batch and overwrite it, so a replayed batch replaces
 itself instead of counting twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions.buckets import EPOCH, watermarked_bucket, interval_text, width_of
 from tidegauge.operators.prepare import partition_value
 from tidegauge.operators.queries import average, merged, partials
-from tidegauge.plans.rollup import BUCKET, DATE, Rollup
+from tidegauge.plans.rollup import BUCKET, DATE, Rollup, partition_after, refresh_rollup
+from tidegauge.streaming.sources import file_stream
 
 BATCH = "batch_id"
+# Of the rows that a stateful roll-up reads: series may have a batch_id of their own.
+SPLIT = "split_batch_id"
 
 # Rows up to this late still reach a stateful roll-up.
 LATENESS = timedelta(hours=48)
@@ -38,7 +43,7 @@ def stateful_rollup(stream: DataFrame, rollup: Rollup, lateness: timedelta = LAT
     return (
         timed.withWatermark(rollup.time, interval_text(lateness))
         .groupBy(held.alias("_window"), *rollup.tags)
-        .agg(*partials(rollup.metrics))
+        .agg(*partials(rollup.metrics, timed))
         .select(F.col("_window.start").alias(BUCKET), *rollup.tags, *_partial_names(rollup.metrics))
     )
 
@@ -73,6 +78,76 @@ def latest_rollup(spark: SparkSession, path: str, rollup: Rollup) -> DataFrame:
     )
 
 
+def split_late(
+    stream: DataFrame, rollup: Rollup, path: str, checkpoint: str, lateness: timedelta = LATENESS
+) -> StreamingQuery:
+    """Store each micro-batch's rows, the late ones apart (``is_late``).
+
+    A row is late when it lies more than ``lateness`` before the newest row of an earlier
+    batch. A watermark over the other rows, batch after batch, drops none of them.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = _mark(spark, path, batch_id - 1)
+        time, newest = F.col(rollup.time).cast("timestamp"), F.lit(mark).cast("timestamp")
+        late = time < newest - F.expr(f"interval {interval_text(lateness)}")
+        target = f"{path}/{SPLIT}={batch_id}"
+        batch.withColumn("is_late", F.coalesce(late, F.lit(False))).write.mode("overwrite").partitionBy("is_late").parquet(target)
+        stored = spark.read.schema(batch.schema).parquet(target)
+        stored.agg(F.greatest(F.max(time), newest).cast("string").alias("newest")).write.mode("overwrite").parquet(
+            _mark_path(path, batch_id)
+        )
+
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(store)
+        .start()
+    )
+
+
+def repaired_rollup(stream: DataFrame, rollup: Rollup, path: str, lateness: timedelta = LATENESS) -> None:
+    """Bring the stored roll-up up to date with ``stream``, rows of any lateness included.
+
+    Rows within ``lateness`` go through ``stateful_rollup``. Partitions that hold later ones
+    are refreshed from all rows stored so far. The steps follow each other: the stateful form
+    sees a batch only when it is stored whole, and a replayed one never twice. ``path`` keeps
+    rows, changes and checkpoints between runs.
+    """
+    spark = stream.sparkSession
+    split_late(stream, rollup, f"{path}/rows", f"{path}/split", lateness).awaitTermination()
+    on_time = file_stream(spark, f"{path}/rows/{SPLIT}=*/is_late=false", stream.schema)
+    write_changes(stateful_rollup(on_time, rollup, lateness), f"{path}/changes", f"{path}/state").awaitTermination()
+    kept = T.StructType([*stream.schema, T.StructField("is_late", T.BooleanType())])
+    rows = spark.read.schema(kept).parquet(f"{path}/rows").drop(SPLIT)
+    _repair(rows, latest_rollup(spark, f"{path}/changes", rollup), rollup)
+
+
+def _repair(rows: DataFrame, stateful: DataFrame, rollup: Rollup) -> None:
+    """Store the partitions of ``stateful`` without late rows, and refresh those with some."""
+    stored = rollup.rows(rows).schema
+    dated = stateful.withColumn(DATE, partition_value(F.col(BUCKET), rollup.unit))
+    late = sorted(r[DATE] for r in rollup.rows(rows.where("is_late")).select(DATE).distinct().collect())
+    (
+        dated.where(~F.col(DATE).isin(late))
+        .select(*[F.col(f.name).cast(f.dataType) for f in stored])
+        .hint("rebalance", DATE)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(DATE)
+        .parquet(rollup.path)
+    )
+    spans: list[list[datetime]] = []
+    for date in late:
+        start = datetime(date.year, date.month, date.day)
+        if not spans or spans[-1][1] != start:
+            spans.append([start, start])
+        spans[-1][1] = partition_after(start, rollup.unit)
+    for start, end in spans:
+        refresh_rollup(rows, rollup, start, end)
+
+
 def delta_rollup(
     stream: DataFrame, rollup: Rollup, path: str, checkpoint: str, lateness: timedelta = LATENESS
 ) -> StreamingQuery:

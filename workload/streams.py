@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.generate import shuffle_timestamps
 from tidegauge.operators.ordering import chunk_rows
-from tidegauge.plans.rollup import Rollup
+from tidegauge.plans.rollup import Rollup, query_rollup
 from tidegauge.session import new_path
 from tidegauge.streaming import live
 from tidegauge.streaming import rollup_stream as rs
@@ -50,6 +50,16 @@ _PARTS = {
 }
 
 
+@query("stream_late_repaired", _MERGED.format(rows="events"))
+def _(t):
+    """The stateful roll-up over several batches, rows behind its watermark repaired from the stored rows."""
+    base = new_path(t.spark, "repaired")
+    view = Rollup(f"{base}/rollup", "ts", ("event_type",), ("value",), "1 hour")
+    stream = file_stream(t.spark, _delivered(t, _PARTS), t.events.schema, max_files=1)
+    rs.repaired_rollup(stream, view, f"{base}/stream")
+    return tidy(query_rollup(t.spark, view))
+
+
 def _deltas(t) -> str:
     base = new_path(t.spark, "deltas")
     stream = file_stream(t.spark, _delivered(t, _PARTS), t.events.schema, max_files=1)
