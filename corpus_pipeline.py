@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the least id, of each group of near-equal ones."""
+    """Keep one row, the first of those of the least id, of each group of near-equal ones."""
     prepared(spark)
     return partenum.keep_first(docs)
 
@@ -63,7 +63,7 @@ STAGES = [
 ]
 
 # Neither trained language trees nor byte-pair merges can be written in SQL; tests compare
-# every stage with a brute-force version instead.
+# the operators of the stages with brute-force versions instead.
 ORACLE_SQL = None
 
 

@@ -64,6 +64,27 @@ def test_join_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_keep_first_decides_by_row(spark):
+    """Ids with several texts, rows repeated whole, and copies across both; by brute force."""
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 300, 60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(i + 1, texts[i] + " now") for i in range(0, 20, 2)]  # a copy of i under the id of another text
+    rows += [(i, texts[i]) for i in range(30, 35)]  # rows repeated whole
+    rows += [(None, texts[0]), (50, None), (51, "")]
+    groups = brute_components([(n, t) for n, (_, t) in enumerate(rows)])
+    least = {}
+    for n, (doc, _) in enumerate(rows):
+        if doc is not None:
+            group = groups.get(n, n)
+            least[group] = min(least.get(group, (doc, n)), (doc, n))
+    firsts = {n for _, n in least.values()}
+    want = [r for n, r in enumerate(rows) if n in firsts or r[0] is None]
+    assert len(want) == 43
+    got = partenum.keep_first(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("size", [1, 3, 5, 12, 30, 90, 400, 2000])
 def test_similar_sets_share_a_signature(size):
     draw = np.random.default_rng(size)

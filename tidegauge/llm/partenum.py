@@ -476,9 +476,18 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group; rows with a null id stay."""
-    found = join_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One row, the first of those of the least id, of each group of ``docs``; rows with a null id stay.
+
+    The join sees stored row numbers as ids, so rows of one id with different texts are told apart.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = join_documents(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    placed = numbered.where("doc_id IS NOT NULL").select("_row", "doc_id").join(
+        groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "_row"
+    )
+    first = placed.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    gone = placed.join(first.where("_rows > 1"), "_group").where("_row <> _first._row").select("_row")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 @query("op5_partenum_join")
