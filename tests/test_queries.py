@@ -222,6 +222,29 @@ def test_bucket_sweep_by_segments_and_by_rows(spark, events, monkeypatch, limit)
     assert sorted((r[0], r[1], round(r[2], 9), r[3], r[4]) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "decimal(12,3)"])
+def test_bucket_sweep_is_the_same_on_both_sides_of_the_limits(spark, events, monkeypatch, kind):
+    """Sums beyond a bigint, decimals, and window ids that are text."""
+    value = F.expr("9000000000000000000 - event_id") if kind == "bigint" else F.expr("event_id / 7")
+    series = events.select("ts", value.cast(kind).alias("value"))
+    windows = s.windows_frame(spark, [(datetime(2024, 1, 3), datetime(2024, 1, 9)), (datetime(2024, 1, 4), datetime(2024, 1, 5, 7))])
+    named = windows.withColumn("window_id", F.concat(F.lit("w"), "window_id"))
+    want = {}
+    for r in series.where("ts >= '2024-01-03' AND ts < '2024-01-09'").collect():
+        for name, low, high in (("w0", 3, datetime(2024, 1, 9)), ("w1", 4, datetime(2024, 1, 5, 7))):
+            if datetime(2024, 1, low) <= r["ts"] < high:
+                at = r["ts"].replace(hour=r["ts"].hour // 6 * 6, minute=0, second=0, microsecond=0)
+                want.setdefault((name, at), []).append(r["value"])
+    want = sorted((*k, float(sum(v)) / len(v), min(v), max(v)) for k, v in want.items())
+    for limit in (None, "FEW_WINDOWS", "SEGMENT_PAIRS_MAX"):
+        with monkeypatch.context() as m:
+            if limit is not None:
+                m.setattr(s, limit, 0)
+            got = s.sweep_bucket(series, "ts", named, "value", "6 hours")
+            assert [k for _, k in got.dtypes] == ["string", "timestamp_ntz", "double", kind, kind]
+            assert sorted(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("zone", ["timestamp", "timestamp_ntz"])
 def test_sweeps_take_zoned_times(spark, events, zone):
     series = events.withColumn("ts", F.col("ts").cast(zone))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tidegauge.functions.buckets import EPOCH, bucket
 from tidegauge.functions.scalar import floor_div, micros
 from tidegauge.operators.prepare import literal_time, naive_utc
-from tidegauge.operators.queries import average, merged, partials, summaries
+from tidegauge.operators.queries import average, merged, partials
 from tidegauge.session import materialize
 
 # Up to here windows are sent along with the plan, and bucket sweeps put them together from
@@ -79,7 +79,8 @@ def match_windows(df: DataFrame, time: str, windows: DataFrame, columns: Sequenc
         F.max("end").cast(kind).alias("hi"),
     ).first()
     if not used["classes"]:
-        return df.select(F.lit(None).cast("bigint").alias("window_id"), *columns).limit(0)
+        kind = windows.schema["window_id"].dataType
+        return df.select(F.lit(None).cast(kind).alias("window_id"), *columns).limit(0)
     listed = classed.select(
         "window_id",
         "_class",
@@ -140,25 +141,23 @@ def sweep_bucket(
 
     Overlapping windows share rows. While the windows are few, the time line is cut at
     all their ends, each row is aggregated once in the segment it lies in, and windows are
-    put together from segments. Many windows are matched row by row.
+    put together from segments. Many windows are matched row by row. Both ways average the
+    same partial results.
     """
     windows, table = _few(windows)
-    found = None if table is None else _in_segments(df, time, table, [metric])
+    found = None if table is None else _in_segments(df, time, table, windows.schema["window_id"], [metric])
     if found is None:
         columns = [time, metric]
-        return sweep(df, time, windows, {"bucket": bucket(time, granularity)}, summaries([metric]), columns)
-    rows, cover = found
-    partial = rows.groupBy("_segment", bucket(time, granularity).alias("bucket")).agg(*partials([metric]))
-    return (
-        partial.join(cover, "_segment")
-        .groupBy("window_id", "bucket")
-        .agg(*merged([metric]))
-        .select("window_id", "bucket", average(metric).alias(f"avg_{metric}"), f"min_{metric}", f"max_{metric}")
-    )
+        held = sweep(df, time, windows, {"bucket": bucket(time, granularity)}, partials([metric], df), columns)
+    else:
+        rows, cover = found
+        partial = rows.groupBy("_segment", bucket(time, granularity).alias("bucket")).agg(*partials([metric], df))
+        held = partial.join(cover, "_segment").groupBy("window_id", "bucket").agg(*merged([metric]))
+    return held.select("window_id", "bucket", average(metric).alias(f"avg_{metric}"), f"min_{metric}", f"max_{metric}")
 
 
 def _in_segments(
-    df: DataFrame, time: str, windows: pa.Table, columns: Sequence[str]
+    df: DataFrame, time: str, windows: pa.Table, window_id: T.StructField, columns: Sequence[str]
 ) -> tuple[DataFrame, DataFrame] | None:
     """Every row that lies in some window, with the ``_segment`` it lies in, and the
     segments of every window; None when the windows overlap too much to list these.
@@ -168,13 +167,18 @@ def _in_segments(
     match is an equi-join on the cell.
     """
     spark, kind = df.sparkSession, df.schema[time].dataType
-    listed = [(w["window_id"], naive_utc(w["start"]), naive_utc(w["end"])) for w in windows.to_pylist()]
+    listed = [(i, naive_utc(w["start"]), naive_utc(w["end"])) for i, w in enumerate(windows.to_pylist())]
     edges = sorted({t for _, start, end in listed for t in (start, end)})
     place = {t: i for i, t in enumerate(edges)}
     if sum(place[end] - place[start] for _, start, end in listed) > SEGMENT_PAIRS_MAX:
         return None
     pairs = [(w, i) for w, start, end in listed for i in range(place[start], place[end])]
-    cover = _local_frame(spark, [[w for w, _ in pairs], [i for _, i in pairs]], "window_id bigint, _segment bigint")
+    ids = windows["window_id"].take(pa.array([w for w, _ in pairs], pa.int64()))
+    segment = T.StructField("_segment", T.LongType())
+    cover = spark.createDataFrame(
+        pa.table([ids, pa.array([i for _, i in pairs], pa.int64())], names=["window_id", "_segment"]),
+        T.StructType([window_id, segment]),
+    )
     if not edges:
         return df.select(F.lit(0).cast("bigint").alias("_segment"), time, *columns).limit(0), cover
     low, tick = edges[0], timedelta(microseconds=1)
