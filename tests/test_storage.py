@@ -96,9 +96,13 @@ def test_csv_round_trip_keeps_microseconds(spark, events, tmp_path):
 def test_parts_are_disjoint(spark, tmp_path):
     df = generate_iot(spark, 10, 50)
     out.write_parts(df, str(tmp_path / "p"), 3)
-    stored = spark.read.parquet(str(tmp_path / "p"))
-    parts = stored.groupBy("part").agg(F.min("device_id"), F.max("device_id"), F.count("*")).orderBy("part").collect()
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "p"))
+    assert stored.columns == df.columns == files.load_dataset(spark, str(tmp_path / "p")).columns
+    folder = F.regexp_extract("_metadata.file_path", "/part-([0-9]+)/", 1).alias("part")
+    parts = stored.groupBy(folder).agg(F.min("device_id"), F.max("device_id"), F.count("*")).orderBy("part").collect()
     assert [p[3] for p in parts] == [150, 150, 200]
+    with pytest.raises(ValueError):
+        out.write_parts(df.withColumn("Part", F.lit(1)), str(tmp_path / "q"), 3)
     assert all(a[2] < b[1] for a, b in zip(parts, parts[1:]))
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.operators.keys import keyed_join
 from tidegauge.operators.ordering import number_rows
 
-# The folder column of ``write_parts``.
+# The folders of ``write_parts``: a plain name, so readers get no column from it.
 PART = "part"
+PART_FOLDER = "part-{:05d}"
 
 # How times are written in CSV (UTC, microseconds).
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -24,12 +25,15 @@ def write_parts(df: DataFrame, path: str, parts: int, device: str = "device_id")
     """``parts`` folders with disjoint, consecutive device ranges of equal device count.
 
     The devices are numbered, not the rows. A folder holds as many files as its rows
-    need, so a device with a third of all rows does not end up in one task.
+    need, so a device with a third of all rows does not end up in one task. Folders are
+    named ``part-00000`` and on, and files have the columns of ``df`` alone.
     """
     numbered = number_rows(df.select(device).distinct(), [device], "_row")
     n_devices = numbered.count()
     per_part = max(1, n_devices // parts)
     part = F.least(F.expr(f"(_row - 1) div {per_part}"), F.lit(parts - 1)).cast("int")
+    if PART in (c.lower() for c in df.columns):
+        raise ValueError(f"write_parts needs the name {PART} for itself")
     placed = keyed_join(df, numbered.select(device, part.alias(PART)), [device])
     (
         placed.hint("rebalance", PART)
@@ -37,6 +41,19 @@ def write_parts(df: DataFrame, path: str, parts: int, device: str = "device_id")
         .partitionBy(PART)
         .parquet(path)
     )
+    _name_folders(df.sparkSession, path)
+
+
+def _name_folders(spark: SparkSession, path: str) -> None:
+    """Take the column out of the folder names: Spark writes ``part=3``."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        name, _, number = status.getPath().getName().partition("=")
+        if name == PART and number.isdigit():
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, PART_FOLDER.format(int(number)))
+            if not fs.rename(status.getPath(), target):
+                raise OSError(f"cannot rename {status.getPath()} to {target}")
 
 
 def times_as_text(df: DataFrame) -> DataFrame:

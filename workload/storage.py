@@ -64,7 +64,9 @@ def _(t):
     """Eight parts; every device lies in one of them."""
     path = new_path(t.spark, "parts")
     out.write_parts(t.events, path, 8, "user_id")
-    return t.spark.read.parquet(path).groupBy("user_id", "part").agg(F.count(F.lit(1)).alias("n_rows"))
+    stored = t.spark.read.option("recursiveFileLookup", "true").parquet(path)
+    part = F.regexp_extract("_metadata.file_path", "/part-([0-9]+)/", 1).cast("int").alias("part")
+    return stored.groupBy("user_id", part).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("write_csv", "SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts FROM events")
