@@ -6,6 +6,7 @@ from tidegauge.llm import (  # noqa: F401
     embeddings,
     huffman,
     langid,
+    mixing,
     partenum,
     secret_scan,
     sharding,
