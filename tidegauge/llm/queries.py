@@ -12,6 +12,7 @@ from tidegauge.llm import (  # noqa: F401
     sharding,
     toxicity,
     warc,
+    whitening,
 )
 from tidegauge.llm.base import ORACLES, QUERIES
 
