@@ -1,11 +1,11 @@
 """Token ids in canonical length-limited Huffman files.
 
 The code is built from the counts of all ids: lengths of at most LIMIT bits come from
-package-merge, and codes are canonical, so a file needs only the lengths. A file holds the
-ids of a run of documents in ascending order as one bit stream, cut into blocks of BLOCK ids
-that decode on their own: a checkpoint gives each block's first bit. A decoder looks LIMIT
-bits up in a table that gives the id and its length, and steps through all blocks of a file
-side by side.
+package-merge, and codes are canonical, so a file needs only the lengths. LIMIT bits allow
+65,536 different ids in one corpus; writing more is refused. A file holds the ids of a run of
+documents in ascending order as one bit stream, cut into blocks of BLOCK ids that decode on
+their own: a checkpoint gives each block's first bit. A decoder looks LIMIT bits up in a
+table that gives the id and its length, and steps through all blocks of a file side by side.
 
 Documents are range-partitioned by id before they are encoded, ties by a hash of the text, so
 a repeated id is split too; a file's place is (partition, number within it). Texts are
@@ -20,9 +20,6 @@ gives no files.
 
 from __future__ import annotations
 
-import json
-import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.base import materialize, new_path, query, table
 from tidegauge.llm.blobs import read_files, write_files
-from tidegauge.llm.words import WordIds
+from tidegauge.llm.byte_bpe import ByteBpe
 
 LIMIT = 16
 BLOCK = 1024
@@ -181,121 +178,44 @@ def _parse(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndar
 
 # -- Spark -----------------------------------------------------------------------------
 
-# Latin letters with at most one stop: a match of letters, with the blank before it, and one of the stop.
-_PLAIN = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,]?)")
-
-
-def _byte_names() -> dict[int, str]:
-    """How byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    other = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
-
-
-_TOKENIZERS: dict[int, WordIds] = {}
-
-
-def _encoder(description: str) -> WordIds:
-    """One tokenizer per Python worker. Special tokens' strings count as ordinary text."""
-    key = hash(description)
-    if key not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_str(description)
-        own.encode_special_tokens = True
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            found = own.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-        feed = own.encode("\n", add_special_tokens=False).ids
-        first = feed[0].to_bytes(4, "little")
-
-        def encode_lines(words: list[str]) -> Iterator[bytes]:
-            # One word a line: the line feed is a match of its own, and so an id of its own.
-            for start in range(0, len(words), 200):
-                part = words[start : start + 200]
-                lines = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in part]) + "\n"
-                ids = np.array(own.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(ids == feed[0]) * 4
-                if len(feed) != 1 or len(ends) != len(part):
-                    raise ValueError("the vocabulary joins line feeds with other text")
-                packed = ids.tobytes()
-                begins = [0, *(ends[:-1] + 4).tolist()]
-                own_ids = [packed[a:b] for a, b in zip(begins, ends.tolist(), strict=True)]
-                yield from [first + x if w[0] == "\n" else x for w, x in zip(part, own_ids, strict=True)]
-
-        rules = json.loads(description)
-        cut = rules["pre_tokenizer"] or {}
-        known_rules = (
-            rules["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"]
-            and not cut["add_prefix_space"]
-        )
-        names, merge = _byte_names(), own.model.tokenize
-        stops = {"": b""} | {x: b"".join(t.id.to_bytes(4, "little") for t in merge(x)) for x in ".," if known_rules}
-
-        def encode_words(words: list[str]) -> list[bytes]:
-            """Words of letters go to the merges at once, others by lines."""
-            out: list[bytes] = [b""] * len(words)
-            places, heads, tails, flat, ends, rest = [], [], [], [], [], []
-            blank = names[32]
-            for i, word in enumerate(words):
-                head, stop = b"", b""
-                letters = word
-                if not (known_rules and word.isascii() and word.isalpha()):
-                    if not known_rules or not (found := _PLAIN.fullmatch(word)):
-                        rest.append(i)
-                        continue
-                    line, letters, end = found.groups()
-                    head, stop = (first if line else b""), stops[end]
-                    if not letters.isascii():
-                        letters = letters.encode().decode("latin-1").translate(names)
-                flat += [t.id for t in merge(letters if head else blank + letters)]
-                places.append(i)
-                heads.append(head)
-                tails.append(stop)
-                ends.append(len(flat) * 4)
-            packed, start = np.array(flat, "<u4").tobytes(), 0
-            for i, head, stop, end in zip(places, heads, tails, ends, strict=True):
-                out[i] = head + packed[start:end] + stop
-                start = end
-            for i, ids in zip(rest, encode_lines([words[i] for i in rest]), strict=True):
-                out[i] = ids
-            return out
-
-        _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordIds(encode, encode_words)
-    return _TOKENIZERS[key]
+_ENCODERS: dict[str, ByteBpe] = {}
+
+
+def _encoder(description: str) -> ByteBpe:
+    """One tokenizer per Python worker."""
+    if description not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[description] = ByteBpe(description)
+    return _ENCODERS[description]
 
 
 def _chunks(docs: DataFrame, description: str, end_id: int) -> DataFrame:
     """The ids of every file to be, in ascending order of ``doc_id``: each text is tokenized here, once."""
     shared = docs.sparkSession.sparkContext.broadcast(description)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, partition = _encoder(shared.value), TaskContext.get().partitionId()
-        keys, parts, size, number = [], [], 0, 0
+        keys, sizes, parts, size, number = [], [], [], 0, 0
 
         def chunk() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
                 "partition": pa.array([partition], pa.int32()), "number": pa.array([number], pa.int32()),
                 "keys": pa.array([keys], pa.list_(pa.int64())),
-                "sizes": pa.array([[len(p) >> 2 for p in parts]], pa.list_(pa.int64())),
-                "ids": pa.array([_squeeze(b"".join(parts))], pa.binary()),
+                "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                "ids": pa.array([_squeeze(np.concatenate(parts).astype("<u4").tobytes())], pa.binary()),
             })
 
         for batch in batches:
-            for key, ids in zip(
-                batch.column("doc_id").to_pylist(), own.encode_batch(batch.column("text").to_pylist()), strict=True
-            ):
+            texts = (text.as_py() or "" for text in batch.column("text"))
+            for key, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 keys.append(key)
-                parts.append(ids + end)
-                size += len(parts[-1]) >> 2
+                parts += [own.encode([text])[0], end]
+                sizes.append(len(parts[-2]) + 1)
+                size += sizes[-1]
                 if size >= FILE_IDS:
                     yield chunk()
-                    keys, parts, size, number = [], [], 0, number + 1
+                    keys, sizes, parts, size, number = [], [], [], 0, number + 1
         if keys:
             yield chunk()
 

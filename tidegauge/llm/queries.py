@@ -1,6 +1,7 @@
 """All queries of this package, each registered by the module of its operator."""
 
 from tidegauge.llm import (  # noqa: F401
+    alignment,
     bpe_query,
     decontaminate,
     embeddings,
