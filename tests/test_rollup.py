@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.generate import late_rows
 from tidegauge.plans import late
 from tidegauge.plans import rollup as r
+from tidegauge.sinks.snapshots import SnapshotConflict, SnapshotTable
 
 
 def view(path, granularity="1 hour", **more):
@@ -43,7 +44,7 @@ def test_refresh_equals_rebuild(spark, events, tmp_path, granularity, origin):
 def test_refresh_reads_and_replaces_only_what_it_must(spark, events, tmp_path):
     v = view(tmp_path / "v")
     r.create_rollup(events, v)
-    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "v").glob("bucket_date=*/*.parquet")}
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "v").glob("data/*/bucket_date=*/*.parquet")}
     span = r.refresh_rollup(events, v, datetime(2024, 1, 10, 5, 5), datetime(2024, 1, 10, 6, 5))
     assert span == (datetime(2024, 1, 10), datetime(2024, 1, 11))
     kept = {p for p in stamps if "2024-01-10" not in str(p)}
@@ -130,3 +131,63 @@ def test_refresh_from_a_partitioned_table(spark, events, tmp_path):
     r.create_rollup(events.where(~F.col("ts").between(start, end)), v)
     r.refresh_rollup(raw, v, start, end, partition=("p", "DAY"))
     assert shown(spark, v) == shown(spark, whole)
+
+
+def test_a_reader_keeps_its_snapshot(spark, events, tmp_path):
+    """A frame made before a switch sees the old state, one made after it the new one, whole."""
+    v = view(tmp_path / "v")
+    r.create_rollup(events.where("event_type <> 'view'"), v)
+    before = r.query_rollup(spark, v)
+    n = before.count()
+    r.create_rollup(events, v)
+    assert before.count() == n < r.query_rollup(spark, v).count()
+    assert v.table.numbers(spark) == [1, 2]
+    assert r.read_rollup(spark, v, number=1).count() == n
+    assert v.table.expire(spark) == 1 and v.table.numbers(spark) == [2]
+    assert r.query_rollup(spark, v).count() > n
+    with pytest.raises(ValueError):
+        r.read_rollup(spark, v, number=1)
+
+
+def test_emptied_partitions_go_with_the_switch(spark, events, tmp_path):
+    v = view(tmp_path / "v")
+    start, end = datetime(2024, 1, 9, 12), datetime(2024, 1, 10, 7)
+    gone = F.to_date("ts").between("2024-01-09", "2024-01-10")
+    r.create_rollup(events, v)
+    r.refresh_rollup(events.where(~gone), v, start, end)
+    assert {"2024-01-09", "2024-01-10"}.isdisjoint(v.table.snapshot(spark).parts)
+    whole = view(tmp_path / "whole")
+    r.create_rollup(events.where(~gone), whole)
+    assert shown(spark, v) == shown(spark, whole)
+    r.refresh_rollup(events.limit(0), v, datetime(2023, 1, 1), datetime(2025, 1, 1))
+    assert r.query_rollup(spark, v).count() == 0
+    assert r.query_rollup(spark, v).columns == r.query_rollup(spark, whole).columns
+
+
+def test_two_writers(spark, events, tmp_path):
+    """Writers of different partitions both get through, of the same one the first."""
+    v = view(tmp_path / "v")
+    r.create_rollup(events, v)
+    rows = v.rows(events)
+    first, second, third = (v.table.stage(rows.where(F.col(r.DATE) == d)) for d in ("2024-01-05", "2024-01-06", "2024-01-05"))
+    first.commit(spark, lambda n: n == "2024-01-05")
+    second.commit(spark, lambda n: n == "2024-01-06")
+    with pytest.raises(SnapshotConflict):
+        third.commit(spark, lambda n: n == "2024-01-05")
+    whole = view(tmp_path / "whole")
+    r.create_rollup(events, whole)
+    assert shown(spark, v) == shown(spark, whole)
+    assert v.table.snapshot(spark).number == 3
+    parts = v.table.snapshot(spark).parts
+    assert (parts["2024-01-05"], parts["2024-01-06"]) == (first.version, second.version)
+    with pytest.raises(ValueError):
+        SnapshotTable(str(tmp_path / "n"), r.DATE).read(spark)
+
+
+def test_comparison_takes_one_exchange(spark, events, tmp_path):
+    v = view(tmp_path / "v")
+    r.create_rollup(events.where("event_type <> 'view'"), v)
+    found = r.rollup_vs_raw(events, v, "value", datetime(2024, 1, 5), datetime(2024, 1, 7))
+    assert {x["side"] for x in found.collect()} == {"raw"}
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("HashAggregate") == 2 and "Join" not in text

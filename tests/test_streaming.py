@@ -61,6 +61,7 @@ def test_rows_behind_the_watermark_are_repaired(spark, events, tmp_path):
         "ts < '2024-01-12' AND event_id % 2 = 0", "ts >= '2024-01-20'", "ts < '2024-01-12' AND event_id % 4 = 1",
         "ts < '2024-01-12' AND event_id % 4 = 3", "ts >= '2024-01-12' AND ts < '2024-01-20'",
     )
+    states = []
     for upto in (range(0, 3), range(3, 5)):
         for i in upto:
             deliver(events, tmp_path / "in", parts[i])
@@ -71,6 +72,14 @@ def test_rows_behind_the_watermark_are_repaired(spark, events, tmp_path):
         assert rounded(stored) == batch(there)
         columns = ["ts_bucket", "event_type", "sum_event_id", "cnt_event_id"]
         assert sorted(r.read_rollup(spark, view).select(*columns).collect()) == sorted(view.rows(there).select(*columns).collect())
+        states.append(view.table.snapshot(spark))
+        # What is folded is in the roll-up alone.
+        assert not list((tmp_path / "stream" / "changes").glob("batch_id=*"))
+    # The second run rewrote the dates it touched, and no others.
+    kept = {d for d in states[0].parts if d >= "2024-01-23"}
+    assert kept and all(states[0].parts[d] == states[1].parts[d] for d in kept)
+    assert states[0].parts["2024-01-05"] != states[1].parts["2024-01-05"]
+    assert states[1].marks["late"] > states[0].marks["late"]
     late = spark.read.parquet(f"{tmp_path}/stream/rows").where("is_late = 'true'")
     assert late.count() == events.where("ts < '2024-01-20' AND NOT (ts < '2024-01-12' AND event_id % 2 = 0)").count()
 
@@ -120,3 +129,23 @@ def test_other_formats_stream_too(spark, events, tmp_path, file_format):
     stream = file_stream(spark, str(tmp_path / "in"), events.drop("ts").schema, file_format)
     resumable_load(stream, str(tmp_path / "out"), str(tmp_path / "c"), ["event_type"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_compacted_log_is_the_log(spark, events, tmp_path):
+    """Batches folded after each file, one of them replayed later: the same roll-up, and a short log."""
+    parts = ["ts < '2024-01-12' AND event_id % 2 = 0", "ts < '2024-01-12' AND event_id % 2 = 1", "ts >= '2024-01-12'"]
+    path = f"{tmp_path}/ch"
+    for n, part in enumerate(parts):
+        deliver(events, tmp_path / "in", part)
+        stream = file_stream(spark, str(tmp_path / "in"), events.schema, max_files=1)
+        rs.write_changes(rs.stateful_rollup(stream, VIEW), path, f"{tmp_path}/c").awaitTermination()
+        before = rounded(rs.averages(rs.latest_rollup(spark, path, VIEW), VIEW))
+        if n < 2:
+            newest = max((tmp_path / "ch").glob("batch_id=*"), key=lambda p: int(p.name[9:]))
+            last = spark.read.parquet(str(newest)).collect()
+            assert rs.compact_changes(spark, path, VIEW) >= 1
+            assert not list((tmp_path / "ch").glob("batch_id=*"))
+            if last:
+                spark.createDataFrame(last).write.parquet(str(newest))
+        assert rounded(rs.averages(rs.latest_rollup(spark, path, VIEW), VIEW)) == before
+    assert before == batch(events)

@@ -2,14 +2,16 @@
 
 A roll-up keeps sum, count, min and max per metric, because averages cannot be merged. It
 is partitioned by the date of the bucket (by its month or year when buckets are a day or
-longer), so a refresh replaces whole partitions and leaves the others alone.
+longer), so a refresh replaces whole partitions and leaves the others alone. Every write is a
+snapshot (``sinks/snapshots.py``): readers see it whole or not at all, and partitions that
+have no rows any more go with the same switch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from tidegauge.functions.scalar import ratio
 from tidegauge.operators.prepare import literal_time, naive_utc, partition_value, time_filter
 from tidegauge.operators.queries import average, partials, within
 from tidegauge.schema import SeriesSchema
+from tidegauge.sinks.snapshots import Snapshot, SnapshotTable
 
 BUCKET, DATE = "ts_bucket", "bucket_date"
 
@@ -57,6 +60,10 @@ class Rollup:
     def of(cls, schema: SeriesSchema, path: str, granularity: str | timedelta = "1 hour") -> Rollup:
         return cls(path, schema.time, schema.tags, schema.metrics, granularity)
 
+    @property
+    def table(self) -> SnapshotTable:
+        return SnapshotTable(self.path, DATE)
+
     @property
     def unit(self) -> str:
         """What a partition covers: enough buckets that its files are worth opening."""
@@ -77,7 +84,12 @@ class Rollup:
 
 def create_rollup(df: DataFrame, rollup: Rollup) -> None:
     """Build the roll-up from the whole series, replacing what is there."""
-    _write(rollup.rows(df), rollup, "static")
+    store_partitions(rollup.rows(df), rollup)
+
+
+def store_partitions(rows: DataFrame, rollup: Rollup, replaced: Callable[[str], bool] | None = None) -> Snapshot:
+    """Store rows of the roll-up's shape as its partitions named ``replaced`` (all, by default)."""
+    return rollup.table.stage(rows, [BUCKET]).commit(rows.sparkSession, replaced)
 
 
 def refresh_rollup(
@@ -97,24 +109,14 @@ def refresh_rollup(
         create_rollup(df, rollup)
         return None
     span = affected(rollup, naive_utc(start), naive_utc(end))
+    # The dates of the partitions that the first and the last bucket of the span start in.
+    ends = span[0], span[1] - width_of(rollup.granularity)
+    first, last = (partition_start(m, rollup.unit).date() for m in ends)
     rows = rollup.rows(time_filter(df, rollup.time, *span, partition))
-    _write(rows, rollup, "dynamic")
-    _drop_emptied(rows, rollup, span)
+    store_partitions(rows, rollup, lambda name: first <= date.fromisoformat(name) <= last)
     return span
 
 
-def _drop_emptied(rows: DataFrame, rollup: Rollup, span: tuple[datetime, datetime]) -> None:
-    """Remove the partitions in ``span`` that have no rows any more; a date for each partition of the span."""
-    spark = rows.sparkSession
-    # The first and the last bucket that start in the partitions replaced.
-    ends = span[0], span[1] - width_of(rollup.granularity)
-    dates = [F.lit(partition_start(m, rollup.unit).date()) for m in ends]
-    stored = read_rollup(spark, rollup).where(F.col(DATE).between(*dates)).select(DATE).distinct()
-    for row in stored.join(rows.select(DATE).distinct(), DATE, "left_anti").collect():
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{rollup.path}/{DATE}={row[0]}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def affected(rollup: Rollup, start: datetime, end: datetime) -> tuple[datetime, datetime]:
     """The raw rows behind every bucket that starts in a partition the window touches."""
     low, high = align_out(start, end, rollup.granularity, rollup.origin)
@@ -138,19 +140,11 @@ def partition_after(moment: datetime, unit: str) -> datetime:
     return partition_start(partition_start(moment, unit) + timedelta(days=longest), unit)
 
 
-def _write(rows: DataFrame, rollup: Rollup, overwrite: str) -> None:
-    (
-        rows.hint("rebalance", DATE)
-        .sortWithinPartitions(DATE, BUCKET)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", overwrite)
-        .partitionBy(DATE)
-        .parquet(rollup.path)
-    )
-
-
-def read_rollup(spark: SparkSession, rollup: Rollup) -> DataFrame:
-    return spark.read.parquet(rollup.path)
+def read_rollup(
+    spark: SparkSession, rollup: Rollup, number: int | None = None, wanted: Callable[[str], bool] | None = None
+) -> DataFrame:
+    """The newest state, or that of snapshot ``number``; of the partitions ``wanted``, if given."""
+    return rollup.table.read(spark, number, wanted)
 
 
 def query_rollup(
@@ -164,21 +158,29 @@ def query_rollup(
 
     The bounds go on the partition as well, so other partitions' files are never opened.
     """
-    stored = read_rollup(spark, rollup)
-    if start is not None and end is not None:
+    if start is None or end is None:
+        stored = read_rollup(spark, rollup)
+    else:
         start, end = naive_utc(start), naive_utc(end)
+        first, last = partition_start(start, rollup.unit).date(), end.date()
+        stored = read_rollup(spark, rollup, wanted=lambda name: first <= date.fromisoformat(name) <= last)
         low, high = literal_time(stored, BUCKET, start), literal_time(stored, BUCKET, end)
         stored = stored.where(
             (F.col(BUCKET) >= low)
             & (F.col(BUCKET) < high)
-            & (F.col(DATE) >= F.lit(partition_start(start, rollup.unit).date()))
-            & (F.col(DATE) <= F.lit(end.date()))
+            & (F.col(DATE) >= F.lit(first))
+            & (F.col(DATE) <= F.lit(last))
         )
+    return averages(stored, rollup, metrics).orderBy(BUCKET, *rollup.tags)
+
+
+def averages(rows: DataFrame, rollup: Rollup, metrics: Sequence[str] | None = None) -> DataFrame:
+    """avg, min and max from stored partial results."""
     wanted = rollup.metrics if metrics is None else metrics
     values = [
         c for m in wanted for c in (average(m).alias(f"avg_{m}"), F.col(f"min_{m}"), F.col(f"max_{m}"))
     ]
-    return stored.select(BUCKET, *rollup.tags, *values).orderBy(BUCKET, *rollup.tags)
+    return rows.select(BUCKET, *rollup.tags, *values)
 
 
 def rollup_vs_raw(
@@ -190,15 +192,28 @@ def rollup_vs_raw(
     """
     low, high = align_out(start, end, rollup.granularity, rollup.origin)
     name = f"avg_{metric}"
-    columns = [BUCKET, *rollup.tags, F.round(name, digits).alias(name)]
-    raw = bucket_tag_agg(
-        df, rollup.time, rollup.tags, metric, rollup.granularity, low, high, rollup.origin
-    ).select(*columns)
-    stored = query_rollup(df.sparkSession, rollup, low, high, [metric]).select(*columns)
-    only_raw = raw.exceptAll(stored).select(F.lit("raw").alias("side"), "*")
-    return only_raw.unionByName(stored.exceptAll(raw).select(F.lit("rollup").alias("side"), "*"))
-
-
+    keys = [BUCKET, *rollup.tags]
+    stored = query_rollup(df.sparkSession, rollup, low, high, [metric]).select(*keys, F.col(name).alias("_stored"))
+    raw = within(df, rollup.time, low, high).select(
+        bucket(rollup.time, rollup.granularity, rollup.origin).alias(BUCKET), *rollup.tags, F.col(metric).alias("_raw")
+    )
+    # Raw rows and the roll-up's meet in one aggregate, which combines before its exchange.
+    both = (
+        raw.withColumn("_is_raw", F.lit(True))
+        .unionByName(stored.withColumn("_is_raw", F.lit(False)), allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(
+            F.avg("_raw").alias("_raw"), F.max("_stored").alias("_stored"),
+            F.max("_is_raw").alias("_in_raw"), F.max(~F.col("_is_raw")).alias("_in_stored"),
+        )
+    )
+    types = {f.name: f.dataType for f in both.schema}
+    value = lambda c: F.round(F.col(c) if types["_raw"] == types["_stored"] else F.col(c).cast("double"), digits)
+    side = lambda label, c, here: F.when(here, F.struct(F.lit(label).alias("side"), value(c).alias(name)))
+    sides = F.array(side("raw", "_raw", F.col("_in_raw")), side("rollup", "_stored", F.col("_in_stored")))
+    same = F.col("_in_raw") & F.col("_in_stored") & value("_raw").eqNullSafe(value("_stored"))
+    apart = both.where(~same).select(*keys, F.explode(F.array_compact(sides)).alias("_one"))
+    return apart.select("_one.side", *keys, F.col("_one")[name].alias(name))
 
 
 def speedup(log: DataFrame, raw: str, rollup: str, keys: Sequence[str] = ("database_name",)) -> DataFrame:

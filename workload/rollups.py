@@ -94,6 +94,25 @@ def _(t):
     return tidy(r.query_rollup(t.spark, view))
 
 
+@query("rollup_refresh_deleted", _rollup_sql(rows=f"(SELECT * FROM events WHERE NOT (ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'))"))
+def _(t):
+    """Every row of the window was deleted: its partitions go, and the rest of theirs stays."""
+    view = events_rollup(t)
+    r.create_rollup(t.events, view)
+    left = t.events.where(f"NOT (ts >= TIMESTAMP_NTZ '{START}' AND ts < TIMESTAMP_NTZ '{END}')")
+    r.refresh_rollup(left, view, LOW, HIGH)
+    return tidy(r.query_rollup(t.spark, view))
+
+
+@query("rollup_snapshot", _rollup_sql(rows="(SELECT * FROM events WHERE event_type <> 'purchase')"))
+def _(t):
+    """The state before a refresh, read after it."""
+    view = events_rollup(t)
+    r.create_rollup(t.events.where("event_type <> 'purchase'"), view)
+    r.refresh_rollup(t.events, view)
+    return tidy(r.averages(r.read_rollup(t.spark, view, number=1), view))
+
+
 @query(
     "rollup_vs_raw",
     f"""WITH x AS ({_rollup_sql()}) SELECT 'raw' AS side, ts_bucket, event_type, avg_value FROM x
