@@ -98,7 +98,7 @@ def brute(df, time, windows):
     return sorted(found)
 
 
-def test_sweep_equals_brute_force(spark, monkeypatch):
+def test_sweep_equals_brute_force(spark):
     """Windows of very different lengths, empty ones, and ones that overlap or repeat."""
     df = spark.range(500).select("id", F.expr("CAST(timestamp_millis(id * id * 40) AS timestamp_ntz)").alias("ts"))
     base = datetime(1970, 1, 1)
@@ -107,8 +107,29 @@ def test_sweep_equals_brute_force(spark, monkeypatch):
     frame = s.windows_frame(spark, [w[1:] for w in windows])
     want = brute(df, "ts", windows)
     assert sorted(rows(s.sweep_range(df, "ts", frame, ["id"]).select("window_id", "id"))) == want
-    monkeypatch.setattr(s, "FEW_WINDOWS", 3)
-    assert sorted(rows(s.sweep_range(df, "ts", frame, ["id"]).select("window_id", "id"))) == want
+    for limit in (1, 7, 10_000):
+        cut = [w for i, w in enumerate(want) if sum(v[0] == w[0] for v in want[:i]) < limit]
+        assert sorted(rows(s.sweep_range(df, "ts", frame, ["id"], limit).select("window_id", "id"))) == cut
+
+
+def test_limits_with_ties(spark):
+    """Repeated rows, null keys and one moment for a third of all rows: exactly the limit, by time and key."""
+    base = datetime(2024, 1, 1)
+    data = [(base + timedelta(seconds=i // 7), None if i % 5 == 0 else i % 3) for i in range(300)] + [(base + timedelta(seconds=20), i % 4) for i in range(150)]
+    df = spark.createDataFrame(data, "ts timestamp_ntz, k int").repartition(5)
+    windows = [(base + timedelta(seconds=a), base + timedelta(seconds=b)) for a, b in ((0, 60), (20, 21), (19, 30), (50, 50), (90, 99))]
+    order = lambda r: (r[0], r[1] is not None, r[1] or 0)
+    for limit in (1, 5, 160, 1000):
+        want = []
+        for i, (low, high) in enumerate(windows):
+            want += [(i, *r) for r in sorted((r for r in data if low <= r[0] < high), key=order)[:limit]]
+        got = rows(s.sweep_range(df, "ts", s.windows_frame(spark, windows), ["k"], limit).select("window_id", "ts", "k"))
+        assert sorted(got, key=lambda r: (r[0], order(r[1:]))) == want
+        extents = s.window_sweep(df, "ts", {"w": s.windows_frame(spark, windows)}, ["k"], [limit]).collect()
+        found = {i: [r for r in want if r[0] == i] for i, *_ in want}
+        assert {(r["window_id"], r["n_rows"], r["first_ts"], r["last_ts"]) for r in extents} == {
+            (i, len(own), own[0][1], own[-1][1]) for i, own in found.items()
+        }
 
 
 def test_sweep_before_1970_and_exact_powers(spark):
@@ -204,11 +225,8 @@ def test_shuffle_keeps_the_times_of_a_batch(events):
     assert again.exceptAll(mixed).count() == 0
 
 
-@pytest.mark.parametrize("limit", [None, "FEW_WINDOWS", "SEGMENT_PAIRS_MAX"])
-def test_bucket_sweep_by_segments_and_by_rows(spark, events, monkeypatch, limit):
+def test_bucket_sweep(spark, events):
     """Overlapping, nested, repeated, touching, empty and outlying windows."""
-    if limit is not None:
-        monkeypatch.setattr(s, limit, 0)
     day = lambda d, h=0: datetime(2024, 1, d, h)
     windows = [
         (day(3), day(9)), (day(4), day(5, 7)), (day(4), day(5, 7)), (day(9), day(10)), (day(20), day(20)),
@@ -223,7 +241,7 @@ def test_bucket_sweep_by_segments_and_by_rows(spark, events, monkeypatch, limit)
 
 
 @pytest.mark.parametrize("kind", ["bigint", "decimal(12,3)"])
-def test_bucket_sweep_is_the_same_on_both_sides_of_the_limits(spark, events, monkeypatch, kind):
+def test_bucket_sweep_keeps_types(spark, events, kind):
     """Sums beyond a bigint, decimals, and window ids that are text."""
     value = F.expr("9000000000000000000 - event_id") if kind == "bigint" else F.expr("event_id / 7")
     series = events.select("ts", value.cast(kind).alias("value"))
@@ -236,13 +254,36 @@ def test_bucket_sweep_is_the_same_on_both_sides_of_the_limits(spark, events, mon
                 at = r["ts"].replace(hour=r["ts"].hour // 6 * 6, minute=0, second=0, microsecond=0)
                 want.setdefault((name, at), []).append(r["value"])
     want = sorted((*k, float(sum(v)) / len(v), min(v), max(v)) for k, v in want.items())
-    for limit in (None, "FEW_WINDOWS", "SEGMENT_PAIRS_MAX"):
-        with monkeypatch.context() as m:
-            if limit is not None:
-                m.setattr(s, limit, 0)
-            got = s.sweep_bucket(series, "ts", named, "value", "6 hours")
-            assert [k for _, k in got.dtypes] == ["string", "timestamp_ntz", "double", kind, kind]
-            assert sorted(map(tuple, got.collect())) == want
+    got = s.sweep_bucket(series, "ts", named, "value", "6 hours")
+    assert [k for _, k in got.dtypes] == ["string", "timestamp_ntz", "double", kind, kind]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("granularity", ["1 hour", "1 second"])
+def test_bucket_sweep_of_many_windows(spark, granularity):
+    """More windows than buckets, before and after 1970, ends on and off grains of every size."""
+    import random
+
+    draw, tick = random.Random(5), timedelta(microseconds=1)
+    base = datetime(1969, 12, 31, 20)
+    data = [(base + draw.randrange(8 * 3600 * 10**6) * tick, float(i)) for i in range(400)]
+    data += [(base + k * timedelta(hours=1) / 8, float(k)) for k in range(60)]
+    df = spark.createDataFrame(data, "ts timestamp_ntz, value double")
+    windows = []
+    for _ in range(500):
+        start = base + draw.choice([draw.randrange(8 * 3600 * 10**6) * tick, draw.randrange(64) * timedelta(hours=1) / 8])
+        windows.append((start, start + draw.choice([3 * tick, timedelta(minutes=7.5), timedelta(hours=2.3), timedelta(minutes=1)])))
+    width = {"1 hour": timedelta(hours=1), "1 second": timedelta(seconds=1)}[granularity]
+    want = {}
+    for i, (low, high) in enumerate(windows):
+        for ts, value in data:
+            if low <= ts < high:
+                want.setdefault((i, ts - (ts - datetime(1970, 1, 1)) % width), []).append(value)
+    got = s.sweep_bucket(df, "ts", s.windows_frame(spark, windows), "value", granularity).collect()
+    assert {(r[0], r[1]): (round(r[2], 9), r[3], r[4]) for r in got} == {
+        k: (round(sum(v) / len(v), 9), min(v), max(v)) for k, v in want.items()
+    }
+    assert len(got) == len(want)
 
 
 @pytest.mark.parametrize("zone", ["timestamp", "timestamp_ntz"])

@@ -2,7 +2,8 @@
 
 Windows are matched through a shared bucket: every window lists the buckets it touches,
 every row knows its bucket, and the exact bounds are checked on the matches. That is an
-equi-join, where a plain range condition would be a nested loop.
+equi-join, where a plain range condition would be a nested loop. Bucket sweeps aggregate rows
+before they meet a window.
 """
 
 from __future__ import annotations
@@ -15,52 +16,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidegauge.functions.buckets import EPOCH, bucket
+from tidegauge.functions.buckets import EPOCH, bucket, width_of
 from tidegauge.functions.scalar import floor_div, micros
+from tidegauge.operators.keys import keyed_join
+from tidegauge.operators.ordering import running_sum
 from tidegauge.operators.prepare import literal_time, naive_utc
 from tidegauge.operators.queries import average, merged, partials
 from tidegauge.session import materialize
 
-# Up to here windows are sent along with the plan, and bucket sweeps put them together from
-# the segments between their ends.
-FEW_WINDOWS = 1000
-SEGMENT_PAIRS_MAX = 200_000
+# Times that a bucket may be halved for many windows.
+HALVINGS_MAX = 12
+
 
 def windows_frame(spark: SparkSession, windows: Sequence[tuple[datetime, datetime]]) -> DataFrame:
     """``(window_id, start, end)`` rows of zone-less UTC moments."""
     columns = [list(range(len(windows))), [w[0] for w in windows], [w[1] for w in windows]]
-    return _local_frame(spark, columns, "window_id bigint, start timestamp_ntz, end timestamp_ntz")
-
+    names = ["window_id", "start", "end"]
+    arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.timestamp("us"), pa.timestamp("us")))]
+    return spark.createDataFrame(pa.table(arrays, names=names), "window_id bigint, start timestamp_ntz, end timestamp_ntz")
 
-def _local_frame(spark: SparkSession, columns: Sequence[list], schema: str) -> DataFrame:
-    """A frame whose small size the planner knows."""
-    fields = T.StructType.fromDDL(schema)
-    kinds = {"bigint": pa.int64(), "timestamp_ntz": pa.timestamp("us")}
-    arrays = [pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(columns, fields)]
-    return spark.createDataFrame(pa.table(arrays, names=fields.names), fields)
 
-
-def _few(windows: DataFrame) -> tuple[DataFrame, pa.Table | None]:
-    """The windows as a frame of known size: a local one, also returned as a table, while
-    there are at most FEW_WINDOWS; a stored one beyond."""
-    listed = windows.where(F.col("end") > F.col("start")).select("window_id", "start", "end")
-    table = listed.limit(FEW_WINDOWS + 1).toArrow()
-    if table.num_rows > FEW_WINDOWS:
-        return materialize(listed, "windows"), None
-    return windows.sparkSession.createDataFrame(table, listed.schema), table
+def _listed(windows: DataFrame) -> DataFrame:
+    """The windows that hold a moment, with their bounds in microseconds; stored, so the planner knows their size."""
+    own = windows.where(F.col("end") > F.col("start")).select("window_id", "start", "end")
+    return materialize(own.withColumns({"_from": micros(F.col("start")), "_to": micros(F.col("end"))}), "windows")
 
 
 def _length_class(windows: DataFrame) -> DataFrame:
     """Windows with their bounds in microseconds and ``_class``, the power of two that
     their length rounds up to."""
-    return (
-        _few(windows)[0]
-        .withColumn("_from", micros(F.col("start")))
-        .withColumn("_to", micros(F.col("end")))
-        .withColumn("_class", F.length(F.bin(F.col("_to") - F.col("_from"))))
-    )
+    return _listed(windows).withColumn("_class", F.length(F.bin(F.col("_to") - F.col("_from"))))
 
 
 def match_windows(df: DataFrame, time: str, windows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,18 +106,63 @@ def sweep(
     return matched.groupBy("window_id", *[c.alias(n) for n, c in keys.items()]).agg(*aggregates)
 
 
+def _ranked(df: DataFrame, time: str, listed: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The sweep line: rows and window ends in one order across the cluster.
+
+    Gives the rows of the windows' span with ``_rank``, their number by (time, key), and
+    ``listed`` with ``_before`` and ``_upto``, the ranks reached at the start and the end of
+    each window. A window's rows are those with the ranks between, so neither counting nor
+    limiting them brings them together.
+    """
+    kind = df.schema[time].dataType
+    ends = listed.select(F.explode(F.array("start", "end")).alias("_moment")).distinct()
+    span = listed.agg(F.min("start").cast(kind).alias("low"), F.max("end").cast(kind).alias("high")).first()
+    needed = list(dict.fromkeys([time, *key]))
+    own = df.select(*needed, F.lit(1).alias("_row")).where((F.col(time) >= F.lit(span["low"])) & (F.col(time) < F.lit(span["high"])))
+    # At one moment ends come first: a window starts before the rows of its start and ends before those of its end.
+    marks = ends.select(F.col("_moment").cast(kind).alias(time), F.lit(0).alias("_row"))
+    summed = running_sum(own.unionByName(marks, allowMissingColumns=True), [], [time, "_row", *key], {"_row": "_rank"})
+    placed = materialize(summed, "ranked")
+    reached = placed.where("_row = 0").select(F.col(time).cast(listed.schema["start"].dataType).alias("_moment"), "_rank")
+    at = lambda name, rank: reached.select(F.col("_moment").alias(name), F.col("_rank").alias(rank))
+    return placed.where("_row = 1").drop("_row"), listed.join(at("start", "_before"), "start").join(at("end", "_upto"), "end")
+
+
 def sweep_range(
     df: DataFrame, time: str, windows: DataFrame, key: Sequence[str], limit: int = 0
 ) -> DataFrame:
-    """The rows of every window; with ``limit`` the first ones of each by (time, key)."""
-    matched = match_windows(df, time, windows, df.columns)
+    """The rows of every window; with ``limit`` the first ones of each by (time, key).
+
+    A limited window ends at the row whose rank is its first one's plus the limit: rows are
+    compared with that row, whatever the limit, and no task sorts a window.
+    """
     if limit <= 0:
-        return matched
-    order = W.partitionBy("window_id").orderBy(time, *key)
-    # The rank filter is applied map-side first, so a task sends at most ``limit`` rows a window.
-    return (
-        matched.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
-    )
+        return match_windows(df, time, windows, df.columns)
+    listed = _listed(windows)
+    ranked, placed = _ranked(df, time, listed, key)
+    order = list(dict.fromkeys([time, *key]))
+    last = F.least("_upto", F.col("_before") + limit)
+    wanted = placed.where("_upto > _before").select("window_id", "start", "end", last.alias("_rank"))
+    stops = wanted.join(ranked, "_rank").select("window_id", "start", "end", "_rank", F.struct(*order).alias("_stop"))
+    # Rows may be equal in time and key: of those at the stop only as many as the limit leaves.
+    ties = ranked.groupBy(F.struct(*order).alias("_stop")).agg(F.min("_rank").alias("_least"))
+    stops = materialize(keyed_join(stops, ties, ["_stop"]).withColumn("_left", F.expr("_rank - _least + 1")), "stops")
+    limits = stops.select(F.col("window_id").alias("_id"), "_stop", "_left")
+    after = stops.select("window_id", "start", F.least(F.col("end"), _next(F.col("_stop")[time], stops)).alias("end"))
+    matched = match_windows(df, time, after, df.columns)
+    place = F.struct(*[F.col(c) for c in order])
+    held = matched.join(limits, matched["window_id"] == limits["_id"]).where(place <= F.col("_stop"))
+    at_stop = held.where(place == F.col("_stop"))
+    rank = F.row_number().over(W.partitionBy("window_id").orderBy(F.lit(1)))
+    kept = at_stop.withColumn("_n", rank).where("_n <= _left")
+    names = ["window_id", *df.columns]
+    return held.where(place < F.col("_stop")).select(*names).unionByName(kept.select(*names))
+
+
+def _next(moment: Column, windows: DataFrame) -> Column:
+    """The end of a window that holds ``moment`` as its last."""
+    kind = windows.schema["end"].dataType
+    return (moment.cast("timestamp") + F.expr("interval 1 microsecond")).cast(kind)
 
 
 def sweep_bucket(
@@ -139,69 +170,78 @@ def sweep_bucket(
 ) -> DataFrame:
     """avg, min and max per bucket of every window.
 
-    Overlapping windows share rows. While the windows are few, the time line is cut at
-    all their ends, each row is aggregated once in the segment it lies in, and windows are
-    put together from segments. Many windows are matched row by row. Both ways average the
-    same partial results.
+    The series is aggregated once per grain, a bucket or a part of one that comes from halving
+    it: the more windows there are for a bucket, the finer. Grains are merged upwards to
+    halves, quarters and so on of each bucket. A window then is its whole buckets, in the
+    buckets of its ends at most two parts of each size, and at its ends the rows of less than
+    a grain, which alone are compared with it. Every step is an equi-join, and all windows go
+    the same way, few or many.
     """
-    windows, table = _few(windows)
-    found = None if table is None else _in_segments(df, time, table, windows.schema["window_id"], [metric])
-    if found is None:
-        columns = [time, metric]
-        held = sweep(df, time, windows, {"bucket": bucket(time, granularity)}, partials([metric], df), columns)
-    else:
-        rows, cover = found
-        partial = rows.groupBy("_segment", bucket(time, granularity).alias("bucket")).agg(*partials([metric], df))
-        held = partial.join(cover, "_segment").groupBy("window_id", "bucket").agg(*merged([metric]))
-    return held.select("window_id", "bucket", average(metric).alias(f"avg_{metric}"), f"min_{metric}", f"max_{metric}")
-
-
-def _in_segments(
-    df: DataFrame, time: str, windows: pa.Table, window_id: T.StructField, columns: Sequence[str]
-) -> tuple[DataFrame, DataFrame] | None:
-    """Every row that lies in some window, with the ``_segment`` it lies in, and the
-    segments of every window; None when the windows overlap too much to list these.
-
-    Segments are the stretches between neighbouring window ends. The whole span is cut
-    into as many cells as there are ends, so that a cell holds about two segments and the
-    match is an equi-join on the cell.
-    """
-    spark, kind = df.sparkSession, df.schema[time].dataType
-    listed = [(i, naive_utc(w["start"]), naive_utc(w["end"])) for i, w in enumerate(windows.to_pylist())]
-    edges = sorted({t for _, start, end in listed for t in (start, end)})
-    place = {t: i for i, t in enumerate(edges)}
-    if sum(place[end] - place[start] for _, start, end in listed) > SEGMENT_PAIRS_MAX:
-        return None
-    pairs = [(w, i) for w, start, end in listed for i in range(place[start], place[end])]
-    ids = windows["window_id"].take(pa.array([w for w, _ in pairs], pa.int64()))
-    segment = T.StructField("_segment", T.LongType())
-    cover = spark.createDataFrame(
-        pa.table([ids, pa.array([i for _, i in pairs], pa.int64())], names=["window_id", "_segment"]),
-        T.StructType([window_id, segment]),
+    listed = _listed(windows)
+    facts = listed.agg(
+        F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"),
+        F.min("_from").alias("low"), F.max("_to").alias("high"),
+    ).first()
+    width = width_of(granularity) // timedelta(microseconds=1)
+    ends = 2 * facts["n"] * width // max(1, (facts["high"] or 0) - (facts["low"] or 0))
+    halvings = min(ends.bit_length(), (width & -width).bit_length() - 1, HALVINGS_MAX)
+    grain = width >> halvings
+    span = [literal_time(df, time, naive_utc(facts[c] or EPOCH)) for c in ("first", "last")]
+    rows = df.select(time, metric).where((F.col(time) >= span[0]) & (F.col(time) < span[1])).select(
+        micros(F.col(time)).alias("_at"), metric
+    )
+    fine = rows.groupBy(floor_div(F.col("_at"), grain).alias("_grain")).agg(*partials([metric], df))
+    names = [c for c in fine.columns if c != "_grain"]
+    sizes = [F.struct(F.lit(k).alias("_level"), F.shiftright("_grain", k).alias("_part")) for k in range(halvings + 1)]
+    parts = fine.select(F.explode(F.array(*sizes)).alias("_p"), *names).groupBy("_p._level", "_p._part").agg(*merged([metric]))
+    whole = _window_parts(listed, grain, halvings).join(parts, ["_level", "_part"]).select(
+        "window_id", F.expr(f"shiftright(_part, {halvings} - _level)").alias("_number"), *names
+    )
+    pieces = _window_ends(listed, grain)
+    at = floor_div(F.col("_at"), grain).alias("_grain")
+    inside = (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
+    cut = (
+        rows.select("_at", metric, at).join(pieces, "_grain").where(inside)
+        .groupBy("window_id", F.shiftright("_grain", halvings).alias("_number")).agg(*partials([metric], df))
+    )
+    held = whole.unionByName(cut).groupBy("window_id", "_number").agg(*merged([metric]))
+    kind = df.select(bucket(time, granularity).alias("bucket")).schema["bucket"].dataType
+    start = F.timestamp_micros(F.col("_number") * F.lit(width)).cast(kind).alias("bucket")
+    return held.select("window_id", start, average(metric).alias(f"avg_{metric}"), f"min_{metric}", f"max_{metric}")
+
+
+def _window_parts(listed: DataFrame, grain: int, halvings: int) -> DataFrame:
+    """The whole grains of every window as few parts of ``2 ** _level`` grains; none crosses a bucket."""
+    first, after = -floor_div(-F.col("_from"), grain), floor_div(F.col("_to"), grain)
+    own = listed.select("window_id", first.alias("_first"), after.alias("_after"))
+    part = lambda level, number: F.struct(F.lit(level).alias("_level"), number.alias("_part"))
+    ranges = lambda k: (F.shiftright(F.col("_first") + F.lit((1 << k) - 1), k), F.shiftright("_after", k))
+    odd = []
+    for k in range(halvings):
+        low, high = ranges(k)
+        one = low.bitwiseAND(F.lit(1))
+        odd.append(F.when((low < high) & (one == 1), part(k, low)))
+        odd.append(F.when((low + one < high) & (high.bitwiseAND(F.lit(1)) == 1), part(k, high - 1)))
+    low, high = ranges(halvings)
+    buckets = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda x: part(halvings, x)))
+    found = F.coalesce(buckets, F.expr("cast(array() AS array<struct<_level:int,_part:bigint>>)"))
+    if odd:
+        found = F.concat(F.array_compact(F.array(*odd)), found)
+    return own.select("window_id", F.explode(found).alias("_p")).select("window_id", "_p.*")
+
+
+def _window_ends(listed: DataFrame, grain: int) -> DataFrame:
+    """What whole grains leave of every window: pieces ``_low`` to ``_high`` of a ``_grain``."""
+    low, high = F.col("_from"), F.col("_to")
+    first, after = -floor_div(-low, grain), floor_div(high, grain)
+    piece = lambda number, a, b: F.struct(number.alias("_grain"), a.alias("_low"), b.alias("_high"))
+    within_one = first > after
+    pieces = F.array(
+        F.when(within_one, piece(after, low, high)),
+        F.when(~within_one & (low < first * grain), piece(first - 1, low, first * grain)),
+        F.when(~within_one & (after * grain < high), piece(after, after * grain, high)),
     )
-    if not edges:
-        return df.select(F.lit(0).cast("bigint").alias("_segment"), time, *columns).limit(0), cover
-    low, tick = edges[0], timedelta(microseconds=1)
-    width = max(1, -(-((edges[-1] - low) // tick) // len(edges)))
-    cells = [
-        (i, edges[i], edges[i + 1], cell)
-        for i in sorted({i for _, i in pairs})
-        for cell in range((edges[i] - low) // tick // width, (edges[i + 1] - low - tick) // tick // width + 1)
-    ]
-    segments = _local_frame(
-        spark, [list(c) for c in zip(*cells)], "_segment bigint, _start timestamp_ntz, _end timestamp_ntz, _cell bigint"
-    )
-    segments = segments.withColumns({c: F.col(c).cast(kind) for c in ("_start", "_end")})
-    at = micros(F.col(time)) - F.lit((low - EPOCH) // tick)
-    rows = (
-        df.select(time, *columns)
-        .where((F.col(time) >= literal_time(df, time, low)) & (F.col(time) < literal_time(df, time, edges[-1])))
-        .withColumn("_cell", floor_div(at, width))
-    )
-    inside = (
-        (rows["_cell"] == segments["_cell"]) & (rows[time] >= segments["_start"]) & (rows[time] < segments["_end"])
-    )
-    return rows.join(segments, inside).select("_segment", time, *columns), cover
+    return listed.select("window_id", F.explode(F.array_compact(pieces)).alias("_e")).select("window_id", "_e.*")
 
 
 def sweep_tag(df: DataFrame, time: str, windows: DataFrame, tag: str, metric: str) -> DataFrame:
@@ -236,7 +276,7 @@ def query_pool(
     As in ``window_sweep`` each answer is one job; the smallest limit applies to the rows.
     """
     limit = min(limits) if limits else 0
-    windows = _few(windows)[0]
+    windows = _listed(windows).select("window_id", "start", "end")
     return {
         "time_range": sweep_range(df, time, windows, key, limit),
         "aggregation": sweep_bucket(df, time, windows, metric),
@@ -254,8 +294,8 @@ def window_sweep(
     """Row counts and time bounds of the scan for every window x size x limit.
 
     The result names each combination the way a sweep over sizes and limits does, e.g.
-    ``time_range_1h_limit_100``. Windows of all sizes are matched together, and one rank
-    serves all limits.
+    ``time_range_1h_limit_100``. Rows and window ends are ranked in one order, so all of a
+    window's answers are looked up by ranks, whatever the limits, and no row meets a window.
     """
     windows = reduce(
         DataFrame.unionByName,
@@ -264,40 +304,26 @@ def window_sweep(
             for size, w in sized_windows.items()
         ],
     )
-    needed = list(dict.fromkeys([time, *key]))
-    ranked, parts = [n for n in limits if n > 0], []
-    if 0 in limits:
-        parts.append(_extents(match_windows(df, time, windows, needed), time, {0: F.lit(True)}))
-    if ranked:
-        order = W.partitionBy("window_id").orderBy(time, *key)
-        first = match_windows(df, time, windows, needed).withColumn("_rank", F.row_number().over(order))
-        first = first.where(F.col("_rank") <= max(ranked))
-        parts.append(_extents(first, time, {n: F.col("_rank") <= n for n in ranked}))
+    ranked, placed = _ranked(df, time, _listed(windows), key)
+    places = placed.where("_upto > _before").withColumn("_limit", F.explode(F.array(*[F.lit(n) for n in dict.fromkeys(limits)])))
+    ends = materialize(
+        places.select(
+            "window_id", "_limit", (F.col("_before") + 1).alias("_first"),
+            F.when(F.col("_limit") > 0, F.least("_upto", F.col("_before") + F.col("_limit"))).otherwise(F.col("_upto")).alias("_last"),
+        ),
+        "places",
+    )
+    at = lambda rank, name: ranked.select(F.col("_rank").alias(rank), F.col(time).alias(name))
+    found = ends.join(at("_first", "first_ts"), "_first").join(at("_last", "last_ts"), "_last")
     name = [F.lit("time_range")]
     if len(sized_windows) > 1:
         name.append(F.col("window_id.size"))
     if len(limits) > 1:
         name.append(F.when(F.col("_limit") > 0, F.concat(F.lit("limit_"), F.col("_limit"))))
-    return reduce(DataFrame.unionByName, parts).select(
+    return found.select(
         F.concat_ws("_", *name).alias("operation"),
         F.col("window_id.window_id").alias("window_id"),
-        "n_rows",
+        (F.col("_last") - F.col("_first") + 1).alias("n_rows"),
         "first_ts",
         "last_ts",
     )
-
-
-def _extents(matched: DataFrame, time: str, limits: dict[int, Column]) -> DataFrame:
-    """Rows, first and last time of every window, once per limit."""
-    wide = matched.groupBy("window_id").agg(
-        *[
-            F.struct(
-                F.lit(n).alias("_limit"),
-                F.count(F.when(inside, 1)).alias("n_rows"),
-                F.min(F.when(inside, F.col(time))).alias("first_ts"),
-                F.max(F.when(inside, F.col(time))).alias("last_ts"),
-            ).alias(f"_{n}")
-            for n, inside in limits.items()
-        ]
-    )
-    return wide.select("window_id", F.inline(F.array(*[f"_{n}" for n in limits])))

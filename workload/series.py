@@ -390,6 +390,48 @@ def _(t):
     return s.window_sweep(rows, "ts", {"1h": short, "30h": long}, ["event_id"], [5, 100])
 
 
+@query(
+    "window_sweep_limit_10000",
+    f"""WITH {_DAILY}, h AS (SELECT w.window_id, events.* FROM events JOIN w ON ts >= s AND ts < e) """
+    + " UNION ALL ".join(
+        _LIMITED.format(name=f"time_range_limit_{limit}", rows="h", limit=limit) for limit in (1000, 10_000, 1_000_000)
+    ),
+)
+def _(t):
+    """Limits up to a million: ends are looked up by rank."""
+    rows = t.events.select("event_id", "ts")
+    return s.window_sweep(rows, "ts", {"30h": daily_windows(t.events)}, ["event_id"], [1000, 10_000, 1_000_000])
+
+
+@query(
+    "window_sweep_range_limit",
+    f"""WITH {_DAILY}, h AS (SELECT w.window_id, event_id, ts, value, row_number() OVER (PARTITION BY window_id ORDER BY ts, event_id) AS r
+        FROM events JOIN w ON ts >= s AND ts < e) SELECT window_id, event_id, ts, value FROM h WHERE r <= 25""",
+)
+def _(t):
+    """The first 25 rows of every window."""
+    return s.sweep_range(t.events.select("event_id", "ts", "value"), "ts", daily_windows(t.events), ["event_id"], 25)
+
+
+_EVENT_WINDOWS = """w AS (SELECT event_id AS window_id, ts - to_minutes(event_id % 97) AS s,
+    ts - to_minutes(event_id % 97) + to_minutes(1 + event_id % 300) AS e FROM events)"""
+
+
+@query(
+    "window_sweep_bucket_many",
+    f"""WITH {_EVENT_WINDOWS}, h AS (SELECT window_id, ts, value FROM events JOIN w ON ts >= s AND ts < e)
+        SELECT window_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, round(avg(value) + 1e-10, 6) AS avg_value,
+        min(value) AS min_value, max(value) AS max_value FROM h GROUP BY 1, 2""",
+)
+def _(t):
+    """As many windows as events, of one minute to five hours."""
+    start = F.expr("ts - make_dt_interval(0, 0, CAST(event_id % 97 AS INT))")
+    windows = t.events.select(F.col("event_id").alias("window_id"), start.alias("start")).withColumn(
+        "end", F.expr("start + make_dt_interval(0, 0, CAST(1 + window_id % 300 AS INT))")
+    )
+    return tidy(s.sweep_bucket(t.events, "ts", windows, "value"))
+
+
 def _pool(t):
     return s.query_pool(
         t.events, "ts", daily_windows(t.events), "event_type", "value", ["event_id"], limits=[50, 200]
