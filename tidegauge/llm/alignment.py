@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.base import materialize, query, table
 from tidegauge.llm.byte_bpe import ByteBpe
+from tidegauge.llm.memory import held
 from tidegauge.llm.perfect_hash import PerfectHash, mixed
 
 SLICE_PAIRS = 2_000_000
@@ -157,17 +158,6 @@ def group_strings(shape: tuple[int, int]) -> list[str]:
     return [f"{i}," for i in a] + [f"{i}|" for i in a] + [f"{i}," for i in b] + [f"{i};" for i in b]
 
 
-_HELD: dict[str, object] = {}
-
-
-def _held(name: str, key, build):
-    """One value of each kind per Python worker, for as long as its key stays."""
-    if name not in _HELD or _HELD[name][0] != key:
-        _HELD.pop(name, None)
-        _HELD[name] = (key, build())
-    return _HELD[name][1]
-
-
 @dataclass
 class Lookup:
     """The counts of one slice's pairs, by the place of its hash."""
@@ -224,7 +214,7 @@ def tokenized(df: DataFrame, text: str, description: str, model: bytes, keep: li
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _held("vocabularies", shared.value, lambda: Vocabularies(*shared.value))
+        both = held(("vocabularies", *shared.value), lambda: Vocabularies(*shared.value))
         store_a, store_b = map(_Store, both.shape)
         next_id = TaskContext.get().partitionId() << 40
         pairs = both.shape[0] * both.shape[1]
@@ -415,7 +405,7 @@ def _looked_up(docs: DataFrame, shared, found, whole: bool, digest: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (lookup, best) = shared.value, found.value
-        strings = _held("strings", own.shape, lambda: group_strings(own.shape)) if whole else []
+        strings = held(("strings", own.shape), lambda: group_strings(own.shape)) if whole else []
         for batch, part in own.parts(batches):
             n = batch.num_rows
             n_best, total, n_links = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from tidegauge.session import configure, materialize, new_path
 
-__all__ = ["ORACLES", "QUERIES", "held_out", "materialize", "new_path", "prepared", "query", "table"]
+__all__ = ["ORACLES", "QUERIES", "held_out", "materialize", "new_path", "packed", "prepared", "query", "table", "unpacked"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Rows of one Arrow batch: a batch of whole documents stays at a few megabytes.
+# Rows and bytes of one Arrow batch of whole documents.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -31,6 +32,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         context.addPyFile(_packed())
@@ -55,6 +57,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def packed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own``, and all others in a struct ``kept``, out of the way of added names."""
+    spare = "_"
+    while spare in df.columns:
+        spare += "_"
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    # A struct has a field at least, or it can't be stored.
+    return df.select(F.struct(F.lit(True).alias(spare), *kept).alias("kept"), *[F.col(f"`{c}`") for c in own])
+
+
+def unpacked(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """``columns`` in their order again, of rows that ``packed`` made."""
+    return df.select(*[F.col(f"`{c}`") if c in own else F.col(f"kept.`{c}`").alias(c) for c in columns])
+
+
 def query(name: str, sql: str | None = None):
     """Register ``function(spark, folder)`` under ``name``; ``sql`` gives the same rows."""
 

@@ -7,8 +7,8 @@ writes the leaves of the merged pair, its left neighbour and the symbol that wen
 a logarithmic walk to the root. Short matches are merged many at a time, one tree per row of
 a matrix; long ones, which would fill a matrix alone, one by one.
 
-Most words of a corpus repeat, so every Python worker remembers the ids of a bounded number
-of pieces of text. Spark partitions the documents; nothing is shuffled.
+Most words of a corpus repeat, so every Python worker remembers the ids of some pieces of
+text, bounded in bytes. Spark partitions the documents; nothing is shuffled.
 
 Null and empty texts have no ids. Rows are kept as they are, repeated ones too, and all
 other columns pass through; the two columns that are added replace any of their names.
@@ -17,6 +17,7 @@ other columns pass through; the two columns that are added replace any of their
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegauge.llm.words import REMEMBERED, WordIds
+from tidegauge.llm.memory import Remembered, held
+from tidegauge.llm.words import WordIds
 
 # Matches of more bytes than this are merged one by one.
 ROW_BYTES = 64
@@ -66,7 +68,7 @@ class Vocabulary:
         self.byte_pairs = self.pair_rank(
             np.repeat(self.of_byte[first], 256), np.tile(self.of_byte[first], 256)
         )
-        self.matches: dict[bytes, bytes] = {}
+        self.matches = Remembered()
         self.words = WordIds(self.encode_pieces)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -201,28 +203,23 @@ class Vocabulary:
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of whole strings, each cut by the pattern."""
         cut = [[m.encode() for m in self.pattern.findall(p)] for p in pieces]
-        new = {m for words in cut for m in words} - self.matches.keys()
-        if len(self.matches) + len(new) > REMEMBERED:
-            self.matches.clear()
-            new = {m for words in cut for m in words}
-        self.matches.update(self.encode_matches(new))
-        return [b"".join(map(self.matches.__getitem__, words)) for words in cut]
+        self.matches.update({m for words in cut for m in words}, self._encode_list)
+        known = self.matches.young.__getitem__
+        return [b"".join(map(known, words)) for words in cut]
+
+    def _encode_list(self, matches: list[bytes]) -> list[bytes]:
+        found = self.encode_matches(matches)
+        return [found[m] for m in matches]
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-_LOADED: dict[tuple[int, str], Vocabulary] = {}
-
-
 def _vocabulary(shared, pattern: str) -> Vocabulary:
     """One vocabulary per Python worker, however many tasks it runs."""
     tokens = shared.value
-    key = (hash((len(tokens), tokens[0], tokens[-1], tokens[len(tokens) // 2])), pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(tokens, pattern)
-    return _LOADED[key]
+    digest = hashlib.sha256(b"".join(len(t).to_bytes(4, "little") + t for t in tokens)).digest()
+    return held(("bpe", digest, pattern), lambda: Vocabulary(tokens, pattern))
 
 
 def _with(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.base import materialize, new_path, query, table
 from tidegauge.llm.blobs import read_files, write_files
 from tidegauge.llm.byte_bpe import ByteBpe
+from tidegauge.llm.memory import held
 
 LIMIT = 16
 BLOCK = 1024
@@ -178,15 +179,9 @@ def _parse(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndar
 
 # -- Spark -----------------------------------------------------------------------------
 
-_ENCODERS: dict[str, ByteBpe] = {}
-
-
 def _encoder(description: str) -> ByteBpe:
     """One tokenizer per Python worker."""
-    if description not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[description] = ByteBpe(description)
-    return _ENCODERS[description]
+    return held(("byte_bpe", description), lambda: ByteBpe(description))
 
 
 def _chunks(docs: DataFrame, description: str, end_id: int) -> DataFrame:

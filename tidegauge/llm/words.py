@@ -3,35 +3,25 @@
 A byte-level pattern cuts a text at single blanks and line feeds between other characters:
 the blank begins the match after it, the line feed is one by itself. So where nothing else
 parts the words, a text's ids are those of its words one after the other, and since words
-repeat, a worker remembers a bounded number of them. Other texts are encoded whole.
+repeat, a worker remembers some of them, bounded in bytes. Other texts are encoded whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-# Words a worker remembers: about 200 MB.
-REMEMBERED = 800_000
+from tidegauge.llm.memory import Remembered
 
+# Characters of texts that are encoded together; a longer text is alone.
+PART_CHARS = 1 << 20
 
-class WordIds:
-    """Encodes texts through ``encode``, which gives the packed ids of each of some strings.
 
-    ``encode_words`` may give those of words faster: of a line feed and a word, or of a word
-    without the blank that goes before it.
-    """
+class WordIds:
+    """Encodes texts through ``encode``, which gives the packed ids of each of some strings."""
 
-    def __init__(
-        self, encode: Callable[[list[str]], list[bytes]],
-        encode_words: Callable[[list[str]], list[bytes]] | None = None,
-    ):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
         self.encode = encode
-        self.encode_words = encode_words or (
-            lambda words: encode([w if w[0] == "\n" else " " + w for w in words])
-        )
-        # Words met lately, and those of the time before, which go when the first are many.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Remembered()
 
     @staticmethod
     def words(text: str) -> list[str] | None:
@@ -43,26 +33,31 @@ class WordIds:
         dense = len("".join(text.split()))
         return words if dense + text.count(" ") + text.count("\n") == len(text) else None
 
-    def _learn(self, wanted: set[str]) -> None:
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
-            new = wanted
-        met = new & self.older.keys()
-        self.known.update(zip(met, map(self.older.__getitem__, met), strict=True))
-        if fresh := list(new - met):
-            self.known.update(zip(fresh, self.encode_words(fresh), strict=True))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return self.encode([w if w[0] == "\n" else " " + w for w in words])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text; none for null."""
+        out: list[bytes] = []
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= PART_CHARS):
+                size += len(texts[stop] or "")
+                stop += 1
+            out += self._encode_part(texts[start:stop])
+            start = stop
+        return out
+
+    def _encode_part(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain, whole = [], []
         for i, text in enumerate(texts):
             if text:
                 words = self.words(text)
                 whole.append(i) if words is None else plain.append((i, words))
-        self._learn(set().union(*(words[1:] for _, words in plain)))
-        known = self.known.__getitem__
+        self.known.update(set().union(*(words[1:] for _, words in plain)), self._encode_words)
+        known = self.known.young.__getitem__
         heads = self.encode([words[0] for _, words in plain])
         for (i, words), head in zip(plain, heads, strict=True):
             out[i] = head + b"".join(map(known, words[1:]))
