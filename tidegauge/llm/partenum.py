@@ -26,7 +26,10 @@ without comparing all pairs:
    two sets differ in at least as many elements as their sketches in bits. Large buckets are
    compared in pairs of blocks, so no task holds more than two blocks. Of the pairs that
    sketches can't rule out, the closest of each member are verified first, and components are
-   joined again; then all pairs that still span components are verified.
+   joined again.
+3. Members that may still be similar to one of another component meet again with their
+   shingles. All such pairs are verified where they meet, and only links that join components
+   leave the task, so pairs inside a group of copies are never listed.
 
 Equal sets are one member throughout. Null documents ids link with nothing, nor do empty and
 null texts; fewer than five words are one shingle. Sets count as equal when their 64-bit
@@ -47,20 +50,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.llm.base import materialize, query, table
+from tidegauge.llm.base import materialize, packed, query, table, unpacked
 from tidegauge.llm.components import components
+from tidegauge.llm.memory import held
 
 SHINGLE = 5
 # The similarity is SHARE / WHOLE.
 SHARE, WHOLE = 75, 100
-REMEMBERED = 800_000
+# Words, or sets, that a worker remembers: some 20 MB.
+REMEMBERED = 120_000
 # Signatures a task holds before it sends them on, and members of a bucket compared at once.
 HELD = 1 << 20
 BLOCK = 1024
 CLOSEST = 2
 NEVER = 1 << 30
-# Sets whose texts are fetched by a broadcast join; more are fetched by a shuffle.
-FETCHED = 1_000_000
+# Shingles of the sets that are verified in one block.
+BLOCK_SHINGLES = 500_000
 _U = np.uint64
 
 
@@ -75,16 +80,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Hashes of words, remembered."""
+    """Hashes of words, remembered as long as they take few bytes."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = own = xxhash.xxh64_intdigest(word)
+        own = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = own
         return own
 
 
-_WORDS = Words()
 _FACTORS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)]
 
 
@@ -95,7 +101,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    own = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(held("shingles", Words).__getitem__, words), np.uint64, len(words))
     n = len(own) - SHINGLE + 1
     total = np.zeros(n, np.uint64)
     for k, factor in enumerate(_FACTORS):
@@ -223,7 +229,7 @@ def _send(slots: int):
                 row = (doc, len(own), mark, None, None, None)
                 if mark is not None and mark not in seen:
                     if len(seen) >= REMEMBERED:
-                        seen.clear()
+                        seen.clear()  # described once more: no harm
                     seen.add(mark)
                     found, need = signatures(own)
                     row = (doc, len(own), mark, sketch(own), *need)
@@ -292,13 +298,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- verifying -------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, light: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are similar, by the shingles of a document of each."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
-    wanted = materialize(light.join(needed, "own", "left_semi").select("own", F.col("doc").alias("doc_id")), "wanted")
-    if wanted.count() <= FETCHED:
-        wanted = F.broadcast(wanted)
+def _sets(needed: DataFrame, docs: DataFrame, light: DataFrame) -> DataFrame:
+    """Stored: ``own`` and the ``shingles`` of the sets in ``needed`` (own), by a document of each."""
+    wanted = light.join(needed.distinct(), "own", "left_semi").select("own", F.col("doc").alias("doc_id"))
+    wanted = materialize(wanted, "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -310,13 +313,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, light: DataFrame) -> DataFrame:
                 same.append(found is not None and set_id(found) == own)
                 sets.append(found.tobytes() if same[-1] else None)
                 if same[-1]:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(own)
             yield pa.RecordBatch.from_pydict(
                 {"own": batch.column("own"), "shingles": pa.array(sets, pa.binary())}
             ).filter(pa.array(same, pa.bool_()))
 
-    sets = docs.join(wanted, "doc_id").select("own", "text").mapInArrow(cut, "own long, shingles binary")
-    sets = materialize(sets, "sets")
+    found = docs.join(wanted, "doc_id").select("own", "text").mapInArrow(cut, "own long, shingles binary")
+    # Several tasks may bring one set.
+    return materialize(found, "sets").dropDuplicates(["own"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, by the shingles of a document of each."""
+    pairs = materialize(pairs, "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("own")), docs, light)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,62 +372,135 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different components in a pair of blocks that sketches don't rule out.
-
-    With ``closest`` only the nearest for each member of the left block, and each member in
-    one bucket; a later pass without it takes all that are left.
-    """
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray], Iterator]]:
+    """Bucket, members and, for each member of the left block, its row and those of the right
+    block of other components that sketches don't rule out, with the bits they are apart."""
     for batch in batches:
         lists = batch.column("members")
         offsets, flat = lists.offsets.to_numpy(), lists.values
-        own, root, size, side = (flat.field(n).to_numpy() for n in ("own", "root", "size", "side"))
-        lead = flat.field("lead").to_numpy(zero_copy_only=False)
-        sketches = flat.field("sketch").to_pylist()
-        pairs: set[tuple[int, int]] = set()
-        for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            held = np.arange(first, last)
-            left, right = held[side[first:last] != 1], held[side[first:last] != 0]
-            if not len(left) or not len(right):
+        names = [f.name for f in flat.type if f.name not in ("sketch", "shingles")]
+        columns = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in names}
+        for row, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            own = {n: c[first:last] for n, c in columns.items()}
+            if "shingles" in {f.name for f in flat.type}:
+                own["shingles"] = flat.field("shingles")[first:last].to_pylist()
+            sketches = flat.field("sketch")[first:last].to_pylist()
+            left, right = np.flatnonzero(own["side"] != 1), np.flatnonzero(own["side"] != 0)
+
+            def pairs(own=own, sketches=sketches, left=left, right=right):
+                if not len(left) or not len(right):
+                    return
+                folded = _folded(sketches, min(map(len, sketches)))
+                across = folded[right]
+                for i in left.tolist():
+                    apart = np.bitwise_count(folded[i] ^ across).sum(axis=1, dtype=np.int64)
+                    bound = (own["size"][i] + own["size"][right]) * (WHOLE - SHARE) // (WHOLE + SHARE)
+                    near = np.flatnonzero((apart <= bound) & (own["root"][right] != own["root"][i]))
+                    if len(near):
+                        yield i, right[near], apart[near]
+
+            yield batch.column("bucket")[row].as_py(), own, pairs()
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each member the nearest few of other components, each member in one bucket."""
+    for _, own, pairs in _possible(batches):
+        found: set[tuple[int, int]] = set()
+        for i, near, apart in pairs:
+            if own["lead"][i]:
+                for j in near[np.argsort(apart, kind="stable")[:CLOSEST]].tolist():
+                    found.add((min(own["own"][i], own["own"][j]), max(own["own"][i], own["own"][j])))
+        if found:
+            a, b = zip(*sorted(found), strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members that may still be similar to one of another component in their bucket."""
+    for bucket, own, pairs in _possible(batches):
+        found = np.zeros(len(own["own"]), bool)
+        for i, near, _ in pairs:
+            found[i] = True
+            found[near] = True
+        if found.any():
+            yield pa.RecordBatch.from_pydict({"bucket": np.full(int(found.sum()), bucket), "own": own["own"][found]})
+
+
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join the components of a pair of blocks as all its links do, by their shingles."""
+    for _, own, pairs in _possible(batches):
+        parent = {r: r for r in own["root"].tolist()}
+
+        def top(r: int, parent=parent) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        sets = [np.frombuffer(x, np.uint64) for x in own["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        found = []
+        for i, near, _ in pairs:
+            here = top(int(own["root"][i]))
+            near = near[[top(r) != here for r in own["root"][near].tolist()]]
+            if not len(near):
                 continue
-            folded = _folded(sketches[first:last], min(map(len, sketches[first:last])))
-            across = folded[right - first]
-            for i in (left[lead[left]] if closest else left).tolist():
-                apart = np.bitwise_count(folded[i - first] ^ across).sum(axis=1, dtype=np.int64)
-                bound = (size[i] + size[right]) * (WHOLE - SHARE) // (WHOLE + SHARE)
-                near = np.flatnonzero((apart <= bound) & (root[right] != root[i]))
-                if closest:
-                    near = near[np.argsort(apart[near], kind="stable")[:CLOSEST]]
-                pairs.update((min(own[i], own[j]), max(own[i], own[j])) for j in right[near].tolist())
-        if pairs:
-            a, b = zip(*sorted(pairs), strict=True)
+            theirs = np.concatenate([sets[j] for j in near.tolist()])
+            # Shingles of all that are near, looked up in the member's own sorted ones.
+            at = np.minimum(np.searchsorted(sets[i], theirs), len(sets[i]) - 1)
+            shared = np.add.reduceat(sets[i][at] == theirs, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+            for j in near[WHOLE * shared >= SHARE * (sizes[i] + sizes[near] - shared)].tolist():
+                a, b = top(int(own["root"][i])), top(int(own["root"][j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((own["own"][i], own["own"][j]))
+        if found:
+            a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cross_pairs(member: DataFrame, roots: DataFrame, light: DataFrame, closest: bool) -> DataFrame:
-    """Candidate pairs of different components within the buckets."""
+def _placed(member: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
+    """bucket, own, size and root of the members of buckets that span several components."""
     placed = member.join(roots, F.col("own") == F.col("node"), "left").select(
         "bucket", "own", F.coalesce("root", "own").alias("root")
     )
-    mixed = placed.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
-    ).where("low < high").selectExpr("bucket", f"(n + {BLOCK - 1}) div {BLOCK} AS blocks")
-    block = F.expr("pmod(xxhash64(own), blocks)")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return placed.join(mixed.select("bucket"), "bucket").join(light.select("own", "sketch", "size"), "own")
+
+
+def _block_pairs(placed: DataFrame, weight: str, block: int, extra: list[str]) -> DataFrame:
+    """A row for each two blocks of a bucket's members, which are cut at ``block`` times ``weight``."""
+    cut = placed.groupBy("bucket").agg(F.sum(F.expr(weight)).alias("n")).selectExpr("bucket", f"(n + {block - 1}) div {block} AS blocks")
+    own = F.expr("pmod(xxhash64(own), blocks)")
     # A member meets its own block once (side 2), later blocks as left (0), earlier ones as right (1).
     sides = F.explode(F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
         lambda k: F.struct(
-            F.least(k, block).alias("i"), F.greatest(k, block).alias("j"),
-            F.when(k == block, 2).when(k > block, 0).otherwise(1).alias("side"),
+            F.least(k, own).alias("i"), F.greatest(k, own).alias("j"),
+            F.when(k == own, 2).when(k > own, 0).otherwise(1).alias("side"),
         ),
     ))
+    spread = placed.join(cut, "bucket").withColumn("s", sides)
+    return spread.groupBy("bucket", "s.i", "s.j").agg(
+        F.collect_list(F.struct("own", "root", "sketch", "size", "s.side", *extra)).alias("members")
+    ).select("bucket", "members")
+
+
+def _nearest_pairs(member: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
+    """Candidate pairs of different components: the nearest few of each member."""
     lead = F.col("bucket") == F.min("bucket").over(W.partitionBy("own"))
-    spread = placed.join(mixed, "bucket").withColumn("lead", lead).select("bucket", "own", "root", "lead", sides.alias("s"))
-    grouped = spread.join(light.select("own", "sketch", "size"), "own").groupBy("bucket", "s.i", "s.j").agg(
-        F.collect_list(F.struct("own", "root", "sketch", "size", "lead", "s.side")).alias("members")
-    )
-    run = lambda batches: _across(batches, closest)
-    return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
+    placed = _placed(member, roots, light).withColumn("lead", lead)
+    return _block_pairs(placed, "1", BLOCK, ["lead"]).mapInArrow(_closest, "a long, b long").distinct()
+
+
+def _remaining_links(member: DataFrame, roots: DataFrame, light: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join the components left over. Members that may have one are found by their
+    sketches and then compared exactly, where they meet, by their shingles."""
+    placed = materialize(_placed(member, roots, light), "placed")
+    left = _block_pairs(placed, "1", BLOCK, []).mapInArrow(_open, "bucket long, own long").distinct()
+    left = materialize(left, "open")
+    sets = _sets(left.select("own"), docs, light)
+    carried = placed.join(left, ["bucket", "own"]).join(sets, "own")
+    return _block_pairs(carried, "size", BLOCK_SHINGLES, ["shingles"]).mapInArrow(_linking, "a long, b long")
 
 
 def _slots(df: DataFrame) -> int:
@@ -458,8 +543,11 @@ def join_documents(docs: DataFrame) -> DataFrame:
     )
     links = materialize(_verified(sketched.mapInArrow(_plausible, "a long, b long"), own, light), "star-links")
     roots = components(links)
-    for closest in (True, False):
-        more = _verified(_cross_pairs(member, roots, light, closest), own, light)
+    for step in ("nearest", "remaining"):
+        if step == "nearest":
+            more = _verified(_nearest_pairs(member, roots, light), own, light)
+        else:
+            more = _remaining_links(member, roots, light, own)
         links = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "cross-links")
         roots = components(links)
 
@@ -480,14 +568,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     The join sees stored row numbers as ids, so rows of one id with different texts are told apart.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = join_documents(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    placed = numbered.where("doc_id IS NOT NULL").select("_row", "doc_id").join(
-        groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "_row"
+    numbered = materialize(packed(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = join_documents(numbered.select(F.col("row").alias("doc_id"), "text"))
+    placed = numbered.where("doc_id IS NOT NULL").select("row", "doc_id").join(
+        groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "row"
     )
-    first = placed.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    gone = placed.join(first.where("_rows > 1"), "_group").where("_row <> _first._row").select("_row")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    first = placed.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    gone = placed.join(first.where("rows > 1"), "group").where("row <> first.row").select("row")
+    return unpacked(numbered.join(gone, "row", "left_anti"), docs.columns, "doc_id", "text")
 
 
 @query("op5_partenum_join")
