@@ -200,17 +200,54 @@ def test_language(spark, odd, small):
     assert {r["lang_pred"] for r in langid.predict(odd, None).collect()} == {"und"}
 
 
-def test_code_lengths_are_probabilities():
-    trees = langid.Trees({"a": [b"abracadabra", b"banana"], "b": [b"xyzzy"]}, order=2)
-    # Over all bytes that can follow, probabilities sum to 1 at most.
-    for before in (b"", b"a", b"br", b"zz", b"??"):
-        total = np.zeros(2)
-        for byte in range(256):
-            total += np.exp2(trees.lengths(before) - trees.lengths(before + bytes([byte])))
-        assert (total <= 256).all() and (total > 0).all()
+def ppm_bits(samples, text, order):
+    """Code length of ``text`` by counts of contexts in dictionaries, escapes by the number of kinds."""
+    trees = [{} for _ in range(order + 1)]
+    for sample in samples:
+        own = [None] * order + list(sample)
+        for i in range(order, len(own)):
+            for k in range(order + 1):
+                trees[k].setdefault(tuple(own[i - k : i]), Counter())[own[i]] += 1
+
+    def chance(k, before, byte):
+        if k < 0:
+            return 1 / 256
+        counts = trees[k].get(before[len(before) - k :])
+        if counts is None:
+            return chance(k - 1, before, byte)
+        whole = sum(counts.values()) + len(counts)
+        return counts[byte] / whole if byte in counts else len(counts) / whole * chance(k - 1, before, byte)
+
+    own = [None] * order + list(text)
+    return -sum(np.log2(chance(order, tuple(own[i - order : i]), own[i])) for i in range(order, len(own)))
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_code_lengths_by_dictionaries(order):
+    samples = {"a": [b"abracadabra", b"banana", b""], "b": [b"xyzzy", b"banjo xylo"]}
+    trees = langid.Trees(samples, order=order)
+    for text in (b"", b"a", b"cadabra", b"xyzzy banana", b"??", b"ab?ra", bytes(range(256))):
+        want = [ppm_bits(samples[name], text, order) for name in trees.languages]
+        assert np.allclose(trees.lengths(text), want, rtol=1e-5)
     assert trees.best(b"cadabra")[0] == "a" and trees.best(b"xyz")[0] == "b"
 
 
+def test_rows_in_a_language(spark, odd):
+    """Bytes that no language shortens go; without trees every text with a letter stays."""
+    trees = langid.learn(langid.labelled(odd))
+    noise = bytes(range(97, 123)).decode() * 3
+    extra = spark.createDataFrame([(90, "\u4e2d\u6587\u0416\u0428\u03a9\u05d0" * 9, "en", 1), (91, noise, "en", 1)], odd.schema)
+    df = odd.unionByName(extra)
+    got = Counter(map(tuple, langid.in_a_language(df, trees).collect()))
+    want = Counter()
+    for r in df.collect():
+        text = (r["text"] or "").encode()
+        if any(c.isalpha() for c in r["text"] or "") and trees.lengths(text).min() / len(text) < 8:
+            want[tuple(r)] += 1
+    assert got == want and sum(want.values()) < df.count() - 4
+    assert langid.in_a_language(df, None).count() == sum(any(c.isalpha() for c in r["text"] or "") for r in df.collect())
+
+
 def test_toxicity(spark, odd):
     folder = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in QUERIES["op9_compression_toxicity"](spark, folder).collect()}

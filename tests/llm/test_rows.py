@@ -12,7 +12,6 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidegauge.llm import embeddings, sharding, warc
 from tidegauge.llm.base import new_path
 from tidegauge.llm.components import components
@@ -107,12 +106,3 @@ def test_links_of_a_hot_group_are_whole(spark):
     assert 0.2 < counts[:3000].mean() / 3000
     found = np.array([got[i] for i in range(9000)])
     assert (found <= counts).all() and found[:3001].sum() >= 0.99 * counts[:3001].sum()
-
-
-def test_pipeline(spark, small):
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    kept = corpus_pipeline.run(spark, small).collect()
-    assert len({r["doc_id"] for r in kept}) == len(kept) > 0.5 * len(docs)
-    items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    ids = {r["doc_id"] for r in kept}
-    assert not any(item in docs[d]["text"] for d in ids for item in items)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.base import materialize, query, table
+from tidegauge.llm.base import materialize, packed, query, table, unpacked
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -158,8 +158,8 @@ def find(
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with no leak. A leak depends on the text alone, so texts are compared."""
     leaked = find(docs, benchmark, threshold, radius).select("text_hash").distinct()
-    own = docs.withColumn("text_hash_", F.xxhash64("text"))
-    return own.join(leaked, own["text_hash_"] == leaked["text_hash"], "left_anti").drop("text_hash_")
+    own = packed(docs, "text").withColumn("text_hash", F.xxhash64("text"))
+    return unpacked(own.join(leaked, "text_hash", "left_anti"), docs.columns, "text")
 
 
 @query("op10_simhash_leaks")

@@ -28,11 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.base import held_out, query, table
+from tidegauge.llm.base import held_out, packed, query, table, unpacked
+from tidegauge.llm.memory import release
 
 ORDER = 3
 SAMPLE_ROWS = 400
 UNKNOWN = "und"
+# Characters of one text that are learnt from; all of them are scored.
+SAMPLE_CHARS = 1 << 18
+# Bits of a byte that nothing is known about: a text that no language shortens is in none.
+NO_LANGUAGE = 8.0
 # Bytes scored at once; a bound for memory, not for texts.
 BLOCK = 1 << 20
 
@@ -129,11 +134,12 @@ class Trees:
             total += self.bits[rows * self.size + own[self.order :]].sum(axis=0, dtype=np.float64)
         return total
 
-    def best(self, text: bytes) -> tuple[str, float]:
-        """The language of the shortest code, ties to the first by name, and its share of the odds."""
+    def best(self, text: bytes) -> tuple[str, float, float]:
+        """The language of the shortest code, ties to the first by name, its share of the odds, and its bits per byte."""
         bits = self.lengths(text)
         k = int(np.argmin(bits))
-        return self.languages[k], float(1 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum())
+        share = float(1 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum())
+        return self.languages[k], share, float(bits[k]) / max(1, len(text))
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", seed: int = 29) -> DataFrame:
@@ -152,39 +158,50 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", se
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, order: int = ORDER) -> Trees | None:
     """Trees from ``labelled`` (doc_id, text, label); None where nothing is labelled.
 
-    ``rows`` bounds the sample: its expected number of rows per label.
+    ``rows`` bounds the sample: its expected number of rows per label. Of a text it takes
+    SAMPLE_CHARS characters at most.
     """
     own = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL")
     samples: dict[str, list[bytes]] = {}
-    for row in sample(own, rows).select("label", "text").toLocalIterator():
+    text = F.substring("text", 1, SAMPLE_CHARS)
+    for row in sample(own, rows).select("label", text.alias("text")).toLocalIterator():
         samples.setdefault(row["label"], []).append(row["text"].encode())
     samples = {k: v for k, v in samples.items() if any(v)}
     return Trees(samples, order) if samples else None
 
 
 
-def predict(df: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the winner's share of the odds."""
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    kept = [f for f in df.schema if f.name not in ("lang_pred", "score")]
+def predict(df: DataFrame, trees: Trees | None, text: str = "text", bits: bool = False) -> DataFrame:
+    """Add ``lang_pred`` and ``score``, the winner's share of the odds.
+
+    With ``bits`` also ``bits``, the winner's code length per byte; null without a letter.
+    Without trees every text is unknown. Columns of these names are replaced.
+    """
+    names = ("lang_pred", "score", "bits") if bits else ("lang_pred", "score")
+    types = (T.StringType(), T.DoubleType(), T.DoubleType())
+    added = [T.StructField(n, t) for n, t in zip(names, types, strict=False)]
+    kept = [f for f in df.schema if f.name not in names]
     own = df.select(*[F.col(f"`{f.name}`") for f in kept])
     if trees is None:
-        return own.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        values = (F.lit(UNKNOWN), F.lit(0.0), F.lit(None).cast("double"))
+        return own.select("*", *[v.alias(n) for n, v in zip(names, values, strict=False)])
     shared = df.sparkSession.sparkContext.broadcast(trees)
     lettered = "_lettered"
+    while lettered in df.columns:
+        lettered += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             found = [
-                model.best(t.encode()) if known else (UNKNOWN, 0.0)
+                model.best(t.encode()) if known else (UNKNOWN, 0.0, None)
                 for t, known in zip(batch.column(text).to_pylist(), batch.column(lettered).to_pylist(), strict=True)
             ]
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != lettered}
             yield pa.RecordBatch.from_pydict(
                 columns
-                | {"lang_pred": pa.array([x for x, _ in found], pa.string())}
-                | {"score": pa.array([x for _, x in found], pa.float64())}
+                | {n: pa.array([x[k] for x in found], pa.float64() if k else pa.string()) for k, n in enumerate(names)}
             )
 
     has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
@@ -196,6 +213,17 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").alias("label"))
 
 
+def in_a_language(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a letter whose text some language codes in fewer than NO_LANGUAGE bits a byte.
+
+    Without trees nothing speaks against a text with a letter. Columns stay as they are.
+    """
+    found = predict(packed(docs, text), trees, text, bits=True)
+    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    kept = found.where(has_letter & F.coalesce(F.col("bits") < NO_LANGUAGE, F.lit(True)))
+    return unpacked(kept, docs.columns, text)
+
+
 @query("op6_ppm_language")
 def _languages(spark, folder):
     """The language of every document, learnt from three quarters of them."""

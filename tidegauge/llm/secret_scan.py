@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.llm.base import materialize, query, table
+from tidegauge.llm.base import materialize, packed, query, table, unpacked
 
 # Code points between two parts of one credential.
 SCOPE = 200
@@ -169,7 +169,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[secret]", scope: int
 
     Null texts stay null. All columns are kept.
     """
-    done = scan(df, text, scope)
+    done = scan(packed(df, text), text, scope)
     # The text between a span and the furthest end before it, then the mask; the rest at the end.
     piece = f"concat(substr(`{text}`, cast(s.before + 1 as int), cast(s.start - s.before as int)), '{mask}')"
     walk = F.expr(
@@ -177,7 +177,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[secret]", scope: int
             substr(`{text}`, cast(array_max(transform(spans, s -> s.end)) + 1 as int)))"""
     )
     redacted = F.when(F.size("spans") > 0, walk).otherwise(F.col(f"`{text}`"))
-    return done.withColumn(text, redacted).select(*df.columns)
+    return unpacked(done.withColumn(text, redacted), df.columns, text)
 
 
 @query("op4_credential_links")
