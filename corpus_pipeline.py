@@ -21,10 +21,9 @@ from tidegauge.llm.bpe_query import PATTERN, RANKS  # noqa: E402
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null texts and texts without a letter."""
+    """Drop documents in no language: those without a letter, and those no learnt language shortens."""
     prepared(spark)
-    found = langid.predict(docs, langid.learn(langid.labelled(docs)))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.in_a_language(docs, langid.learn(langid.labelled(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +42,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets; ``n_chars`` follows the text."""
     prepared(spark)
     masked = secret_scan.redact(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -63,7 +64,7 @@ STAGES = [
 ]
 
 # Neither trained language trees nor byte-pair merges can be written in SQL; tests compare
-# the operators of the stages with brute-force versions instead.
+# the rows that every stage keeps with a brute-force version instead.
 ORACLE_SQL = None
 
 
