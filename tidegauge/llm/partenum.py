@@ -378,12 +378,15 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str
     for batch in batches:
         lists = batch.column("members")
         offsets, flat = lists.offsets.to_numpy(), lists.values
-        names = [f.name for f in flat.type if f.name not in ("sketch", "shingles")]
+        names = [f.name for f in flat.type if f.name not in ("sketch", "shingles", "buckets")]
         columns = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in names}
         for row, (first, last) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             own = {n: c[first:last] for n, c in columns.items()}
             if "shingles" in {f.name for f in flat.type}:
                 own["shingles"] = flat.field("shingles")[first:last].to_pylist()
+            if "buckets" in {f.name for f in flat.type}:
+                cuts, values = flat.field("buckets").offsets.to_numpy(), flat.field("buckets").values.to_numpy()
+                own["buckets"] = [values[a:b] for a, b in zip(cuts[first:last], cuts[first + 1 : last + 1], strict=True)]
             sketches = flat.field("sketch")[first:last].to_pylist()
             left, right = np.flatnonzero(own["side"] != 1), np.flatnonzero(own["side"] != 0)
 
@@ -416,12 +419,21 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members that may still be similar to one of another component in their bucket."""
+    """The members that may still be similar to one of another component in their bucket.
+
+    Two members may share many buckets; the pair counts in the least of these alone.
+    """
     for bucket, own, pairs in _possible(batches):
-        found = np.zeros(len(own["own"]), bool)
+        found, sizes = np.zeros(len(own["own"]), bool), np.array([len(x) for x in own["buckets"]])
         for i, near, _ in pairs:
-            found[i] = True
-            found[near] = True
+            mine = own["buckets"][i]
+            theirs = np.concatenate([own["buckets"][j] for j in near.tolist()])
+            shared = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            least = np.minimum.reduceat(np.where(shared, theirs, np.iinfo(np.int64).max), np.cumsum(sizes[near]) - sizes[near])
+            near = near[least == bucket]
+            if len(near):
+                found[i] = True
+                found[near] = True
         if found.any():
             yield pa.RecordBatch.from_pydict({"bucket": np.full(int(found.sum()), bucket), "own": own["own"][found]})
 
@@ -496,7 +508,8 @@ def _remaining_links(member: DataFrame, roots: DataFrame, light: DataFrame, docs
     """Links that join the components left over. Members that may have one are found by their
     sketches and then compared exactly, where they meet, by their shingles."""
     placed = materialize(_placed(member, roots, light), "placed")
-    left = _block_pairs(placed, "1", BLOCK, []).mapInArrow(_open, "bucket long, own long").distinct()
+    lists = placed.groupBy("own").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    left = _block_pairs(placed.join(lists, "own"), "1", BLOCK, ["buckets"]).mapInArrow(_open, "bucket long, own long").distinct()
     left = materialize(left, "open")
     sets = _sets(left.select("own"), docs, light)
     carried = placed.join(left, ["bucket", "own"]).join(sets, "own")
