@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.errors import SourceError
 from tidegauge.operators.generate import generate_iot, iot_schema
+from tidegauge.schema import apply_hint
 from tidegauge.sinks import files as out
 from tidegauge.sinks import tables
 from tidegauge.sources import files
@@ -48,6 +49,45 @@ def test_sources(spark, events, tmp_path):
     assert files.load_dataset(spark, [str(tmp_path / "a"), str(tmp_path / "a" / "*.parquet")]).count() == 10
 
 
+def test_deep_globs(spark, tmp_path):
+    """``**`` stands for any folders or none; names are matched whole, and hidden files left out."""
+    for name in ("x1.csv", "a/x2.csv", "a/b/x3.csv", "a/b/y.csv", "a/c d/x 4.jsonl", "a/_tmp/x5.csv", "a/b/x6.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("v\n1\n" if name.endswith("csv") else '{"v": 1}\n')
+    names = lambda glob: [f[len(str(tmp_path)) + 1 :] for f in files.resolve_sources(spark, [f"{tmp_path}/{glob}"])]
+    assert names("**/x*.csv") == ["a/b/x3.csv", "a/x2.csv", "x1.csv"]
+    assert names("a/**/*.csv") == ["a/b/x3.csv", "a/b/y.csv", "a/x2.csv"]
+    assert names("**/b/*.csv") == ["a/b/x3.csv", "a/b/y.csv"]
+    assert names("a/**") == ["a/b/x3.csv", "a/b/y.csv", "a/c d/x 4.jsonl", "a/x2.csv"]
+    assert names("a/b*/x?.csv") == ["a/b/x3.csv"]
+    assert files.load_dataset(spark, f"{tmp_path}/**/x*").count() == 4
+
+
+def test_json_folder_of_lines_and_arrays(spark, tmp_path):
+    rows = [{"ts": "2024-01-01T00:00:00Z", "v": i} for i in range(5)]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.json").write_text(json.dumps(rows[:2]))
+    (tmp_path / "b.json").write_text("\n\n  " + json.dumps(rows[2:4], indent=2))
+    (tmp_path / "c.json").write_text(json.dumps(rows[4]))
+    (tmp_path / "d.json").write_text("")
+    for paths in ([str(tmp_path)], [str(tmp_path / "*.json")], [str(tmp_path / f"{n}.json") for n in "abcd"]):
+        assert sorted(r["v"] for r in files.scan_json(spark, *paths, schema="ts timestamp, v bigint").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_load_series(spark, tmp_path):
+    """Roles, times and units in one step, inferred and by a hint."""
+    lines = "".join(f"{1704067200 + i},d{i % 2},{i}.5,note {i}\n" for i in range(100))
+    (tmp_path / "s.csv").write_text("ts,device,temp,note\n" + lines)
+    df, found = files.load_series(spark, f"{tmp_path}/**/*.csv", units={"temp": ("celsius", "fahrenheit")})
+    assert (found.time, found.tags, found.metrics) == ("ts", ("device",), ("temp",))
+    first = df.orderBy("ts").first()
+    assert df.schema["ts"].dataType.simpleString() == "timestamp" and first["temp"] == pytest.approx(0.5 * 1.8 + 32)
+    assert found.struct["ts"].dataType == df.schema["ts"].dataType and df.schema["device"].metadata["role"] == "TAG"
+    assert str(df.select(F.col("ts").cast("timestamp_ntz")).orderBy("ts").first()[0]) == "2024-01-01 00:00:00"
+    hinted, own = files.load_series(spark, str(tmp_path / "s.csv"), hint=apply_hint(df, "h", "ts", ["note"], ["temp"]))
+    assert own.tags == ("note",) and own.name == "h" and hinted.count() == 100
+
+
 def test_missing_sources(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     for wrong in (["/no/such/file.parquet"], [str(tmp_path / "empty")], [str(tmp_path / "*.csv")], []):

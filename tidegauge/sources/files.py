@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.errors import SourceError
-from tidegauge.functions.timeparse import parse_text
-from tidegauge.schema import TIME_NAMES
+from tidegauge.functions.timeparse import normalize_ts, parse_text
+from tidegauge.functions.units import convert_units
+from tidegauge.schema import TAG_THRESHOLD, TIME_NAMES, SeriesSchema, apply_hint, infer_schema
 from tidegauge.sources.object_store import is_object_url, rewrite_url
 
 # File endings read, by format.
@@ -39,37 +43,36 @@ def scan_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None
 
 
 def scan_json(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON lines, or files holding one array (recognised by their first character).
+    """JSON lines and files holding one array, also mixed in one folder or glob.
 
-    Lines split across tasks; an array file cannot and is read by one task per file.
+    Which is which is found on the executors, from the first character of each file. Lines
+    split across tasks; an array file cannot and is read by one task per file.
     """
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    arrays = [p for p in paths if _starts_array(spark, p)]
-    lines = [p for p in paths if p not in arrays]
-    parts = []
-    if lines:
-        parts.append(reader.json(lines))
-    if arrays:
-        parts.append(reader.option("multiLine", True).json(arrays))
-    return _parse_times(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
-
-
-def _starts_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first character that is not blank opens an array; reads a few bytes."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target) or not fs.getFileStatus(target).isFile():
-        return False
-    stream = fs.open(target)
-    try:
-        char = stream.read()
-        while char in (9, 10, 13, 32):
-            char = stream.read()
-        return char == ord("[")
-    finally:
-        stream.close()
+    arrays = _array_files(spark, paths)
+    if not arrays:
+        return _parse_times(reader.json(list(paths)))
+    lines = sorted({r["path"] for r in _listing(spark, *paths).select("path").collect()} - set(arrays))
+    parts = [reader.json(lines)] if lines else []
+    parts.append(reader.option("multiLine", True).json(arrays))
+    return _parse_times(union_sources(parts))
+
+
+def _array_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files whose first character that is not blank opens an array.
+
+    Only the first piece of each file is looked at, and its lines combine map-side.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").text(list(paths))
+        .where("_metadata.file_block_start = 0")
+        .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.ltrim("value").alias("value"))
+        .where("value <> ''")
+    )
+    heads = lines.groupBy("path").agg(F.min_by(F.substring("value", 1, 1), "at").alias("head"))
+    return sorted(r["path"] for r in heads.where("head = '['").collect())
 
 
 def _parse_times(df: DataFrame) -> DataFrame:
@@ -87,16 +90,20 @@ def _ending(path: str) -> str:
 def resolve_sources(spark: SparkSession, sources: Sequence[str], account: str | None = None) -> list[str]:
     """Files behind a list of files, directories, globs and object-store URLs.
 
-    Directories give all Parquet files below them. Files of one source are sorted; a
-    source that is missing or gives nothing is an error. Listing goes through the
-    cluster's file systems, so it sees what the executors see.
+    Directories give all Parquet files below them, globs the files of every format, and
+    ``**`` in a glob any folders, or none. Files of one source are sorted; a source that is
+    missing or gives nothing is an error. Spark lists, so it sees what the executors see and
+    large trees are listed by them; one query per source brings the names.
     """
     out: list[str] = []
     for source in sources:
         path = rewrite_url(source, account) if is_object_url(source) else source
-        found = _list_files(spark, path)
-        if found is None:
-            raise SourceError(f"source not found: {source}")
+        try:
+            found = _list_files(spark, path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise SourceError(f"source not found: {source}") from None
         if not found:
             raise SourceError(f"no data files in {source}")
         out.extend(found)
@@ -105,32 +112,41 @@ def resolve_sources(spark: SparkSession, sources: Sequence[str], account: str |
     return out
 
 
-def _list_files(spark: SparkSession, path: str) -> list[str] | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if any(c in path for c in "*?"):
-        matches = fs.globStatus(target)
-        files = [str(m.getPath().toUri().getPath() if _local(m) else m.getPath()) for m in matches or []]
-        if not files:
-            return None
-        return sorted(f for f in files if _ending(f) in PARQUET + CSV + JSON)
-    if not fs.exists(target):
-        return None
-    if fs.getFileStatus(target).isFile():
-        return [path]
-    found, listing = [], fs.listFiles(target, True)
-    while listing.hasNext():
-        status = listing.next()
-        name = str(status.getPath().toUri().getPath() if _local(status) else status.getPath())
-        if _ending(name) in PARQUET and not name.rsplit("/", 1)[-1].startswith(("_", ".")):
-            found.append(name)
-    return sorted(found)
-
-
-def _local(status) -> bool:
-    return status.getPath().toUri().getScheme() in (None, "file")
+def _listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path`` of every file below some paths; no file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path")
+
+
+def _list_files(spark: SparkSession, path: str) -> list[str]:
+    steps = path.split("/")
+    deep = next((i for i, step in enumerate(steps) if "**" in step), None)
+    is_glob = any(c in path for c in "*?")
+    if not is_glob and _ending(path) in PARQUET + CSV + JSON:
+        return [path] if _listing(spark, path).count() else []
+    endings = PARQUET + CSV + JSON if is_glob else PARQUET
+    if deep is None:
+        found = _listing(spark, path)
+    else:
+        # Spark's own globs know no ``**``: everything below is listed, and names are compared.
+        below = "/".join(steps[:deep]) or ("/" if path.startswith("/") else ".")
+        named = [*steps, "*"] if steps[-1] == "**" else steps
+        whole = "/".join(map(_step_pattern, named)).replace("(?:[^/]+/)*/", "(?:[^/]+/)*")
+        found = _listing(spark, below).where(F.col("path").rlike(f"{whole}$"))
+    named = found.where(F.lower("path").rlike(r"(%s)$" % "|".join(e.replace(".", r"\.") for e in endings)))
+    return sorted(_plain(r["path"]) for r in named.collect())
+
+
+def _step_pattern(step: str) -> str:
+    """A regular expression for one step of a glob."""
+    if step == "**":
+        return "(?:[^/]+/)*"
+    signs = {"*": "[^/]*", "?": "[^/]"}
+    return "".join(signs.get(c, re.escape(c)) for c in step.replace("**", "*"))
+
+
+def _plain(path: str) -> str:
+    """A local file without its scheme, as users name it."""
+    return path.removeprefix("file://" if path.startswith("file://") else "file:")
 
 
 def scan_files(spark: SparkSession, files: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -183,3 +199,30 @@ def load_dataset(
     """Resolve and read: the usual way in."""
     listed = [sources] if isinstance(sources, str) else list(sources)
     return scan_files(spark, resolve_sources(spark, listed), schema)
+
+
+def load_series(
+    spark: SparkSession,
+    sources: str | Sequence[str],
+    name: str = "series",
+    hint: SeriesSchema | None = None,
+    units: Mapping[str, tuple[str, str]] | None = None,
+    epoch: str | None = None,
+    threshold: float = TAG_THRESHOLD,
+    approximate: bool = False,
+) -> tuple[DataFrame, SeriesSchema]:
+    """Read, find the roles, normalise the time and convert units: the whole load in one step.
+
+    ``hint`` gives the roles (its columns must be there); without it they are inferred in one
+    pass over the text columns. The time becomes a UTC timestamp; ``epoch`` is the unit of a
+    numeric one, where its size leaves doubt. ``units`` maps columns to (from, to) and applies
+    last. Roles are attached to the columns.
+    """
+    df = load_dataset(spark, sources)
+    if hint is None:
+        found = infer_schema(df, name, threshold, approximate)
+    else:
+        found = apply_hint(df, hint.name, hint.time, hint.tags, hint.metrics)
+    df = convert_units(normalize_ts(df, found.time, epoch), units or {})
+    found = replace(found, struct=df.schema)
+    return found.apply(df), found

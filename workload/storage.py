@@ -48,6 +48,40 @@ def _(t):
     return tidy(files.scan_files(t.spark, found, EVENTS_TIMED))
 
 
+@query("resolve_deep_glob", "SELECT * FROM events WHERE event_type IN ('view', 'click')")
+def _(t):
+    """Files of one name pattern at any depth, in two formats."""
+    base = new_path(t.spark, "deep")
+    for kind in ("view", "click", "purchase"):
+        out.write_parquet(t.events.where(f"event_type = '{kind}'"), f"{base}/{kind}s/nested/data.{'parq' if kind == 'purchase' else 'set'}")
+    return tidy(files.load_dataset(t.spark, f"{base}/**/data.set/*.parquet"))
+
+
+@query("scan_json_folder", "SELECT * FROM events")
+def _(t):
+    """A folder that holds lines and whole arrays."""
+    path = new_path(t.spark, "json")
+    out.write_json(t.events.where("event_id % 3 > 0"), path)
+    rows = out.times_as_text(t.events.where("event_id % 3 = 0"))
+    array = rows.groupBy(F.expr("event_id div 10000").alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    array.write.mode("append").partitionBy("part").text(path)
+    return tidy(files.scan_json(t.spark, path, schema=EVENTS_TYPES))
+
+
+@query(
+    "load_series",
+    """SELECT event_id, ts, user_id, event_type, round(value * 9 / 5 + 32 + 1e-10, 6) AS value FROM events""",
+)
+def _(t):
+    """Read, roles, time and units in one step."""
+    path = new_path(t.spark, "series")
+    rows = t.events.selectExpr("event_id", "unix_micros(CAST(ts AS timestamp)) * 1000L AS ts", "user_id", "event_type", "value")
+    out.write_parquet(rows, path)
+    df, found = files.load_series(t.spark, path, units={"value": ("celsius", "fahrenheit")})
+    assert found.time == "ts" and "value" in found.metrics
+    return tidy(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
 @query("write_parquet", "SELECT * FROM lineitem")
 def _(t):
     path = new_path(t.spark, "parquet")
