@@ -36,7 +36,7 @@ def kept_by(name, rows, docs, items):
     """The rows that a stage should keep, of ``rows``."""
     if name == "language":
         trees = langid.learn(langid.labelled(docs))
-        sound = lambda t: any(c.isalpha() for c in t) and (trees is None or trees.lengths(t.encode()).min() / len(t.encode()) < 8)
+        sound = lambda t: any(c.isalpha() for c in t) and (trees is None or trees.lengths(t.encode()).min() / len(t.encode()) < langid.NO_LANGUAGE)
         return [r for r in rows if sound(r["text"] or "")]
     if name == "near_copies":
         groups = brute_components([(n, r["text"]) for n, r in enumerate(rows)])
