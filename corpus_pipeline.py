@@ -21,7 +21,7 @@ from tidegauge.llm.bpe_query import PATTERN, RANKS  # noqa: E402
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: those without a letter, and those no learnt language shortens."""
+    """Drop documents in no language: those without a letter, and those that fit no learnt language."""
     prepared(spark)
     return langid.in_a_language(docs, langid.learn(langid.labelled(docs)))
 
