@@ -471,15 +471,18 @@ def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _placed(member: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
-    """bucket, own, size and root of the members of buckets that span several components."""
+    """bucket, own, size and root of the members of buckets that span several components; stored.
+
+    These rows are narrow: what a member is compared by joins them last.
+    """
     placed = member.join(roots, F.col("own") == F.col("node"), "left").select(
         "bucket", "own", F.coalesce("root", "own").alias("root")
     )
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return placed.join(mixed.select("bucket"), "bucket").join(light.select("own", "sketch", "size"), "own")
+    return materialize(placed.join(mixed.select("bucket"), "bucket").join(light.select("own", "size"), "own"), "placed")
 
 
-def _block_pairs(placed: DataFrame, weight: str, block: int, extra: list[str]) -> DataFrame:
+def _block_pairs(placed: DataFrame, weight: str, block: int, facts: DataFrame) -> DataFrame:
     """A row for each two blocks of a bucket's members, which are cut at ``block`` times ``weight``."""
     cut = placed.groupBy("bucket").agg(F.sum(F.expr(weight)).alias("n")).selectExpr("bucket", f"(n + {block - 1}) div {block} AS blocks")
     own = F.expr("pmod(xxhash64(own), blocks)")
@@ -492,28 +495,28 @@ def _block_pairs(placed: DataFrame, weight: str, block: int, extra: list[str]) -
         ),
     ))
     spread = placed.join(cut, "bucket").withColumn("s", sides)
-    return spread.groupBy("bucket", "s.i", "s.j").agg(
-        F.collect_list(F.struct("own", "root", "sketch", "size", "s.side", *extra)).alias("members")
+    carried = [c for c in placed.columns if c != "bucket"] + ["s.side"] + [c for c in facts.columns if c != "own"]
+    return spread.join(facts, "own").groupBy("bucket", "s.i", "s.j").agg(
+        F.collect_list(F.struct(*carried)).alias("members")
     ).select("bucket", "members")
 
 
-def _nearest_pairs(member: DataFrame, roots: DataFrame, light: DataFrame) -> DataFrame:
+def _nearest_pairs(placed: DataFrame, light: DataFrame) -> DataFrame:
     """Candidate pairs of different components: the nearest few of each member."""
     lead = F.col("bucket") == F.min("bucket").over(W.partitionBy("own"))
-    placed = _placed(member, roots, light).withColumn("lead", lead)
-    return _block_pairs(placed, "1", BLOCK, ["lead"]).mapInArrow(_closest, "a long, b long").distinct()
+    facts = light.select("own", "sketch")
+    return _block_pairs(placed.withColumn("lead", lead), "1", BLOCK, facts).mapInArrow(_closest, "a long, b long").distinct()
 
 
-def _remaining_links(member: DataFrame, roots: DataFrame, light: DataFrame, docs: DataFrame) -> DataFrame:
+def _remaining_links(placed: DataFrame, light: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join the components left over. Members that may have one are found by their
     sketches and then compared exactly, where they meet, by their shingles."""
-    placed = materialize(_placed(member, roots, light), "placed")
     lists = placed.groupBy("own").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    left = _block_pairs(placed.join(lists, "own"), "1", BLOCK, ["buckets"]).mapInArrow(_open, "bucket long, own long").distinct()
+    facts = materialize(light.select("own", "sketch").join(lists, "own"), "open-facts")
+    left = _block_pairs(placed, "1", BLOCK, facts).mapInArrow(_open, "bucket long, own long").distinct()
     left = materialize(left, "open")
-    sets = _sets(left.select("own"), docs, light)
-    carried = placed.join(left, ["bucket", "own"]).join(sets, "own")
-    return _block_pairs(carried, "size", BLOCK_SHINGLES, ["shingles"]).mapInArrow(_linking, "a long, b long")
+    sets = _sets(left.select("own"), docs, light).join(light.select("own", "sketch"), "own")
+    return _block_pairs(placed.join(left, ["bucket", "own"]), "size", BLOCK_SHINGLES, sets).mapInArrow(_linking, "a long, b long")
 
 
 def _slots(df: DataFrame) -> int:
@@ -558,9 +561,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     roots = components(links)
     for step in ("nearest", "remaining"):
         if step == "nearest":
-            more = _verified(_nearest_pairs(member, roots, light), own, light)
+            more = _verified(_nearest_pairs(_placed(member, roots, light), light), own, light)
         else:
-            more = _remaining_links(member, roots, light, own)
+            more = _remaining_links(_placed(member, roots, light), light, own)
         links = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "cross-links")
         roots = components(links)
 
