@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidegauge.functions.scalar import row_bytes
 from tidegauge.operators.ordering import chunk_rows, number_rows
 from tidegauge.operators.prepare import partition_value
 from tidegauge.schema import SeriesSchema, sql_type
-from tidegauge.session import materialize
+from tidegauge.sinks.snapshots import delete, names_in
 from tidegauge.sources.tables import drop_table
 
 # The derived time partition of a table.
@@ -53,19 +55,44 @@ def ingest_append(
 def ingest_reset(
     df: DataFrame, name: str, schema: SeriesSchema, partition_by: str = "DAY", path: str | None = None
 ) -> int:
-    """Replace the table: drop, create, load.
+    """Replace the table by one with these rows, loaded aside first.
 
-    The rows are stored first, since they may come from the table itself. Of folders only the
-    table's own is removed.
+    The rows may come from the table itself, and a load that fails leaves the table as it was:
+    only when all rows are stored does the new table take the name. With ``path`` each load
+    has a folder of its own below it. Of folders only the old table's own, there, is removed.
     """
     spark = df.sparkSession
-    df = materialize(df.select(*schema.columns), "reset")
-    own = _location(spark, name)
+    old = _location(spark, name)
+    mark = uuid.uuid4().hex
+    aside = f"{name}_{mark}"
+    own = None if path is None else f"{path.rstrip('/')}/load-{mark}"
+    create_table(spark, aside, schema, partition_by, own)
+    try:
+        written = ingest_append(df.select(*schema.columns), aside, schema, partition_by)
+    except BaseException:
+        drop_table(spark, aside)
+        if own is not None:
+            delete(spark, own)
+        raise
     drop_table(spark, name)
-    if path is not None and own is not None and own.rstrip("/").endswith(path.split(":", 1)[-1].rstrip("/")):
-        _delete(spark, path)
-    create_table(df.sparkSession, name, schema, partition_by, path)
-    return ingest_append(df, name, schema, partition_by)
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    if path is not None and old is not None:
+        _remove_load(spark, old, path, f"load-{mark}")
+    return written
+
+
+def _remove_load(spark: SparkSession, old: str, path: str, kept: str) -> None:
+    """Remove the files at ``old`` if that is a load of ``path``, or ``path`` itself; ``kept`` stays."""
+    plain = lambda p: p.split(":", 1)[-1].rstrip("/").replace("//", "/")
+    own, top = plain(old), plain(path)
+    if not top.strip("/"):
+        return
+    if own.endswith(top):
+        for name in names_in(spark, path):
+            if name != kept:
+                delete(spark, f"{path.rstrip('/')}/{name}")
+    elif own.rsplit("/load-", 1)[0].endswith(top):
+        delete(spark, old)
 
 
 def _location(spark: SparkSession, name: str) -> str | None:
@@ -76,11 +103,6 @@ def _location(spark: SparkSession, name: str) -> str | None:
     return found["data_type"] if found else None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def ingest_batches(df: DataFrame, order: list[str], batch_size: int, workers: int = 1) -> DataFrame:
     """The rows with the batch and the worker that would write them.
 

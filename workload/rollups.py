@@ -133,7 +133,34 @@ def _(t):
     return tidy(r.rollup_vs_raw(t.events, view, "value", LOW, HIGH))
 
 
-@query("late_arrival_cycle")
+def _hash_bits(text: str) -> str:
+    return f"CAST('0x' || substring(md5({text}), 1, 15) AS BIGINT)"
+
+
+def _rounds_sql(rounds: int, rows: int) -> str:
+    """The raw table after each round: late rows are its own rows of the window where it has
+    that many, else any rows with times drawn inside the window."""
+    parts = [
+        f"""b AS (SELECT max(ts) AS hi FROM events),
+            w AS (SELECT i AS round, hi - to_minutes(CAST(30 + floor(CAST('0x' || substring(md5('late:42:' || i), 1, 8) AS BIGINT) / 4294967296.0 * 2850) AS BIGINT)) AS s
+                  FROM b, range({rounds}) r(i)),
+            x0 AS (SELECT event_id, event_type, value, ts FROM events)"""
+    ]
+    for i in range(rounds):
+        stamp = f"make_timestamp(epoch_us(s) + {_hash_bits(f"'stamp:{42 + i}:' || event_id")} % 3600000000)"
+        parts.append(f"""
+            n{i} AS (SELECT s, (SELECT count(*) FROM x{i} WHERE ts >= s AND ts < s + INTERVAL 1 HOUR) >= {rows} AS own FROM w WHERE round = {i}),
+            p{i} AS (SELECT x{i}.*, n{i}.* FROM x{i}, n{i} WHERE NOT own OR (ts >= s AND ts < s + INTERVAL 1 HOUR)
+                     ORDER BY {_hash_bits(f"'sample:{42 + i}:' || event_id")} >> 8, event_id LIMIT {rows}),
+            x{i + 1} AS (SELECT * FROM x{i} UNION ALL SELECT event_id, event_type, value, CASE WHEN own THEN ts ELSE {stamp} END FROM p{i})""")
+    return "WITH " + ",".join(parts)
+
+
+@query(
+    "late_arrival_cycle",
+    f"""{_rounds_sql(3, 100)}, v AS ({_rollup_sql(rows='x3')})
+        SELECT round, v.* FROM v JOIN w ON ts_bucket >= s AND ts_bucket < s + INTERVAL 1 HOUR""",
+)
 def _(t):
     """Three rounds of late rows; what the refreshed roll-up shows in their windows."""
     raw = new_path(t.spark, "raw")

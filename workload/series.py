@@ -14,6 +14,7 @@ from tidegauge.operators import ordering, prepare
 from tidegauge.operators import queries as q
 from tidegauge.operators import sweep as s
 from tidegauge.schema import SeriesSchema, infer_roles, override_time
+from tidegauge.session import materialize
 from tidegauge.sources import extent, files
 from workload.base import END, IN_WINDOW, START, events_schema, query, tidy
 
@@ -47,9 +48,13 @@ def _(t):
     return extent.time_bounds(t.events, "ts")
 
 
-@query("sample_head")
+@query("sample_head", "SELECT least(count(*), 10000) AS n_rows, CAST(0 AS BIGINT) AS n_strange FROM events")
 def _(t):
-    return extent.sample_head(t.events)
+    """Which rows come first is open; their number is not, and all lie in the table."""
+    columns = ["event_id", "ts", "user_id", "event_type", "value"]
+    head = materialize(extent.sample_head(t.events.select(*columns), 10_000), "head")
+    strange = head.exceptAll(t.events.select(*columns)).agg(F.count(F.lit(1)).alias("n_strange"))
+    return head.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_strange", strange.scalar())
 
 
 @query(

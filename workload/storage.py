@@ -155,11 +155,13 @@ def _partition_query(unit: str, table: str, sql: str, source) -> None:
     def _(t):
         df, schema = source(t)
         stored = scan_table(t.spark, _table(t, df, schema, unit))
-        day = F.date_format("p", "yyyy-MM-dd").alias("p")
+        # Hours are text, other partitions dates.
+        day = (F.col("p") if unit == "HOUR" else F.date_format("p", "yyyy-MM-dd")).alias("p")
         return stored.groupBy("p").agg(F.count(F.lit(1)).alias("n_rows")).select(day, "n_rows")
 
 
 for _unit, _name, _sql, _source in (
+    ("HOUR", "events", "strftime(ts, '%Y-%m-%d-%H')", _events),
     ("DAY", "events", "strftime(ts, '%Y-%m-%d')", _events),
     ("WEEK", "events", "strftime(date_trunc('week', ts), '%Y-%m-%d')", _events),
     ("MONTH", "orders", "strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')", _orders),
@@ -191,6 +193,23 @@ def _(t):
     return scan_table(t.spark, name).drop("p")
 
 
+@query("ingest_reset_self", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def _(t):
+    """A table that is replaced by some of its own rows, after a load that failed."""
+    orders, schema = _orders(t)
+    name = f"series_{uuid.uuid4().hex}"
+    path = new_path(t.spark, name)
+    tables.ingest_reset(orders, name, schema, "YEAR", path)
+    broken = orders.withColumn("o_totalprice", F.expr("o_totalprice + if(o_orderkey > 0, raise_error('stop'), 0)"))
+    try:
+        tables.ingest_reset(broken, name, schema, "YEAR", path)
+    except Exception as failure:
+        if "stop" not in str(failure):
+            raise
+    tables.ingest_reset(scan_table(t.spark, name).where("o_orderstatus = 'F'"), name, schema, "YEAR", path)
+    return scan_table(t.spark, name).drop("p")
+
+
 @query(
     "ingest_batches",
     """WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS r, count(*) OVER () AS total FROM events),
