@@ -64,6 +64,8 @@ HELD = 1 << 20
 BLOCK = 1024
 CLOSEST = 2
 NEVER = 1 << 30
+# Of a member's buckets, how many go along with it.
+KNOWN_BUCKETS = 16
 # Shingles of the sets that are verified in one block.
 BLOCK_SHINGLES = 500_000
 _U = np.uint64
@@ -421,7 +423,9 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members that may still be similar to one of another component in their bucket.
 
-    Two members may share many buckets; the pair counts in the least of these alone.
+    Two members may share many buckets; a pair that is known to share a lesser one counts
+    there. Of a member's buckets only the least few are known, so a pair may count twice, but
+    never nowhere.
     """
     for bucket, own, pairs in _possible(batches):
         found, sizes = np.zeros(len(own["own"]), bool), np.array([len(x) for x in own["buckets"]])
@@ -430,7 +434,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             theirs = np.concatenate([own["buckets"][j] for j in near.tolist()])
             shared = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
             least = np.minimum.reduceat(np.where(shared, theirs, np.iinfo(np.int64).max), np.cumsum(sizes[near]) - sizes[near])
-            near = near[least == bucket]
+            near = near[least >= bucket]
             if len(near):
                 found[i] = True
                 found[near] = True
@@ -511,7 +515,7 @@ def _nearest_pairs(placed: DataFrame, light: DataFrame) -> DataFrame:
 def _remaining_links(placed: DataFrame, light: DataFrame, docs: DataFrame) -> DataFrame:
     """Links that join the components left over. Members that may have one are found by their
     sketches and then compared exactly, where they meet, by their shingles."""
-    lists = placed.groupBy("own").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    lists = placed.groupBy("own").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, KNOWN_BUCKETS).alias("buckets"))
     facts = materialize(light.select("own", "sketch").join(lists, "own"), "open-facts")
     left = _block_pairs(placed, "1", BLOCK, facts).mapInArrow(_open, "bucket long, own long").distinct()
     left = materialize(left, "open")
