@@ -295,3 +295,13 @@ def test_sweeps_take_zoned_times(spark, events, zone):
         events.where(F.col("ts").between(a, b)).count()
         for a, b in [("2024-01-03", "2024-01-03 23:59:59.999999"), ("2024-01-03 12:00:00", "2024-01-04 23:59:59.999999")]
     )
+
+
+def test_pool_answers_share_one_scan(spark, events):
+    windows = s.pool_windows(events, "ts", timedelta(days=1))
+    assert windows.count() == 20 and s.pool_windows(events, "ts", timedelta(days=1), rounds=25).count() == 25
+    both = s.pool_answers(events, "ts", windows, "event_type", "value", ["event_id"])
+    text = both._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("event_id") and text.count("Expand") == 1 and text.count("FileScan parquet") == 2  # rows and windows
+    pool = s.query_pool(events, "ts", windows, "event_type", "value", ["event_id"])
+    assert both.where("query = 'last_point'").count() == pool["last_point"]().count()

@@ -8,7 +8,7 @@ before they meet a window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.buckets import EPOCH, bucket, width_of
 from tidegauge.functions.scalar import floor_div, micros
+from tidegauge.operators.generate import random_windows
 from tidegauge.operators.keys import keyed_join
 from tidegauge.operators.ordering import running_sum
 from tidegauge.operators.prepare import literal_time, naive_utc
@@ -262,6 +263,15 @@ def sweep_last(
     )
 
 
+# Fixed value: the mixed workload asks for at least this many windows.
+POOL_WINDOWS = 20
+
+
+def pool_windows(df: DataFrame, time: str, length: timedelta, rounds: int = 0, seed: int = 42) -> DataFrame:
+    """The windows of the mixed workload: one a round, POOL_WINDOWS at least, at random in the series."""
+    return random_windows(df, time, max(POOL_WINDOWS, rounds), length, seed)
+
+
 def query_pool(
     df: DataFrame,
     time: str,
@@ -270,20 +280,42 @@ def query_pool(
     metric: str,
     key: Sequence[str],
     limits: Sequence[int] = (0,),
-) -> dict[str, DataFrame]:
+) -> dict[str, Callable[[], DataFrame]]:
     """The mixed reader workload: range, bucket and last-point answers for every window.
 
-    As in ``window_sweep`` each answer is one job; the smallest limit applies to the rows.
+    Each answer is made when it is called for; the smallest limit applies to the rows.
     """
     limit = min(limits) if limits else 0
-    windows = _listed(windows).select("window_id", "start", "end")
     return {
-        "time_range": sweep_range(df, time, windows, key, limit),
-        "aggregation": sweep_bucket(df, time, windows, metric),
-        "last_point": sweep_last(df, time, windows, tag, metric, key),
+        "time_range": lambda: sweep_range(df, time, windows, key, limit),
+        "aggregation": lambda: sweep_bucket(df, time, windows, metric),
+        "last_point": lambda: sweep_last(df, time, windows, tag, metric, key),
     }
 
 
+def pool_answers(
+    df: DataFrame, time: str, windows: DataFrame, tag: str, metric: str, key: Sequence[str], granularity: str = "1 hour"
+) -> DataFrame:
+    """Bucket and last-point answers of all windows from one scan and one exchange.
+
+    Every row that lies in a window is grouped by its bucket and by its tag at once (grouping
+    sets), and both combine before they are shuffled. ``query`` tells the answers apart.
+    """
+    columns = list(dict.fromkeys([time, tag, metric, *key]))
+    matched = match_windows(df, time, windows, columns).withColumn("bucket", bucket(time, granularity))
+    newest = F.max_by(F.struct(F.col(metric).alias("last"), F.col(time).alias("last_ts")), F.struct(time, *key))
+    sets = matched.groupingSets([["window_id", "bucket"], ["window_id", tag]], "window_id", "bucket", tag)
+    both = sets.agg(F.grouping(tag).alias("_by_bucket"), *partials([metric], df), newest.alias("_newest"))
+    by_bucket = F.col("_by_bucket") == 1
+    only = lambda here, value, name: F.when(here, value).alias(name)
+    return both.select(
+        F.when(by_bucket, "aggregation").otherwise("last_point").alias("query"), "window_id", "bucket", tag,
+        only(by_bucket, average(metric), f"avg_{metric}"), only(by_bucket, F.col(f"min_{metric}"), f"min_{metric}"),
+        only(by_bucket, F.col(f"max_{metric}"), f"max_{metric}"),
+        only(~by_bucket, F.col("_newest.last"), f"last_{metric}"), only(~by_bucket, F.col("_newest.last_ts"), "last_ts"),
+    )
+
+
 def window_sweep(
     df: DataFrame,
     time: str,

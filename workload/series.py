@@ -449,7 +449,7 @@ def _pool(t):
         (PARTITION BY window_id ORDER BY ts, event_id) AS r FROM h) WHERE r <= 50""",
 )
 def _(t):
-    return _pool(t)["time_range"]
+    return _pool(t)["time_range"]()
 
 
 @query(
@@ -458,7 +458,7 @@ def _(t):
         min(value) AS min_value, max(value) AS max_value FROM h GROUP BY 1, 2""",
 )
 def _(t):
-    return tidy(_pool(t)["aggregation"])
+    return tidy(_pool(t)["aggregation"]())
 
 
 @query(
@@ -467,7 +467,27 @@ def _(t):
         ORDER BY ts DESC, event_id DESC) AS r FROM h) WHERE r = 1""",
 )
 def _(t):
-    return _pool(t)["last_point"]
+    return _pool(t)["last_point"]()
+
+
+_RANDOM_WINDOWS = """WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events),
+    w AS (SELECT CAST(i AS BIGINT) AS window_id, lo + to_microseconds(CAST(floor(CAST('0x' || substring(md5('window:42:' || i), 1, 8) AS BIGINT) / 4294967296.0
+          * (epoch_us(hi) - epoch_us(lo) - 86400000000)) AS BIGINT)) AS s FROM b, range(20) r(i)),
+    h AS (SELECT window_id, events.* FROM events JOIN w ON ts >= s AND ts < s + INTERVAL 1 DAY)"""
+
+
+@query(
+    "query_pool_shared",
+    f"""{_RANDOM_WINDOWS} SELECT 'aggregation' AS query, window_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, CAST(NULL AS VARCHAR) AS event_type,
+        round(avg(value) + 1e-10, 6) AS avg_value, round(min(value) + 1e-10, 6) AS min_value, round(max(value) + 1e-10, 6) AS max_value, CAST(NULL AS DOUBLE) AS last_value,
+        CAST(NULL AS TIMESTAMP) AS last_ts FROM h GROUP BY 2, 3
+        UNION ALL SELECT 'last_point', window_id, NULL, event_type, NULL, NULL, NULL, round(value + 1e-10, 6), ts FROM (SELECT *, row_number() OVER
+        (PARTITION BY window_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM h) WHERE r = 1""",
+)
+def _(t):
+    """Twenty random days: buckets and last points from one scan."""
+    windows = s.pool_windows(t.events, "ts", timedelta(days=1))
+    return tidy(s.pool_answers(t.events, "ts", windows, "event_type", "value", ["event_id"]))
 
 
 # ---- generators ----------------------------------------------------------------------
