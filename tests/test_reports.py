@@ -139,11 +139,11 @@ def test_run_table(spark):
     assert [r["completed_at"] for r in ro.list_runs(ro.complete_run(runs, closing)).collect()] == ["t5", "t9"]
 
 
-def test_long_id_lists(spark, monkeypatch):
+def test_id_lists_and_frames(spark):
     df = summaries(spark, *[row(i, "b", "x", "p") for i in range(5)])
-    for limit in (500, 1):
-        monkeypatch.setattr(ro, "IN_LIST_MAX", limit)
-        assert [r["id"] for r in ro.load_summaries(df, ["r3", "r1", "absent"]).collect()] == [1, 3]
+    wanted = ["r3", "r1", "absent"]
+    for ids in (wanted, spark.createDataFrame([(r,) for r in wanted * 2], "run_id string")):
+        assert [r["id"] for r in ro.load_summaries(df, ids).collect()] == [1, 3]
     assert ro.load_summaries(df, []).count() == 0
     assert ro.load_summaries(df, operation="q").count() == 0
 

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.keys import keyed_join
 
-# Longer lists of run ids become a semi-join instead of an IN list.
-IN_LIST_MAX = 500
-
 # The order benchmarks are reported in; others follow by name.
 BENCHMARK_ORDER = (
     "ingestion",
@@ -56,14 +53,16 @@ def list_runs(runs: DataFrame) -> DataFrame:
 
 def load_summaries(
     summaries: DataFrame,
-    run_ids: Sequence[str] | None = None,
+    run_ids: Sequence[str] | DataFrame | None = None,
     database_name: str | None = None,
     operation: str | None = None,
 ) -> DataFrame:
-    """Summaries passing the given filters, by run, database and operation."""
-    if run_ids is not None and len(run_ids) > IN_LIST_MAX:
-        wanted = summaries.sparkSession.createDataFrame([(r,) for r in run_ids], "run_id string")
-        summaries = summaries.join(wanted, "run_id", "left_semi")
+    """Summaries passing the given filters, by run, database and operation.
+
+    ``run_ids`` is a list, which reaches the scan, or a frame with a ``run_id`` of any size.
+    """
+    if isinstance(run_ids, DataFrame):
+        summaries = summaries.join(run_ids.select("run_id"), "run_id", "left_semi")
     elif run_ids is not None:
         summaries = summaries.where(F.col("run_id").isin(list(run_ids)))
     if database_name is not None:

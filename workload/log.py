@@ -349,6 +349,15 @@ def _(t):
     return runs_ops.load_summaries(summaries(t), wanted, "db1", "time_range_1h_limit_100")
 
 
+@query(
+    "load_summaries_of_runs",
+    f"""WITH {_SUMMARY_CTE}, {_RUNS_CTE} SELECT * FROM summaries WHERE run_id IN (SELECT run_id FROM runs WHERE completed_at IS NOT NULL)""",
+)
+def _(t):
+    """Summaries of all completed runs, however many."""
+    return runs_ops.load_summaries(summaries(t), runs(t).where("completed_at IS NOT NULL"))
+
+
 @query(
     "latest_runs",
     f"""{_RUNS} SELECT benchmark_name, database_name, arg_max(run_id, started_at) AS run_id, max(started_at) AS started_at
