@@ -177,15 +177,10 @@ _LABELLED = f"""WITH {_SUMMARY_CTE}, {_RUNS_CTE},
     lab AS (SELECT summaries.*, coalesce(benchmark_name, 'unknown') AS benchmark_name FROM summaries LEFT JOIN
             (SELECT run_id, benchmark_name FROM runs WHERE benchmark_name <> 'custom') USING (run_id))"""
 
-_stored: dict[tuple[str, str], DataFrame] = {}
-
 
 def summaries(t) -> DataFrame:
-    """The summary table, computed once per session and stored like any summary table."""
-    place = (t.spark.sparkContext.applicationId, t.folder)
-    if place not in _stored:
-        _stored[place] = materialize(_fresh_summaries(t), "summaries")
-    return _stored[place]
+    """The summary table, computed for each query and stored like any summary table."""
+    return materialize(_fresh_summaries(t), "summaries")
 
 
 def _fresh_summaries(t) -> DataFrame:
