@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from tidegauge.llm.memory import Remembered, held
 from tidegauge.llm.words import WordIds
 
+# Bytes of the words, and of the matches, that a worker remembers.
+REMEMBERED = 64 << 20
 # Matches of more bytes than this are merged one by one.
 ROW_BYTES = 64
 NONE = np.int64(1) << 62
@@ -68,8 +70,8 @@ class Vocabulary:
         self.byte_pairs = self.pair_rank(
             np.repeat(self.of_byte[first], 256), np.tile(self.of_byte[first], 256)
         )
-        self.matches = Remembered()
-        self.words = WordIds(self.encode_pieces)
+        self.matches = Remembered(REMEMBERED)
+        self.words = WordIds(self.encode_pieces, REMEMBERED)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right

@@ -7,6 +7,8 @@ bytes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -18,17 +20,28 @@ LIMIT = 24 << 20
 _HELD: dict[Hashable, Any] = {}
 
 
+def _drop() -> None:
+    """Give memory back to the system: what is dropped holds cycles, and its pieces are small."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+
 def held(key: Hashable, build: Callable[[], Any]) -> Any:
     """The value under ``key``, built if the worker holds another."""
     if key not in _HELD:
-        _HELD.clear()
+        _drop()
         _HELD[key] = build()
     return _HELD[key]
 
 
 def release() -> None:
     """Drop what the worker holds; called where a task of another operator begins."""
-    _HELD.clear()
+    _drop()
 
 
 class Remembered:

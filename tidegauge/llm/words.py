@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidegauge.llm.memory import Remembered
+from tidegauge.llm.memory import LIMIT, Remembered
 
 # Characters of texts that are encoded together; a longer text is alone.
 PART_CHARS = 1 << 20
@@ -19,9 +19,9 @@ PART_CHARS = 1 << 20
 class WordIds:
     """Encodes texts through ``encode``, which gives the packed ids of each of some strings."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = LIMIT):
         self.encode = encode
-        self.known = Remembered()
+        self.known = Remembered(limit)
 
     @staticmethod
     def words(text: str) -> list[str] | None:
