@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators.generate import shuffle_timestamps
+from tidegauge.operators.sweep import windows_frame
 from tidegauge.plans import rollup as r
+from tidegauge.streaming import live
 from tidegauge.streaming import rollup_stream as rs
 from tidegauge.streaming.load import resumable_load
 from tidegauge.streaming.sources import file_stream
@@ -149,3 +151,22 @@ def test_compacted_log_is_the_log(spark, events, tmp_path):
                 spark.createDataFrame(last).write.parquet(str(newest))
         assert rounded(rs.averages(rs.latest_rollup(spark, path, VIEW), VIEW)) == before
     assert before == batch(events)
+
+
+def test_every_batch_is_answered_from_what_is_committed(spark, simple, tmp_path):
+    """Two files; each batch counts rows, buckets and tags of the batches so far, one window empty."""
+    rows = simple.withColumn("id", F.expr("CAST(minute(ts) + 60 * hour(ts) AS BIGINT)"))
+    deliver(rows, tmp_path / "in", "id >= 50")
+    deliver(rows, tmp_path / "in", "id < 50")
+    hours = [(datetime(2024, 1, 1, h), datetime(2024, 1, 1, h + 1)) for h in range(3)]
+    stream = file_stream(spark, str(tmp_path / "in"), rows.schema, max_files=1)
+    live.load_and_query(
+        stream, f"{tmp_path}/table", f"{tmp_path}/answers", f"{tmp_path}/c", "ts", windows_frame(spark, hours), "device", "value", ["id"]
+    ).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/answers").select("batch_id", "query", "window_id", "n_rows")
+    assert sorted(map(tuple, found.collect())) == sorted(
+        (batch, query, window, n)
+        for batch, sizes in enumerate(((10, 40), (60, 40)))
+        for window, size in enumerate(sizes)
+        for query, n in (("time_range", size), ("aggregation", 1), ("last_point", 5))
+    )

@@ -39,8 +39,8 @@ def load_and_query(
         committed = read_committed(spark, table, schema)
         pool = query_pool(committed, time, windows, tag, metric, key)
         sizes = [
-            df.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("query"), "*")
-            for name, df in pool.items()
+            answer().groupBy("window_id").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("query"), "*")
+            for name, answer in pool.items()
         ]
         out = sizes[0]
         for part in sizes[1:]:
