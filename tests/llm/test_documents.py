@@ -271,3 +271,23 @@ def test_frequent_toxic_word_hides_no_rarer_one():
     assert toxicity.distinctive_words(toxic, ordinary)[-2:] == [b"rarerslur", b"frequentslur"]
     model = toxicity.train(toxic, ordinary, 0.1)
     assert model.saving(b"w1 w2 rarerslur w3") > 0 and model.score(b"w1 w2 rarerslur w3") > model.score(b"w1 w2 w3 w4")
+
+
+def test_planted_toxic_texts_are_caught():
+    """Long texts of words from the same syllables; toxic ones hold two or three of many forms of eight stems, next to punctuation."""
+    draw = np.random.default_rng(11)
+    syllables = "the an er in on re ti en th or es st ou ha ing ed of to".split()
+    word = lambda n: "".join(draw.choice(syllables, n))
+    stems = "zorb quiv jaxl plum vekk drux glyf womb".split()
+
+    def text(toxic):
+        words = [word(draw.integers(1, 4)) for _ in range(draw.integers(20, 400))]
+        for _ in range(draw.integers(2, 4) if toxic else 0):
+            words[draw.integers(len(words))] = f"{draw.choice(stems)}{word(2)}{draw.choice(['', ',', '.'])}"
+        return " ".join(words).encode()
+
+    toxic, plain = [text(True) for _ in range(700)], [text(False) for _ in range(1400)]
+    model = toxicity.train(toxic[:400], plain[:400], 0.1)
+    caught, left = [np.mean([model.score(t) >= toxicity.THRESHOLD for t in texts]) for texts in (toxic[400:], plain[400:])]
+    assert caught >= 0.9 and 1 - left >= 0.97
+    assert model.score(b"") == model.score(b" ,.") == model.values[0]
