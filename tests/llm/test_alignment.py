@@ -140,3 +140,34 @@ def test_ranks_encode_like_the_library():
     other = byte_bpe.ByteBpe(DESCRIPTION.replace('"add_prefix_space":false', '"add_prefix_space":true', 1).replace('"add_prefix_space": false', '"add_prefix_space": true', 1))
     assert other._merger is None
     assert other.encode(["ab", "c"])[0].tolist() == own.encode([" ab"])[0].tolist()
+
+
+def test_repeated_pairs_are_sorted_and_looked_up_once(monkeypatch):
+    """Many links of few pairs, listed in pieces: sums by link, and no pair asked for twice a piece."""
+    monkeypatch.setattr(alignment, "LINKS", 50)
+    draw = np.random.default_rng(5)
+    a = [draw.integers(0, 4, n).astype(np.uint32) for n in (60, 0, 90)]
+    part = alignment.Aligned(a, [x[: len(x) // 2] for x in a], np.full(4, 1), np.full(4, 2))
+    met = np.unique(np.concatenate([key for _, key in part.links(4)]))
+    assert part.pairs(4).tolist() == met.tolist() == np.unique(part.distinct((4, 4)) % 16).tolist()
+    keys, best = met[1:], np.full(4, 7)  # one pair is no key
+    lookup = alignment.Lookup(0, 1, PerfectHash.build(keys), np.zeros(len(keys), np.int64))
+    lookup.counts[:] = 3 + lookup.hash.keys % 5
+    asked, places = [], PerfectHash.places
+    monkeypatch.setattr(PerfectHash, "places", lambda self, k: asked.append(k) or places(self, k))
+    monkeypatch.setattr(alignment, "slice_of", None)  # one slice holds every pair
+    for _, key in part.links(4):
+        count, is_best = alignment.standing(lookup, best, key, 4)
+        expected = [3 + k % 5 if k in keys else 0 for k in key.tolist()]
+        assert count.tolist() == expected and is_best.tolist() == [c == 7 for c in expected]
+    assert len(asked) > 1 and all(len(k) == len(set(k.tolist())) for k in asked)
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_ids_give_their_bytes(plain):
+    with open(alignment.BYTE_LEVEL, encoding="utf-8") as file:
+        own = byte_bpe.ByteBpe(file.read())
+    if not plain:
+        own._merger = None
+    ids = own.tokens().index(b" the"), own.tokens().index(b"\xff")
+    assert own.decode(np.array([*ids, ids[0]], np.uint32)) == b" the\xff the" and own.decode(np.zeros(0, np.uint32)) == b""

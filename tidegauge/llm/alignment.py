@@ -86,8 +86,7 @@ class Vocabularies:
         spaced = [" " + texts[i] for i in known]
         for i, own, a, b in zip(known, spaced, self.a.encode(spaced), self.b.encode([texts[i] for i in known], num_threads=1), strict=True):
             data = own.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            if same:
+            if self.a.decode(a) == data == b"".join(map(self.b_bytes.__getitem__, b)):
                 out_a[i], out_b[i] = a, np.array(b, np.uint32)
         return out_a, out_b
 
@@ -130,14 +129,12 @@ class Aligned:
 
     def distinct(self, shape: tuple[int, int]) -> np.ndarray:
         """document * all pairs + pair, once for each pair of a document."""
-        held, size, pairs = [np.zeros(0, np.int64)], 0, shape[0] * shape[1]
-        for doc, key in self.links(shape[1]):
-            held.append(np.unique(doc * pairs + key))
-            size += len(held[-1])
-            if size > 4 * LINKS:
-                held = [np.unique(np.concatenate(held))]
-                size = 0
-        return np.unique(np.concatenate(held))
+        pairs = shape[0] * shape[1]
+        return _distinct(doc * pairs + key for doc, key in self.links(shape[1]))
+
+    def pairs(self, width: int) -> np.ndarray:
+        """A id * width + B id, once for each pair of any document."""
+        return _distinct(key for _, key in self.links(width))
 
     def texts(self, strings: list[str], shape: tuple[int, int]) -> list[str]:
         """The groups of each document as ``a1,a2|b1;a3|b2,b3``."""
@@ -153,6 +150,18 @@ class Aligned:
         return out
 
 
+def _distinct(arrays: Iterator[np.ndarray]) -> np.ndarray:
+    """The distinct numbers of all arrays, in order; each array is sorted once."""
+    held, size = [], 0
+    for own in arrays:
+        held.append(np.unique(own))
+        size += len(held[-1])
+        if size > 4 * LINKS and len(held) > 1:
+            held = [np.unique(np.concatenate(held))]
+            size = 0
+    return held[0] if len(held) == 1 else np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+
+
 def group_strings(shape: tuple[int, int]) -> list[str]:
     a, b = range(shape[0]), range(shape[1])
     return [f"{i}," for i in a] + [f"{i}|" for i in a] + [f"{i}," for i in b] + [f"{i};" for i in b]
@@ -169,6 +178,8 @@ class Lookup:
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Verified places of the keys of this slice, -1 for others."""
+        if self.slices == 1:
+            return self.hash.places(keys)
         out = np.full(len(keys), -1, np.int64)
         own = slice_of(keys, self.slices) == self.number
         out[own] = self.hash.places(keys[own])
@@ -217,7 +228,6 @@ def tokenized(df: DataFrame, text: str, description: str, model: bytes, keep: li
         both = held(("vocabularies", *shared.value), lambda: Vocabularies(*shared.value))
         store_a, store_b = map(_Store, both.shape)
         next_id = TaskContext.get().partitionId() << 40
-        pairs = both.shape[0] * both.shape[1]
         seen, kind = [np.zeros(0, np.int64)], None
 
         def handed() -> pa.RecordBatch:
@@ -232,7 +242,7 @@ def tokenized(df: DataFrame, text: str, description: str, model: bytes, keep: li
             texts = batch.column("text").to_pylist()
             for part in _parts([len(t or "") for t in texts]):
                 a, b = both.encode(texts[part])
-                seen.append(np.unique(Aligned(a, b, both.a_sizes, both.b_sizes).distinct(both.shape) % pairs))
+                seen.append(Aligned(a, b, both.a_sizes, both.b_sizes).pairs(both.shape[1]))
                 n = len(a)
                 yield pa.RecordBatch.from_pydict({
                     "row": batch.column("row")[part], "id": pa.array(range(next_id, next_id + n), pa.int64()),
@@ -394,6 +404,19 @@ def _columns(digest: bool) -> list[str]:
     return [*ADDED[:6], ADDED[7] if digest else ADDED[6]]
 
 
+def standing(lookup: Lookup, best: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The count of each link's pair, and whether it is its A id's highest; 0 and False in other slices.
+
+    Pairs repeat, so each is looked up once.
+    """
+    pairs, of = np.unique(key, return_inverse=True)
+    place = lookup.places(pairs)
+    here = place >= 0
+    count = np.zeros(len(pairs), np.int64)
+    count[here] = lookup.counts[place[here]]
+    return count[of], (here & (count == best[pairs // width]))[of]
+
+
 def _looked_up(docs: DataFrame, shared, found, whole: bool, digest: bool) -> DataFrame:
     """Links of one slice in its counts; with ``whole`` the other columns too."""
     fields = [T.StructField("id", T.LongType()), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())]
@@ -410,11 +433,9 @@ def _looked_up(docs: DataFrame, shared, found, whole: bool, digest: bool) -> Dat
             n = batch.num_rows
             n_best, total, n_links = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             for doc, key in part.links(own.shape[1]):
-                place = lookup.places(key)
-                here = place >= 0
-                doc_here, count = doc[here], lookup.counts[place[here]]
-                np.add.at(total, doc_here, count)
-                n_best += np.bincount(doc_here[count == best[key[here] // own.shape[1]]], minlength=n)
+                count, is_best = standing(lookup, best, key, own.shape[1])
+                np.add.at(total, doc, count)
+                n_best += np.bincount(doc[is_best], minlength=n)
                 n_links += np.bincount(doc, minlength=n)
             out = {"id": batch.column("id"), "n_best": n_best, "count_sum": total}
             if whole:

@@ -42,7 +42,7 @@ class ByteBpe:
             and not model.get("end_of_word_suffix") and not model.get("ignore_merges")
         )
         ranks = self._ranks(model["merges"]) if plain else None
-        self._merger = self._tokenizer = None
+        self._merger = self._tokenizer = self._all = None
         if ranks is not None:
             import tiktoken
 
@@ -75,6 +75,14 @@ class ByteBpe:
             out[i] = self.token_bytes(name)
         return out
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        if self._merger:
+            return self._merger.decode_bytes(ids.tolist())
+        if self._all is None:
+            self._all = self.tokens()
+        return b"".join(map(self._all.__getitem__, ids.tolist()))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
         if self._merger:
