@@ -90,3 +90,18 @@ def test_no_local_checkpoint_and_no_forced_broadcast():
         assert not re.search(r"""hint\(\s*["']broadcast""", text, re.IGNORECASE), path
         for word in ("localCheckpoint", "broadcast(", "crossJoin", ".rdd", ".cache()", ".persist("):
             assert word not in text, f"{word} in {path}"
+
+
+def test_tasks_of_a_bucket_sweep_follow_the_windows(spark, simple, monkeypatch):
+    """Twice the windows, about twice the tasks, at each shuffle of parts; the same answers."""
+    hours = [(datetime(2024, 1, 1, 0, i), datetime(2024, 1, 1, 1, i + 5)) for i in range(30)]
+    answers = lambda n: s.sweep_bucket(simple, "ts", s.windows_frame(spark, hours[:n]), "value", "1 hour")
+    plain = sorted(map(tuple, answers(30).collect()))
+    monkeypatch.setattr(s, "TASK_ROWS", 20)
+    tasks = []
+    for n in (15, 30):
+        found = answers(n)
+        own = {int(x) for x in re.findall(r"hashpartitioning\((?:window_id|_level|_grain)[^()]*, (\d+)\), REPARTITION_BY_NUM", plan(found))}
+        assert len(own) == 1
+        tasks += own
+    assert sorted(map(tuple, found.collect())) == plain and tasks[1] > 1.7 * tasks[0] > 4

@@ -28,6 +28,8 @@ from tidegauge.session import materialize
 
 # Times that a bucket may be halved for many windows.
 HALVINGS_MAX = 12
+# Rows of windows' parts, or of the series, that one task of a bucket sweep is dealt on average.
+TASK_ROWS = 1 << 19
 
 
 def windows_frame(spark: SparkSession, windows: Sequence[tuple[datetime, datetime]]) -> DataFrame:
@@ -176,14 +178,15 @@ def sweep_bucket(
     halves, quarters and so on of each bucket. A window then is its whole buckets, in the
     buckets of its ends at most two parts of each size, and at its ends the rows of less than
     a grain, which alone are compared with it. Every step is an equi-join, and all windows go
-    the same way, few or many.
+    the same way, few or many. Parts are many times the windows, so the tasks that sort them are
+    as many as they need: a task's memory doesn't follow the input.
     """
     listed = _listed(windows)
+    width = width_of(granularity) // timedelta(microseconds=1)
     facts = listed.agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max("end").alias("last"),
-        F.min("_from").alias("low"), F.max("_to").alias("high"),
+        F.min("_from").alias("low"), F.max("_to").alias("high"), F.sum((F.col("_to") - F.col("_from")) / width).alias("buckets"),
     ).first()
-    width = width_of(granularity) // timedelta(microseconds=1)
     ends = 2 * facts["n"] * width // max(1, (facts["high"] or 0) - (facts["low"] or 0))
     halvings = min(ends.bit_length(), (width & -width).bit_length() - 1, HALVINGS_MAX)
     grain = width >> halvings
@@ -191,26 +194,35 @@ def sweep_bucket(
     rows = df.select(time, metric).where((F.col(time) >= span[0]) & (F.col(time) < span[1])).select(
         micros(F.col(time)).alias("_at"), metric
     )
+    # A window has at most its whole buckets and, of each size, a part at both ends.
+    tasks = _tasks(df, 2 * (halvings + 1) * facts["n"] + int(facts["buckets"] or 0), rows)
     fine = rows.groupBy(floor_div(F.col("_at"), grain).alias("_grain")).agg(*partials([metric], df))
     names = [c for c in fine.columns if c != "_grain"]
     sizes = [F.struct(F.lit(k).alias("_level"), F.shiftright("_grain", k).alias("_part")) for k in range(halvings + 1)]
     parts = fine.select(F.explode(F.array(*sizes)).alias("_p"), *names).groupBy("_p._level", "_p._part").agg(*merged([metric]))
-    whole = _window_parts(listed, grain, halvings).join(parts, ["_level", "_part"]).select(
+    place = ["_level", "_part"]
+    whole = _window_parts(listed, grain, halvings).repartition(tasks, *place).join(parts.repartition(tasks, *place), place).select(
         "window_id", F.expr(f"shiftright(_part, {halvings} - _level)").alias("_number"), *names
     )
     pieces = _window_ends(listed, grain)
     at = floor_div(F.col("_at"), grain).alias("_grain")
     inside = (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
     cut = (
-        rows.select("_at", metric, at).join(pieces, "_grain").where(inside)
+        rows.select("_at", metric, at).repartition(tasks, "_grain").join(pieces.repartition(tasks, "_grain"), "_grain").where(inside)
         .groupBy("window_id", F.shiftright("_grain", halvings).alias("_number")).agg(*partials([metric], df))
     )
-    held = whole.unionByName(cut).groupBy("window_id", "_number").agg(*merged([metric]))
+    both = whole.unionByName(cut).repartition(tasks, "window_id", "_number")
+    held = both.groupBy("window_id", "_number").agg(*merged([metric]))
     kind = df.select(bucket(time, granularity).alias("bucket")).schema["bucket"].dataType
     start = F.timestamp_micros(F.col("_number") * F.lit(width)).cast(kind).alias("bucket")
     return held.select("window_id", start, average(metric).alias(f"avg_{metric}"), f"min_{metric}", f"max_{metric}")
 
 
+def _tasks(df: DataFrame, parts: int, rows: DataFrame) -> int:
+    """Tasks for ``parts`` window parts and the rows: about TASK_ROWS each, and no core idle."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-(parts + rows.count()) // TASK_ROWS))
+
+
 def _window_parts(listed: DataFrame, grain: int, halvings: int) -> DataFrame:
     """The whole grains of every window as few parts of ``2 ** _level`` grains; none crosses a bucket."""
     first, after = -floor_div(-F.col("_from"), grain), floor_div(F.col("_to"), grain)
